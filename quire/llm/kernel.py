@@ -106,17 +106,34 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return begin, end, np.searchsorted(offs, begin, "right") - 1
 
 
+_BLOCK = 1 << 20
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _grid(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, up to at least n."""
+    size = 1 << max(10, (n - 1).bit_length())
+    if size not in _POWERS:
+        _POWERS[size] = (_powers(size), _powers(size, pow(_BASE, -1, 1 << 64)))
+    return _POWERS[size]
+
+
 def hash_ranges(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of the bytes of each range; ranges don't overlap and come in order, none is empty."""
-    if not len(begin):
-        return np.zeros(0, np.uint64)
-    length = end - begin
-    stop = np.cumsum(length)
-    start = stop - length
-    within = np.arange(stop[-1], dtype=np.int64) - np.repeat(start, length)
-    at = within + np.repeat(begin, length)
-    values = _TABLE[data[at]] * _powers(int(length.max()))[within]
-    return mix64(np.add.reduceat(values, start) + length.astype(np.uint64))
+    out = np.empty(len(begin), np.uint64)
+    i = 0
+    while i < len(begin):
+        base = int(begin[i])
+        j = max(i + 1, int(np.searchsorted(end, base + _BLOCK, "right")))
+        part = data[base : int(end[j - 1])]
+        power, inverse = _grid(len(part))
+        total = np.empty(len(part) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(_TABLE[part] * power[: len(part)], out=total[1:])
+        s, e = begin[i:j] - base, end[i:j] - base
+        out[i:j] = (total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64)
+        i = j
+    return mix64(out)
 
 
 def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from .decontaminate import K, WINDOW, find_spans
 from .kernel import WORD_RE
+from .near_dedup import near_duplicates
 from .shared import read
+from .substring import repeats
 
 
 def op1_decontaminate(spark, sf_dir):
     return find_spans(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_near_dedup(spark, sf_dir):
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark, sf_dir):
+    return repeats(read(spark, sf_dir, "documents"))
+
+
 _T = K + WINDOW - 1
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_near_dedup": op2_near_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 
 SQL = {
