@@ -7,6 +7,7 @@ from .kernel import WORD_RE
 from .near_dedup import near_duplicates
 from .shared import read
 from .substring import repeats
+from .toxicity import classify
 
 
 def op1_decontaminate(spark, sf_dir):
@@ -21,12 +22,17 @@ def op8_substring_dedup(spark, sf_dir):
     return repeats(read(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark, sf_dir):
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 _T = K + WINDOW - 1
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_near_dedup": op2_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL = {
