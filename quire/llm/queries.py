@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import K, WINDOW, find_spans
 from .kernel import WORD_RE
 from .near_dedup import near_duplicates
+from .quality import assess
 from .shared import read
 from .substring import repeats
 from .toxicity import classify
@@ -18,6 +19,10 @@ def op2_near_dedup(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark, sf_dir):
+    return assess(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_substring_dedup(spark, sf_dir):
     return repeats(read(spark, sf_dir, "documents"))
 
@@ -31,6 +36,7 @@ _T = K + WINDOW - 1
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_near_dedup": op2_near_dedup,
+    "op5_quality": op5_quality,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_toxicity": op10_toxicity,
 }
