@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import K, WINDOW, find_spans
 from .kernel import WORD_RE
 from .near_dedup import near_duplicates
+from .pii import find_pii
 from .quality import assess
 from .shared import read
 from .substring import repeats
@@ -23,6 +24,10 @@ def op5_quality(spark, sf_dir):
     return assess(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_pii(spark, sf_dir):
+    return find_pii(read(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark, sf_dir):
     return repeats(read(spark, sf_dir, "documents"))
 
@@ -37,6 +42,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_near_dedup": op2_near_dedup,
     "op5_quality": op5_quality,
+    "op7_pii": op7_pii,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_toxicity": op10_toxicity,
 }
