@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .decontaminate import K, WINDOW, find_spans
 from .kernel import WORD_RE
+from .mixing import MAX_EPOCHS, OTHER_WEIGHT, SEED, TARGETS, mix
 from .near_dedup import near_duplicates
 from .pii import find_pii
 from .quality import assess
 from .shared import read
+from .sharding import SHARDS, shard
 from .substring import repeats
 from .toxicity import classify
 
@@ -20,6 +22,10 @@ def op2_near_dedup(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark, sf_dir):
+    return mix(read(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark, sf_dir):
     return assess(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -36,14 +42,20 @@ def op10_toxicity(spark, sf_dir):
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_sharding(spark, sf_dir):
+    return shard(read(spark, sf_dir, "documents"))
+
+
 _T = K + WINDOW - 1
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_near_dedup": op2_near_dedup,
+    "op3_mixing": op3_mixing,
     "op5_quality": op5_quality,
     "op7_pii": op7_pii,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -57,4 +69,23 @@ SQL = {
         hit AS (SELECT r, doc_id, i, item_id, p, q, p - row_number() OVER (PARTITION BY r, i, p - q ORDER BY p) AS island FROM dg JOIN bg USING (g))
         SELECT doc_id, item_id, min(p) - 1 AS doc_start, min(q) - 1 AS item_start, CAST(count(*) + {_T - 1} AS BIGINT) AS n_tokens
         FROM hit GROUP BY r, doc_id, i, item_id, p - q, island""",
+    # The water level is the largest level among the sources that stay below their caps.
+    "op3_mixing": f"""
+        WITH s AS (SELECT source, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS size FROM documents GROUP BY source),
+        u AS (SELECT source, size, CASE {" ".join(f"WHEN source = '{k}' THEN CAST({v!r} AS DOUBLE)" for k, v in TARGETS.items())} ELSE CAST({OTHER_WEIGHT!r} AS DOUBLE) END AS weight FROM s WHERE size > 0),
+        c AS (SELECT *, CAST({MAX_EPOCHS} AS DOUBLE) * CAST(size AS DOUBLE) / weight AS ratio FROM u WHERE weight > 0),
+        l AS (SELECT *, (CAST((SELECT sum(size) FROM s) AS DOUBLE) - CAST({MAX_EPOCHS} AS DOUBLE) * CAST(coalesce(sum(size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+            / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c WINDOW o AS (ORDER BY ratio, source NULLS FIRST)),
+        r AS (SELECT source, CASE WHEN level >= ratio THEN CAST({MAX_EPOCHS} AS DOUBLE) ELSE (SELECT max(level) FROM l WHERE level < ratio) * weight / CAST(size AS DOUBLE) END AS rate FROM l),
+        d AS (SELECT doc_id, d.source, rate, CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 8)) AS BIGINT) / 4294967296.0 AS draw FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+        SELECT doc_id, source, unnest(range(1, CAST(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) + 1)) AS copy FROM d""",
+    # The heap, one group a step.
+    "op9_sharding": f"""
+        WITH RECURSIVE g AS (SELECT coalesce(md5(text), '') AS grp, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS size FROM documents GROUP BY 1),
+        o AS (SELECT *, row_number() OVER (ORDER BY size DESC, grp) AS n FROM g),
+        h AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS grp, CAST(-1 AS BIGINT) AS shard, list_transform(range({SHARDS}), lambda x: CAST(0 AS BIGINT)) AS loads
+            UNION ALL
+            SELECT o.n, o.grp, list_position(h.loads, list_min(h.loads)) - 1, list_transform(h.loads, lambda x, i: CASE WHEN i = list_position(h.loads, list_min(h.loads)) THEN x + o.size ELSE x END)
+            FROM h JOIN o ON o.n = h.n + 1)
+        SELECT doc_id, CAST(shard AS BIGINT) AS shard FROM documents JOIN h ON coalesce(md5(text), '') = h.grp""",
 }
