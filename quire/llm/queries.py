@@ -6,12 +6,14 @@ from .decontaminate import K, WINDOW, find_spans
 from .kernel import WORD_RE
 from .mixing import MAX_EPOCHS, OTHER_WEIGHT, SEED, TARGETS, mix
 from .near_dedup import near_duplicates
+from .neighbours import nearest
 from .pii import find_pii
 from .quality import assess
 from .shared import read
 from .sharding import SHARDS, shard
 from .substring import repeats
 from .toxicity import classify
+from .url_filter import RULES, filter_urls
 
 
 def op1_decontaminate(spark, sf_dir):
@@ -26,10 +28,18 @@ def op3_mixing(spark, sf_dir):
     return mix(read(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark, sf_dir):
+    return filter_urls(read(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark, sf_dir):
     return assess(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_neighbours(spark, sf_dir):
+    return nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op7_pii(spark, sf_dir):
     return find_pii(read(spark, sf_dir, "documents"))
 
@@ -52,7 +62,9 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_near_dedup": op2_near_dedup,
     "op3_mixing": op3_mixing,
+    "op4_url_filter": op4_url_filter,
     "op5_quality": op5_quality,
+    "op6_neighbours": op6_neighbours,
     "op7_pii": op7_pii,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
@@ -88,4 +100,12 @@ SQL = {
             SELECT o.n, o.grp, list_position(h.loads, list_min(h.loads)) - 1, list_transform(h.loads, lambda x, i: CASE WHEN i = list_position(h.loads, list_min(h.loads)) THEN x + o.size ELSE x END)
             FROM h JOIN o ON o.n = h.n + 1)
         SELECT doc_id, CAST(shard AS BIGINT) AS shard FROM documents JOIN h ON coalesce(md5(text), '') = h.grp""",
+    "op4_url_filter": rf"""
+        WITH a AS (SELECT page_id, regexp_replace(regexp_replace(url, '^\s+|\s+$', '', 'g'), '#.*$', '') AS u FROM pages),
+        b AS (SELECT page_id, u, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*') AS head FROM a),
+        c AS (SELECT page_id, regexp_replace(regexp_replace(lower(head), '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1') AS host,
+            regexp_replace(regexp_replace(regexp_replace(regexp_replace(substr(u, length(head) + 1), '([?&])utm_[^&]*', '\1', 'g'), '&&+', '&', 'g'), '\?&+', '?', 'g'), '[?&]+$', '') AS tail FROM b),
+        d AS (SELECT page_id, host || CASE WHEN host <> '' AND NOT starts_with(tail, '/') THEN '/' || tail ELSE tail END AS canonical FROM c),
+        e AS (SELECT page_id, canonical, concat_ws(' ', {", ".join(f"CASE WHEN canonical GLOB '{r}' THEN '{r}' END" for r in RULES)}) AS rules FROM d)
+        SELECT page_id, canonical, coalesce(rules <> '', false) AS blocked, rules FROM e""",
 }
