@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import hash_ranges, list_array, lowered, ngrams, slices, table, words
-from .shared import cut, row_key
+from .shared import cut, fresh, row_key
 
 K, WINDOW = 8, 6
 BITMAP_BITS = 1 << 22
@@ -154,5 +154,6 @@ def find_spans(documents: DataFrame, benchmark: DataFrame, k: int = K, window: i
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """``documents`` without those that have a span of ``find_spans``; columns, order of columns and repeated rows stay."""
-    bad = cut(spans(documents, benchmark, k, window).select(F.col("row_key").alias("_bad_key")).distinct())
-    return documents.withColumn("_row_key", row_key()).join(bad, F.col("_row_key") == F.col("_bad_key"), "left_anti").select(*[documents[c] for c in documents.columns])
+    key, bad_key = fresh(documents, "_row_key"), fresh(documents, "_bad_key")
+    bad = cut(spans(documents, benchmark, k, window).select(F.col("row_key").alias(bad_key)).distinct())
+    return documents.withColumn(key, row_key()).join(bad, F.col(key) == F.col(bad_key), "left_anti").select(*documents.columns)

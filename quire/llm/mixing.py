@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, fresh
 
 #: Target weight by source; any other source has ``OTHER_WEIGHT``.
 TARGETS = {"src1": 6.0, "src2": 3.0, "src3": 0.5}
@@ -51,18 +51,18 @@ def allocate(sizes: DataFrame, targets: dict[str, float] | None = None, other_we
     return sizes.join(named, sizes.source.eqNullSafe(F.col("_source")), "left").select("source", "size", F.coalesce("rate", F.lit(0.0)).alias("rate"))
 
 
-def repeated(documents: DataFrame, seed: int = SEED, **options) -> DataFrame:
-    """``documents`` with the column ``_copy``: a row for each repetition, numbered from 1."""
-    spark = documents.sparkSession
+def repeated(documents: DataFrame, copy: str, seed: int = SEED, **options) -> DataFrame:
+    """``documents`` with the column ``copy``: a row for each repetition, numbered from 1."""
+    source, rate = fresh(documents, "_mix_source"), fresh(documents, "_mix_rate")
     sizes = documents.groupBy(F.col("source").cast("string").alias("source")).agg(F.sum(F.coalesce(F.length(F.col("text").cast("string")), F.lit(0))).cast("bigint").alias("size"))
-    rates = cut(allocate(cut(sizes), **options).select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate")))
+    rates = cut(allocate(cut(sizes), **options).select(F.col("source").alias(source), F.col("rate").alias(rate)))
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    joined = documents.join(F.broadcast(rates) if few else rates, documents["source"].cast("string").eqNullSafe(F.col("_mix_source")))
+    joined = documents.join(F.broadcast(rates) if few else rates, documents["source"].cast("string").eqNullSafe(F.col(source)))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(documents["doc_id"].cast("string"), documents["text"].cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    whole = F.floor("_mix_rate")
-    times = (whole + F.when(draw < F.col("_mix_rate") - whole, 1).otherwise(0)).cast("int")
+    whole = F.floor(rate)
+    times = (whole + F.when(draw < F.col(rate) - whole, 1).otherwise(0)).cast("int")
     copies = F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))
-    return joined.select(*[documents[c] for c in documents.columns], F.explode(copies).alias("_copy"))
+    return joined.select(*[documents[c] for c in documents.columns], F.explode(copies).alias(copy))
 
 
 def mix(documents: DataFrame, **options) -> DataFrame:
@@ -72,9 +72,10 @@ def mix(documents: DataFrame, **options) -> DataFrame:
     A source without any character has rate 0. The draw depends on seed and doc_id alone (on the text where doc_id is null), so repeated rows have equal numbers of copies.
     Empty documents give no rows. Other columns are ignored.
     """
-    return repeated(documents, **options).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("_copy").cast("bigint").alias("copy"))
+    copy = fresh(documents, "_copy")
+    return repeated(documents, copy, **options).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col(copy).cast("bigint").alias("copy"))
 
 
 def mix_documents(documents: DataFrame, **options) -> DataFrame:
     """``documents`` with each row as often as ``mix`` uses it."""
-    return repeated(documents, **options).select(*documents.columns)
+    return repeated(documents, fresh(documents, "_copy"), **options).select(*documents.columns)

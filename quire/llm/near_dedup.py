@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import hash_ranges, list_array, lowered, mix64, ngrams, seed64, slices, table, words
-from .shared import cut, row_key
+from .shared import cut, fresh, row_key
 
 COORDINATES, BAND_ROWS, THRESHOLD, SHINGLE = 64, 4, 0.5, 2
 
@@ -228,5 +228,6 @@ def near_duplicates(documents: DataFrame, **options) -> DataFrame:
 
 def drop_near_duplicates(documents: DataFrame, **options) -> DataFrame:
     """``documents`` with one row of each group of ``near_duplicates``; rows that agree in doc_id and text are one row, whatever else they hold."""
-    gone = cut(members(documents, **options).where("row_key <> kept_key").select(F.col("row_key").alias("_gone")).distinct())
-    return documents.withColumn("_row_key", row_key()).join(gone, F.col("_row_key") == F.col("_gone"), "left_anti").dropDuplicates(["_row_key"]).select(*documents.columns)
+    key, gone_key = fresh(documents, "_row_key"), fresh(documents, "_gone_key")
+    gone = cut(members(documents, **options).where("row_key <> kept_key").select(F.col("row_key").alias(gone_key)).distinct())
+    return documents.withColumn(key, row_key()).join(gone, F.col(key) == F.col(gone_key), "left_anti").dropDuplicates([key]).select(*documents.columns)

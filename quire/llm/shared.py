@@ -27,3 +27,11 @@ def row_key(doc_id: str = "doc_id", text: str = "text"):
     """32 hex digits that stand for (doc_id, text), nulls told apart from empty; rows that agree in both are interchangeable."""
     mark = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.when(F.col(text).isNull(), F.lit("\u0001")).otherwise(F.lit("\u0002")), F.coalesce(F.col(text), F.lit("")))
     return F.md5(mark)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
