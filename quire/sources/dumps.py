@@ -1,0 +1,42 @@
+"""Queues, reports and index records in files and databases."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def queue_from_json(spark: SparkSession, path: str) -> DataFrame:
+    """(path) from a JSON array of strings."""
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("path"))
+
+
+def queue_from_csv(spark: SparkSession, path: str, field: str = "path") -> DataFrame:
+    """(path) from a column of a CSV file with a header; fields may hold quoted commas and line breaks."""
+    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"').select(F.col(f"`{field}`").alias("path"))
+
+
+def report_from_json(spark: SparkSession, path: str) -> DataFrame:
+    """(path, code) from a JSON object of codes by path."""
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,int>")).alias("path", "code"))
+
+
+def queue_json(queue: DataFrame, path: str = "path") -> DataFrame:
+    """One row with a JSON array of the paths, sorted: a dump to be read as a whole, so it is gathered in one place."""
+    return queue.agg(F.to_json(F.sort_array(F.collect_list(path))).alias("json"))
+
+
+def report_json(reports: DataFrame, code: int | None = None, path: str = "path") -> DataFrame:
+    """One row with a JSON object of codes by path, sorted, optionally of one status only."""
+    kept = reports if code is None else reports.where(F.col("code") == code)
+    return kept.agg(F.coalesce(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(path, "code"))))), F.lit("{}")).alias("json"))
+
+
+def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
+    """A queue or report table of a database; filters and columns are pushed down to it."""
+    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+
+
+def dead_letters(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Index records that couldn't be written, to be written again."""
+    return spark.read.schema(schema).parquet(path)
