@@ -264,7 +264,7 @@ def examples(n: int, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]
             a, b, c = num(3), num(3), num(4)
             return kind, r.choice((f"+{num(r.randint(1, 2))} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{num(2)} {a} {b} {c}", f"+{num(1)}-{a}-{b}-{c}", f"+{num(11)}")), "", ""
         if kind == "ip":
-            return kind, ".".join(str(r.randint(0, 255)) for _ in range(4)), "", ""
+            return kind, ".".join(str(r.randint(0, r.choice((9, 99, 255, 255)))) for _ in range(4)), "", ""
         if kind == "card":
             x = r.choice("3456") + num(15)
             return kind, r.choice((x, x, " ".join(x[k : k + 4] for k in (0, 4, 8, 12)), "-".join(x[k : k + 4] for k in (0, 4, 8, 12)))), "", ""
