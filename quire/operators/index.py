@@ -45,7 +45,7 @@ def copy_fields(docs: DataFrame, mapping: Mapping[str, str | None], ident: str =
 
 
 def rehash(docs: DataFrame, pattern: str, replacement: str, ident: str = "id", path: str = "path", algorithm: str = "SHA-256") -> DataFrame:
-    """Documents whose path a regular expression changes, with the new path and parent path and an upper-case digest of the path as new id; ``old_id`` is the one to delete."""
+    """Documents whose id changes as a regular expression rewrites their paths: the new path and parent path, its upper-case digest as id, and ``old_id``, the one to delete."""
     moved = docs.withColumn("old_id", F.col(ident)).withColumn(path, F.regexp_replace(path, pattern, replacement))
     return moved.withColumn("parent_path", parent_path(F.col(path))).withColumn(ident, F.upper(digest(F.col(path), algorithm))).where(F.col(ident) != F.col("old_id"))
 
@@ -54,8 +54,7 @@ def apply_rehash(docs: DataFrame, pattern: str, replacement: str, **options) ->
     """The index after ``rehash``: new rows instead of the old ones. A projection, as each row has all that it takes."""
     ident, path, algorithm = options.get("ident", "id"), options.get("path", "path"), options.get("algorithm", "SHA-256")
     new_path = F.regexp_replace(path, pattern, replacement)
-    changed = new_path != F.col(path)
-    return docs.withColumns({ident: F.when(changed, F.upper(digest(new_path, algorithm))).otherwise(F.col(ident)), path: new_path})
+    return docs.withColumns({ident: F.upper(digest(new_path, algorithm)), path: new_path})
 
 
 def delete(docs: DataFrame, condition: Column | None = None, ids: list[str] | DataFrame | None = None, ident: str = "id") -> DataFrame:
@@ -92,7 +91,7 @@ def merge_into(old: DataFrame, new: DataFrame, ident: str = "id", atomic: bool =
         if c == ident:
             return F.coalesce(after, before).alias(c)
         if c in sets and c in old.columns and c in new.columns:
-            return F.sort_array(F.array_distinct(F.concat(F.coalesce(before, F.array().cast("array<string>")), F.coalesce(after, F.array().cast("array<string>"))))).alias(c)
+            return F.coalesce(F.sort_array(F.array_union(before, after)), before, after).alias(c)
         return (F.coalesce(after, before) if atomic else F.when(sent, after).otherwise(before)).alias(c)
 
     return joined.select(*[field(c) for c in dict.fromkeys([*old.columns, *new.columns])])
