@@ -29,13 +29,13 @@ def read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
-PATH = F.concat(F.lit("/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
 SQL_PATH = "('/' || source || '/' || lang || '/' || doc_id || '.txt')"
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
     """The ``documents`` table as an index: doc_id as id, with a path made from its source, language and id."""
-    return read(spark, d, "documents").withColumn("path", PATH)
+    path = F.concat(F.lit("/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return read(spark, d, "documents").withColumn("path", path)
 
 
 def long(c):
