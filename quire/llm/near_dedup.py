@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .kernel import hash_ranges, list_array, lowered, mix64, ngrams, seed64, slices, table, words
 from .shared import cut, fresh, row_key
 
-COORDINATES, BAND_ROWS, THRESHOLD, SHINGLE = 64, 4, 0.5, 2
+COORDINATES, BAND_ROWS, THRESHOLD, SHINGLE = 96, 4, 0.5, 2
 
 
 def elements(hashes: np.ndarray, owner: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
