@@ -8,8 +8,8 @@ A dart hits the document if its weight lies under the element's weight. All dart
 Where a coordinate stays empty, the rank is doubled for that document. Two documents agree in a coordinate with a
 probability equal to their weighted Jaccard similarity. The cost is a hash per element and ``O(k log k)`` darts, not ``k`` hashes per element.
 
-Documents with equal signatures are one node. Nodes that agree in all rows of a band meet in that band's bucket, where their
-whole signatures are compared. In a bucket the connected parts are found by breadth-first search, each step comparing one node with all nodes
+Documents with equal signatures are one node. Nodes that agree in all rows of a band meet in that band's bucket. Buckets of a single node are
+dropped while rows are 24 bytes long; only to the others the sketches are brought, and there they are compared. In a bucket the connected parts are found by breadth-first search, each step comparing one node with all nodes
 not yet reached, so no pair is dropped however large the bucket, while tight groups cost little more than their size.
 Connected components over all buckets are the groups.
 """
@@ -178,6 +178,25 @@ def _link(threshold: float):
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of buckets with more than one node; the batches of a partition come sorted by key."""
+    held: pa.RecordBatch | None = None  # the last row so far, and whether it has been given out
+    given = False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column("band").to_numpy()
+        same = key[1:] == key[:-1]
+        keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        if held is not None and held.column("band")[0].as_py() == key[0]:
+            keep[0] = True
+            if not given:
+                yield held
+        if keep.any():
+            yield batch.filter(pa.array(keep))
+        held, given = batch.slice(batch.num_rows - 1), bool(keep[-1])
+
+
 def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     column = column.combine_chunks().cast(pa.large_binary())
     _, offsets, data = column.buffers()
@@ -205,7 +224,8 @@ def members(documents: DataFrame, threshold: float = THRESHOLD, k: int = COORDIN
     """(doc_id, row_key, kept_doc_id, kept_key) of every row in a group of more than one; the kept row of a group has the least (doc_id, row_key), null ids last."""
     signed = cut(documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text"), row_key().alias("row_key")).mapInArrow(_sign(k, band_rows, shingle), "doc_id bigint, row_key string, node binary, sketch binary, bands array<bigint>"))
     nodes = signed.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    edges = nodes.select("node", "sketch", F.explode("bands").alias("band")).repartition("band").sortWithinPartitions("band").mapInArrow(_link(threshold), "a binary, b binary")
+    met = nodes.select(F.explode("bands").alias("band"), "node").repartition("band").sortWithinPartitions("band").mapInArrow(_shared, "band bigint, node binary")
+    edges = met.join(nodes.select("node", "sketch"), "node").select("node", "sketch", "band").repartition("band").sortWithinPartitions("band").mapInArrow(_link(threshold), "a binary, b binary")
     rooted = signed.select("doc_id", "row_key", "node").join(components(edges), "node", "left").select("doc_id", "row_key", F.coalesce("root", "node").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
     groups = rooted.groupBy("root").agg(F.min(order).alias("kept"), F.count("*").alias("n")).where("n > 1")

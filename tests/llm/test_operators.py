@@ -187,6 +187,16 @@ def test_parts_are_connected_parts():
     assert (got == label).all()
 
 
+def test_shared_buckets_across_batches():
+    r = random.Random(5)
+    for _ in range(200):
+        keys = sorted(r.choices(range(12), k=r.randint(0, 14)))
+        whole = pa.record_batch([pa.array(keys, pa.int64()), pa.array(range(len(keys)))], names=["band", "node"])
+        cuts = sorted({0, len(keys), *r.choices(range(len(keys) + 1), k=4)})
+        got = [x for b in near_dedup._shared(whole.slice(a, z - a) for a, z in zip(cuts, cuts[1:])) for x in b.column("node").to_pylist()]
+        assert got == [i for i, k in enumerate(keys) if keys.count(k) > 1]
+
+
 def test_components_of_a_long_chain(spark):
     n = 60
     e = [(bytes([i]), bytes([i + 1])) for i in range(n)] + [(b"\xff", b"\xfe"), (b"\xff", b"\xff")]
