@@ -37,3 +37,8 @@ def cached(keys: DataFrame, cache: DataFrame, compute, key: str) -> tuple[DataFr
     missing = keys.select(key).distinct().join(cache.select(key), key, "left_anti")
     made = compute(missing)
     return keys.join(cache.unionByName(made), key, "left"), made
+
+
+def of_parsed(docs: DataFrame) -> DataFrame:
+    """(id, page_no, text, start, end) of parsed documents with pages."""
+    return offsets(docs.select("id", F.posexplode("pages").alias("page_no", "text")))

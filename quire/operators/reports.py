@@ -50,3 +50,8 @@ def in_flight(running: DataFrame, now: Column, path: str = "path", started: str
     """One line with every running path and its seconds, ``none`` if there is none."""
     each = F.concat(F.col(path), F.lit(" ("), F.floor((F.unix_millis(now) - F.unix_millis(F.col(started))) / 1000).cast("string"), F.lit("s)"))
     return running.agg(F.array_join(F.sort_array(F.collect_list(each)), "; ").alias("s")).select(F.when(F.col("s") == "", "none").otherwise(F.col("s")).alias("in_flight"))
+
+
+def contains(table: DataFrame, value: str, path: str = "path") -> bool:
+    """Whether a queue or report table has a path; the scan stops at the first."""
+    return not table.where(F.col(path) == value).isEmpty()

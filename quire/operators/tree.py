@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import data_uri, replace_tokens
 from .filters import too_deep, too_large
 
 
@@ -122,3 +123,14 @@ def resolve(artifacts: DataFrame, ident: str, parse_root) -> DataFrame:
     """The embedded document with an id: from the artifact table, or, if it isn't there, from ``parse_root()``, which parses its root again. No row if neither has it."""
     cached = artifacts.where(F.col("id") == ident)
     return parse_root().where(F.col("id") == ident).limit(1) if cached.isEmpty() else cached.limit(1)
+
+
+def inline_embeds(docs: DataFrame, artifacts: DataFrame, opening: str = "embedded:", closing: str = ":", ident: str = "id", content: str = "content") -> DataFrame:
+    """``docs`` with links to their embedded documents (``opening`` name ``closing``) replaced by ``data:`` URIs; links to what isn't there stay.
+
+    ``artifacts`` has (parent_id, name, content_type, raw). Only documents that have any are rewritten.
+    """
+    uri = data_uri(F.col("content_type"), F.col("raw"))
+    known = artifacts.groupBy("parent_id").agg(F.map_from_entries(F.collect_list(F.struct("name", F.regexp_replace(uri, "[\r\n]", "").alias("uri")))).alias("_known"))
+    joined = docs.join(known.withColumnRenamed("parent_id", "_parent"), F.col(ident) == F.col("_parent"), "left")
+    return joined.withColumn(content, F.when(F.col("_known").isNull(), F.col(content)).otherwise(replace_tokens(F.col(content), opening, closing, F.col("_known")))).drop("_known", "_parent")

@@ -603,3 +603,39 @@ def mail_tree(spark, d):
     mail = F.concat(F.lit("From: a@b.example\r\nSubject: conversation "), F.col("conv_id").cast("string"), F.lit('\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary="x"\r\n\r\n'), F.array_join(F.transform("p", lambda x: x["part"]), ""), F.lit("--x--\r\n"))
     p = parse(c.select(F.concat(F.lit("/mail/"), F.col("conv_id").cast("string"), F.lit(".eml")).alias("path"), mail.alias("content")), content="content")
     return p.select("path", "id", "parent_id", "level", "ordinal", "name", "content_type", "content")
+
+
+@query()
+def block_reassembly(spark, d):
+    """Every conversation's turns as numbered blocks, joined again."""
+    from ..operators.blocks import reassemble
+
+    c = read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("id"), F.col("turn").alias("block"), F.col("text").cast("binary").alias("data"))
+    length = c.groupBy("id").agg(F.sum(F.octet_length("data")).alias("length"))
+    return reassemble(c, length).select("id", F.md5("content").alias("digest"))
+
+
+SQL["block_reassembly"] = "SELECT CAST(conv_id AS VARCHAR) AS id, md5(string_agg(text, '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id"
+
+
+@query()
+def walk_scan(spark, d):
+    """Every file below the tables' folder."""
+    from ..sources.walk import walk
+
+    return walk(spark, [d]).select("name", "size", "depth", "error")
+
+
+@query(SQL["report_latest"])
+def stream_latest(spark, d):
+    """``report_latest`` from a replay of the events as a stream, in batches, ending when all are read."""
+    import tempfile
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quire-stream-")
+    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(read(spark, d, "events").schema).option("maxFilesPerTrigger", 64).parquet(f"{d}/events.parque[t]")
+    best = events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max("ts").alias("ts"))
+    write = lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/latest")
+    best.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/latest").select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))

@@ -37,6 +37,11 @@ def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
+def to_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", **options: str) -> None:
+    """Adds to a queue or report table of a database; each task writes its rows in one transaction."""
+    df.write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
+
+
 def dead_letters(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Index records that couldn't be written, to be written again."""
     return spark.read.schema(schema).parquet(path)

@@ -15,10 +15,13 @@ import hashlib
 import io
 import mailbox
 import re
+import signal
 import tarfile
 import tempfile
+import threading
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from html import escape
 from html.parser import HTMLParser
@@ -333,9 +336,51 @@ def count_entries(data: bytes) -> int | None:
         return None
 
 
+STRATEGIES = ("NO_OCR", "AUTO", "OCR_AND_TEXT", "OCR_ONLY")
+
+
+class TimeoutException(Exception):
+    pass
+
+
+@contextmanager
+def limited(seconds: int) -> Iterator[None]:
+    """Breaks off what runs inside after some seconds; no limit for 0, or outside of a process's main thread."""
+    if seconds <= 0 or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(*_):
+        raise TimeoutException(f"more than {seconds} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(seconds)
+    try:
+        yield
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def clean_metadata(data: bytes, kind: str) -> bytes:
+    """A cleaner for ``Options``: office documents without their properties; anything else unchanged."""
+    if not kind.startswith("application/vnd.openxmlformats"):
+        return data
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(data)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+        for info in old.infolist():
+            if not info.filename.startswith("docProps/"):
+                new.writestr(info, old.read(info))
+    return out.getvalue()
+
+
 @dataclass(frozen=True)
 class Options:
-    """How to parse: ``embeds`` is spawn (children are rows), concatenate (their text joins their parent's) or ignore."""
+    """How to parse: ``embeds`` is spawn (children are rows), concatenate (their text joins their parent's) or ignore.
+
+    ``ocr`` gives an image's text and confidence (0 to 1) from bytes and type; ``transcode`` makes an image of another type readable for it. ``selector`` tells from a
+    document's metadata whether it gets ``output`` or plain text. ``keep_raw`` keeps the bytes, of failed documents too. ``timeout`` is for each file, in seconds.
+    """
 
     embeds: str = "spawn"
     output: str = "text"
@@ -344,8 +389,19 @@ class Options:
     max_depth: int = 20
     max_bytes: int = 0
     ocr: Callable[[bytes, str], tuple[str, float]] | None = None
+    ocr_strategy: str = "AUTO"
     ocr_least_bytes: int = 0
+    ocr_types: tuple[str, ...] = ("image/png", "image/jpeg", "image/tiff", "image/gif")
+    transcode: Callable[[bytes, str], bytes] | None = None
     cleaner: Callable[[bytes, str], bytes] | None = None
+    selector: Callable[[dict[str, list[str]]], bool] | None = None
+    keep_raw: bool = False
+    timeout: int = 0
+
+    def strategy(self) -> str:
+        """One of ``STRATEGIES``; no OCR without an engine or for an unknown name. ``OCR_ONLY`` leaves out text that isn't from OCR."""
+        name = self.ocr_strategy.upper()
+        return name if self.ocr and name in STRATEGIES else "NO_OCR"
 
 
 def unfold(path: str, data: bytes | None, options: Options, parsers: dict[str, Parser]) -> Iterator[dict]:
@@ -362,7 +418,7 @@ def unfold(path: str, data: bytes | None, options: Options, parsers: dict[str, P
         ident = own if parent is None else hashlib.new(options.algorithm, "".join(x for x in (own, parent["id"], relation, name) if x is not None).encode()).hexdigest()
         row = {
             "id": ident, "root_id": parent["root_id"] if parent else ident, "parent_id": parent["id"] if parent else None, "level": level, "ordinal": ordinal, "path": path, "name": name,
-            "content_type": None, "content": None, "size": len(data), "digest": own, "metadata": {}, "pages": [], "no_content_reason": None, "error": None, "skipped_depth": 0, "skipped_size": 0, "ocr_confidence": None,
+            "content_type": None, "content": None, "size": len(data), "digest": own, "metadata": {}, "pages": [], "no_content_reason": None, "error": None, "skipped_depth": 0, "skipped_size": 0, "ocr_confidence": None, "raw": data if options.keep_raw else None,
         }
         ordinal += 1
         kids: list[dict] = []
@@ -375,13 +431,16 @@ def unfold(path: str, data: bytes | None, options: Options, parsers: dict[str, P
                 data = options.cleaner(data, kind)
             if not data:
                 row["no_content_reason"] = EMPTY
-            elif options.ocr and kind.startswith("image/") and len(data) >= options.ocr_least_bytes:
-                row["content"], row["ocr_confidence"] = options.ocr(data, kind)
+            elif options.strategy() != "NO_OCR" and kind.startswith("image/") and len(data) >= options.ocr_least_bytes and (kind in options.ocr_types or options.transcode):
+                image = data if kind in options.ocr_types else options.transcode(data, kind)
+                row["content"], row["ocr_confidence"] = options.ocr(image, kind if kind in options.ocr_types else "image/png")
+                row["metadata"] = {"ocr:parser": [getattr(options.ocr, "__name__", "ocr")], "ocr:confidence": [str(row["ocr_confidence"])]}
             elif kind not in parsers:
                 row["no_content_reason"] = NO_CONTENT
             else:
                 p = parsers[kind](data)
-                row["content"] = p.html if options.output == "html" and p.html is not None else p.text
+                shaped = options.output == "html" and (options.selector is None or options.selector(p.metadata))
+                row["content"] = None if options.strategy() == "OCR_ONLY" else p.html if shaped and p.html is not None else p.text
                 row["metadata"], row["pages"], row["no_content_reason"] = p.metadata, p.pages, p.reason
                 row["content_type"] = p.metadata.get("Content-Type", [kind])[0]
                 nameless = 0
@@ -404,6 +463,8 @@ def unfold(path: str, data: bytes | None, options: Options, parsers: dict[str, P
                         if options.embeds == "concatenate" or not any(b["error"] for b in below):
                             continue
                     kids += below
+        except TimeoutException:
+            raise
         except Encrypted as e:
             row["no_content_reason"], row["error"] = ENCRYPTED, f"EncryptedDocumentException: {e}"
         except RuntimeError as e:
@@ -414,15 +475,22 @@ def unfold(path: str, data: bytes | None, options: Options, parsers: dict[str, P
         yield row
         yield from kids
 
+    failed = {"id": hashlib.new(options.algorithm, path.encode()).hexdigest(), "path": path, "level": 0, "ordinal": 0, "metadata": {}, "pages": [], "skipped_depth": 0, "skipped_size": 0}
+    failed["root_id"] = failed["id"]
     if data is None:
-        yield {"id": hashlib.new(options.algorithm, path.encode()).hexdigest(), "path": path, "level": 0, "ordinal": 0, "error": f"NoSuchFileException: {path}", "metadata": {}, "pages": [], "skipped_depth": 0, "skipped_size": 0}
-    else:
-        yield from go(data, path.rpartition("/")[2], None, None, None)
+        yield failed | {"error": f"NoSuchFileException: {path}"}
+        return
+    try:
+        with limited(options.timeout):
+            rows = list(go(data, path.rpartition("/")[2], None, None, None))
+    except TimeoutException as e:
+        rows = [failed | {"error": f"TimeoutException: {e}", "size": len(data), "raw": data if options.keep_raw else None}]
+    yield from rows
 
 
 COLUMNS = (
     "id string, root_id string, parent_id string, level int, ordinal int, path string, name string, content_type string, content string, size bigint, digest string, "
-    "metadata map<string,array<string>>, pages array<string>, no_content_reason string, error string, skipped_depth int, skipped_size int, ocr_confidence double"
+    "metadata map<string,array<string>>, pages array<string>, no_content_reason string, error string, skipped_depth int, skipped_size int, ocr_confidence double, raw binary"
 )
 _NAMES = [c.split(" ")[0] for c in COLUMNS.split(", ")]
 
@@ -460,3 +528,20 @@ def parse(files: DataFrame, options: Options = Options(), path: str = "path", co
 
     chosen = files.select(F.col(path).alias("path"), *([F.col(content).alias("content")] if content else []))
     return chosen.mapInPandas(run, COLUMNS)
+
+
+def archive_entries(files: DataFrame, path: str = "path", content: str | None = None) -> DataFrame:
+    """(path, entries) of files: entries of plain archives, null for anything else."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for i, p in enumerate(batch["path"]):
+                try:
+                    data = bytes(batch["content"][i]) if content else open(p, "rb").read()
+                except OSError:
+                    data = b""
+                out.append((p, count_entries(data)))
+            yield pd.DataFrame(out, columns=["path", "entries"]).astype({"entries": "Int64"})
+
+    return files.select(F.col(path).alias("path"), *([F.col(content).cast("binary").alias("content")] if content else [])).mapInPandas(run, "path string, entries bigint")

@@ -145,6 +145,58 @@ def test_ocr_and_cleaner_hooks():
     assert unfold(b"secret text", cleaner=lambda d, k: d.replace(b"secret ", b""))[0]["content"] == "text"
 
 
+def test_strategies_selector_timeout_raw_and_transcoding():
+    png, odd = b"\x89PNG\r\n\x1a\n" + b"0" * 50, b"II*\x00" + b"1" * 9
+    read = lambda d, k: (k, 0.5)
+    assert [parsers.Options(ocr=o, ocr_strategy=s).strategy() for o, s in ((read, "ocr_only"), (read, "whatever"), (None, "AUTO"))] == ["OCR_ONLY", "NO_OCR", "NO_OCR"]
+    assert unfold(png, ocr=read)[0]["metadata"]["ocr:confidence"] == ["0.5"]
+    assert unfold(b"text", ocr=read, ocr_strategy="OCR_ONLY")[0]["content"] is None
+    assert unfold(odd, ocr=read, ocr_types=("image/png",))[0]["no_content_reason"] == parsers.NO_CONTENT
+    assert unfold(odd, ocr=read, ocr_types=("image/png",), transcode=lambda d, k: png)[0]["content"] == "image/png"
+    html = b"<html><head><title>plain</title></head><body>x</body></html>"
+    assert unfold(html, output="html", selector=lambda m: m["title"] != ["plain"])[0]["content"] == "x"
+    (slow,) = unfold(b"text", timeout=1, cleaner=lambda d, k: __import__("time").sleep(5))
+    assert slow["error"].startswith("TimeoutException")
+    broken = unfold(b"PK\x03\x04broken", keep_raw=True)[0]
+    assert broken["error"] and broken["raw"] == b"PK\x03\x04broken"
+    office = zipped(**{"word__document.xml": "<x/>", "docProps__core.xml": "<author/>"})
+    cleaned = parsers.clean_metadata(office, parsers.detect(office))
+    assert zipfile.ZipFile(io.BytesIO(cleaned)).namelist() == ["word/document.xml"] and parsers.clean_metadata(b"x", "text/plain") == b"x"
+
+
+def test_blocks(spark):
+    import zlib
+
+    from quire.operators.blocks import reassemble
+
+    packed, swap = zlib.compress(b"content" * 50), bytes(255 - i for i in range(256))
+    rows = [("z", 1, packed[9:]), ("z", 0, packed[:9]), ("raw", 0, b"abc"), ("short", 0, b"ab")]
+    df = spark.createDataFrame(rows, "id string, block int, data binary")
+    length = spark.createDataFrame([("z", 350), ("raw", 3), ("short", 3)], "id string, length int")
+    got = {r.id: r.content and bytes(r.content) for r in reassemble(df, length).collect()}
+    assert got == {"z": b"content" * 50, "raw": b"abc", "short": None}
+    turned = spark.createDataFrame([(i, n, d.translate(swap)) for i, n, d in rows], "id string, block int, data binary")
+    assert {r.id: r.content and bytes(r.content) for r in reassemble(turned, length, permutation=swap).collect()} == got
+
+
+def test_archive_entries_and_pages(spark, tmp_path):
+    (tmp_path / "a.zip").write_bytes(zipped(a="1", d__b="2"))
+    (tmp_path / "p.html").write_text('<html><body><div class="page">one</div><div class="page">two</div></body></html>')
+    files_ = walk(spark, [str(tmp_path)])
+    assert {os.path.basename(r.path): r.entries for r in parsers.archive_entries(files_).collect()} == {"a.zip": 2, "p.html": None}
+    from quire.operators.pages import of_parsed
+
+    assert sorted((r.text, r.start, r.end) for r in of_parsed(parsers.parse(files_)).collect()) == [("one", 0, 3), ("two", 4, 7)]
+
+
+def test_inline_embeds(spark):
+    from quire.operators.tree import inline_embeds
+
+    docs = spark.createDataFrame([("r", '<a href="embedded:x.png:">x</a> embedded:y:'), ("q", "embedded:x.png:")], "id string, content string")
+    art = spark.createDataFrame([("r", "x.png", "image/png", bytearray(b"abc"))], "parent_id string, name string, content_type string, raw binary")
+    assert {r.id: r.content for r in inline_embeds(docs, art).collect()} == {"r": '<a href="data:image/png;base64,YWJj">x</a> embedded:y:', "q": "embedded:x.png:"}
+
+
 def test_other_containers(tmp_path):
     out = io.BytesIO()
     with tarfile.open(fileobj=out, mode="w") as t:
