@@ -5,9 +5,10 @@ is kept as a fingerprint, on both sides, so two texts that share ``k + window -
 a fingerprint there. Shared fingerprints are extended over the tokens on either side; what is reported are all maximal
 common spans of at least ``k + window - 1`` tokens, none missed.
 
-The corpus is read once and never shuffled: a bitmap of the benchmark's fingerprints (its size is a
-parameter, whatever the benchmark's) drops nearly all of the corpus's fingerprints where they are made. It can let
-some through in vain, never drop one that matters; the join that follows is exact.
+The corpus is read once and never shuffled. A benchmark of up to ``LOCAL_TOKENS`` tokens (counted first) goes to all
+tasks, which find, extend and decide where they read. Of a larger one they only get a bitmap of its fingerprints, of fixed size, that
+drops nearly all of the corpus's fingerprints where they are made. It can let some through in vain, never drop
+one that matters; those are joined with the benchmark's, which is exact, and extended after that. Both ways give the same spans.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from .shared import cut, fresh, row_key
 
 K, WINDOW = 8, 6
 BITMAP_BITS = 1 << 22
+LOCAL_TOKENS = 4_000_000
 
 _SPANS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("doc_start", pa.int64()), ("item_start", pa.int64()), ("n_tokens", pa.int64()), ("row_key", pa.string())])
 
@@ -99,6 +101,51 @@ def _corpus(k: int, window: int, bits):
     return run
 
 
+class Matcher:
+    """The benchmark as arrays: its tokens, and its fingerprints in order with their items and places."""
+
+    def __init__(self, bench: pa.Table, k: int, window: int) -> None:
+        self.k, self.window = k, window
+        self.ids = bench.column("item_id").to_pylist()
+        flat = lambda name, kind: np.concatenate([np.zeros(0, kind), *(x.values.to_numpy(zero_copy_only=False).astype(kind) for x in bench.column(name) if x.values is not None)])
+        size = lambda name: np.array([len(x) for x in bench.column(name)], np.int64)
+        self.tokens, counts = flat("tokens", np.int64), size("tokens")
+        self.end = np.cumsum(counts)
+        self.begin = self.end - counts
+        fp, at, item = flat("fp", np.int64), flat("at", np.int64), np.repeat(np.arange(len(self.ids)), size("fp"))
+        order = np.argsort(fp, kind="stable")
+        self.fp, self.at, self.item = fp[order], at[order], item[order]
+
+    def spans(self, part: pa.RecordBatch) -> list[tuple[int, int, int, int, int]]:
+        """(row, item, start in the row, start in the item, tokens), starts in tokens."""
+        hashes, owner, first = _tokens(part)
+        tokens = hashes.view(np.int64)
+        at, fp = winnow(hashes, owner, self.k, self.window)
+        fp = fp.view(np.int64)
+        low, high = np.searchsorted(self.fp, fp, "left"), np.searchsorted(self.fp, fp, "right")
+        hit = np.flatnonzero(high > low)
+        if not len(hit):
+            return []
+        times = (high - low)[hit]
+        where = np.repeat(at[hit], times)
+        index = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low[hit], times)
+        row = owner[where]
+        lines = np.unique(np.stack((row, self.item[index], where - first[row] - self.at[index]), axis=1), axis=0)
+        out = []
+        for r, i, shift in lines.tolist():
+            a, b = tokens[first[r] : first[r + 1]], self.tokens[self.begin[i] : self.end[i]]
+            out += [(r, i, *x) for x in aligned(a, b, shift, self.k + self.window - 1)]
+        return out
+
+
+def aligned(a: np.ndarray, b: np.ndarray, shift: int, least: int) -> list[tuple[int, int, int]]:
+    """(start in a, start in b, length) of the runs of at least ``least`` equal tokens with ``b`` moved by ``shift``."""
+    low, high = max(0, -shift), min(len(b), len(a) - shift)
+    same = np.concatenate(([0], (a[low + shift : high + shift] == b[low:high]).astype(np.int8), [0]))
+    turn = np.flatnonzero(np.diff(same))
+    return [(s + low + shift, s + low, e - s) for s, e in zip(turn[::2].tolist(), turn[1::2].tolist()) if e - s >= least]
+
+
 def _extend(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,20 +154,29 @@ def _extend(least: int):
             columns = [batch.column(c).to_pylist() for c in ("row", "doc_id", "item_id", "shift", "row_key")]
             for i, (row, doc, item, shift, key) in enumerate(zip(*columns)):
                 a, b = tokens[i].values.to_numpy(zero_copy_only=False), item_tokens[i].values.to_numpy(zero_copy_only=False)
-                low, high = max(0, -shift), min(len(b), len(a) - shift)
-                same = np.concatenate(([0], (a[low + shift : high + shift] == b[low:high]).astype(np.int8), [0]))
-                turn = np.flatnonzero(np.diff(same))
-                out += [(row, doc, item, s + low + shift, s + low, e - s, key) for s, e in zip(turn[::2].tolist(), turn[1::2].tolist()) if e - s >= least]
+                out += [(row, doc, item, *x, key) for x in aligned(a, b, shift, least)]
             if out:
                 yield table(_SPANS, *zip(*out))
 
     return run
 
 
-def spans(documents: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
-    """Maximal common spans with ``row`` (a number of the document's row), ``row_key`` and the columns of ``find_spans``."""
+def _prepared(benchmark: DataFrame, k: int, window: int) -> DataFrame:
+    """Tokens and fingerprints of each item."""
+    items = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string").alias("text"))
+    return cut(items.mapInArrow(_benchmark(k, window), "item_id bigint, tokens array<bigint>, at array<int>, fp array<bigint>").withColumn("item", F.monotonically_increasing_id()))
+
+
+def _matcher(bench: DataFrame, k: int, window: int, most: int):
+    """A broadcast ``Matcher``, or None if the benchmark has more than ``most`` tokens."""
+    if (bench.agg(F.sum(F.size("tokens"))).first()[0] or 0) > most:
+        return None
+    return bench.sparkSession.sparkContext.broadcast(Matcher(bench.select("item_id", "tokens", "at", "fp").toArrow(), k, window))
+
+
+def _joined(documents: DataFrame, bench: DataFrame, k: int, window: int, bitmap_bits: int) -> DataFrame:
+    """Spans by joining fingerprints, for a benchmark of any size."""
     spark = documents.sparkSession
-    bench = cut(benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string").alias("text")).mapInArrow(_benchmark(k, window), "item_id bigint, tokens array<bigint>, at array<int>, fp array<bigint>").withColumn("item", F.monotonically_increasing_id()))
     marks = bench.select(F.explode("fp").alias("fp")).select(F.col("fp").bitwiseAND(bitmap_bits - 1).alias("slot")).distinct().toArrow().column(0).to_numpy()
     bitmap = np.zeros(bitmap_bits // 8, np.uint8)
     np.bitwise_or.at(bitmap, marks >> 3, np.left_shift(np.uint8(1), (marks & 7).astype(np.uint8)))
@@ -141,7 +197,7 @@ def spans(documents: DataFrame, benchmark: DataFrame, k: int = K, window: int =
     return pairs.select("row", "doc_id", "item_id", "shift", "row_key", "tokens", "item_tokens").mapInArrow(_extend(k + window - 1), "row bigint, doc_id bigint, item_id bigint, doc_start bigint, item_start bigint, n_tokens bigint, row_key string")
 
 
-def find_spans(documents: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
+def find_spans(documents: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, local_tokens: int = LOCAL_TOKENS, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
     """(doc_id, item_id, doc_start, item_start, n_tokens): every maximal run of at least ``k + window - 1`` tokens
     that a document shares with a benchmark item; starts count tokens from 0.
 
@@ -149,11 +205,37 @@ def find_spans(documents: DataFrame, benchmark: DataFrame, k: int = K, window: i
     they are. Repeated rows on either side give repeated spans; a passage that occurs several times gives one
     span for each place. Empty tables give no rows. Other columns, whatever their names, are ignored.
     """
-    return spans(documents, benchmark, k, window).select("doc_id", "item_id", "doc_start", "item_start", "n_tokens")
+    bench = _prepared(benchmark, k, window)
+    shared = _matcher(bench, k, window, local_tokens)
+    if shared is None:
+        return _joined(documents, bench, k, window, bitmap_bits).select("doc_id", "item_id", "doc_start", "item_start", "n_tokens")
+    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "item_id", "doc_start", "item_start", "n_tokens")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                found = shared.value.spans(part)
+                if found:
+                    row, item, *numbers = zip(*found)
+                    yield table(schema, part.column("doc_id").take(pa.array(row)), [shared.value.ids[i] for i in item], *numbers)
+
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, item_id bigint, doc_start bigint, item_start bigint, n_tokens bigint")
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, local_tokens: int = LOCAL_TOKENS, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
     """``documents`` without those that have a span of ``find_spans``; columns, order of columns and repeated rows stay."""
+    bench = _prepared(benchmark, k, window)
+    shared = _matcher(bench, k, window, local_tokens)
+    if shared is not None:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch):
+                    clean = np.ones(part.num_rows, bool)
+                    clean[[row for row, *_ in shared.value.spans(part)]] = False
+                    yield part.filter(pa.array(clean))
+
+        return documents.mapInArrow(run, documents.schema)
     key, bad_key = fresh(documents, "_row_key"), fresh(documents, "_bad_key")
-    bad = cut(spans(documents, benchmark, k, window).select(F.col("row_key").alias(bad_key)).distinct())
+    bad = cut(_joined(documents, bench, k, window, bitmap_bits).select(F.col("row_key").alias(bad_key)).distinct())
     return documents.withColumn(key, row_key()).join(bad, F.col(key) == F.col(bad_key), "left_anti").select(*documents.columns)
