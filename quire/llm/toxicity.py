@@ -65,47 +65,50 @@ def sentences(text: str, terms=IDENTITY_TERMS) -> list[str]:
     return [s for s in parts if any(w.strip(".,;:!?\"'()").lower() in named for w in s.split())]
 
 
-def fit(texts: list[str], toxic: np.ndarray, bits: int = FEATURE_BITS, counterfactual: float = COUNTERFACTUAL, l1: float = L1, terms=IDENTITY_TERMS, rounds: int = 200) -> np.ndarray:
+def fit(texts: pa.Array | list[str], toxic: np.ndarray, bits: int = FEATURE_BITS, counterfactual: float = COUNTERFACTUAL, l1: float = L1, terms=IDENTITY_TERMS, rounds: int = 200) -> np.ndarray:
     """Weights by accelerated proximal gradient; the last one is the bias.
 
     Without both classes, the bias alone decides: all documents are as the labels say, or clean where there are none.
     """
     size = 1 << bits
     weights = np.zeros(size + 1)
-    if not len(texts) or toxic.min() == toxic.max():
-        weights[-1] = 4.0 if len(texts) and toxic.max() else -4.0
+    n = len(texts)
+    if not n or toxic.min() == toxic.max():
+        weights[-1] = 4.0 if n and toxic.max() else -4.0
         return weights
-    parts, done = [], 0
-    for part in slices(pa.record_batch([pa.array(texts, pa.string())], names=["text"])):
-        own, feat = features(part.column("text"), bits)
-        parts.append(((own + done).astype(np.int32), feat.astype(np.int32)))
-        done += part.num_rows
-    own, feat = (np.concatenate(x) for x in zip(*parts))
-    left, right = [], []
-    for t in texts:
-        for s in sentences(t or "", terms):
-            for v in swapped(s, terms):
-                left.append(s)
-                right.append(v)
-    used, feat = np.unique(feat, return_inverse=True)
+    y = toxic.astype(np.float64)
+    parts, left, right, done = [], [], [], 0
+    counts, bad = np.zeros(size), np.zeros(size)
+    column = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.string())
+    for chunk in pa.Table.from_arrays([column], names=["text"]).to_batches():
+        for part in slices(chunk):
+            own, feat = features(part.column("text"), bits)
+            own += done
+            done += part.num_rows
+            counts += np.bincount(feat, minlength=size)
+            bad += np.bincount(feat, y[own], minlength=size)
+            parts.append((own.astype(np.int32), feat.astype(np.int32)))
+            for t in part.column("text").to_pylist():
+                for s in sentences(t or "", terms):
+                    for v in swapped(s, terms):
+                        left.append(s)
+                        right.append(v)
+    odds = np.log((bad + 0.5) / (y.sum() + 1) / ((counts - bad + 0.5) / (n - y.sum() + 1)))
+    used = np.flatnonzero((odds > 0) & (bad > 1))  # what two toxic texts share, and more so than clean ones; the others' weights are 0
+    m = len(used)
+    number = np.full(size, -1, np.int32)
+    number[used] = np.arange(m)
+    kept = [(own[number[feat] >= 0], number[feat][number[feat] >= 0]) for own, feat in parts]
+    del parts
+    own, feat = (np.concatenate(x).astype(np.intp) for x in zip(*kept))
     pairs = None
     if left:
         (ol, fl), (orr, fr) = features(pa.array(left), bits), features(pa.array(right), bits)
-        used2 = np.unique(np.concatenate((used, fl, fr)))
-        feat = np.searchsorted(used2, used[feat])
-        used = used2
-        pairs = np.concatenate((ol, orr)), np.concatenate((np.searchsorted(used, fl), np.searchsorted(used, fr))), np.concatenate((np.ones(len(fl)), -np.ones(len(fr))))
-    n, m = len(texts), len(used)
-    y = toxic.astype(np.float64)
+        po, pf, sign = np.concatenate((ol, orr)), number[np.concatenate((fl, fr))], np.concatenate((np.ones(len(fl)), -np.ones(len(fr))))
+        pairs = po[pf >= 0], pf[pf >= 0], sign[pf >= 0]
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    counts = np.bincount(feat, minlength=m)
-    bad = np.bincount(feat, y[own], minlength=m)
-    odds = np.log((bad + 0.5) / (y.sum() + 1) / ((counts - bad + 0.5) / (n - y.sum() + 1)))
-    free = (odds > 0) & (bad > 1)  # what two toxic texts share, and more so than clean ones
-    keep = free[feat]
-    own, feat = own[keep], feat[keep]
-    scale = np.where(free, 1 / np.sqrt(np.maximum(counts, 1)), 0.0)  # rare features may move as far as common ones
-    l1 = l1 / np.maximum(odds, 0.1)
+    scale = 1 / np.sqrt(counts[used])  # rare features may move as far as common ones
+    l1 = l1 / np.maximum(odds[used], 0.1)
 
     w, b = np.zeros(m), 0.0
     z, zb, t = w.copy(), b, 1.0
@@ -131,7 +134,7 @@ def fit(texts: list[str], toxic: np.ndarray, bits: int = FEATURE_BITS, counterfa
             near = np.sign(moved) * np.maximum(np.abs(moved) - step * scale * scale * 20 * l1, 0)
             nb = zb - step * 20 / n**0.5 * gb
             d, db = near - z, nb - zb
-            bound = loss + g @ d + gb * db + ((d / np.maximum(scale, 1e-12)) ** 2).sum() / (40 * step) + db * db * n**0.5 / (40 * step)
+            bound = loss + g @ d + gb * db + ((d / scale) ** 2).sum() / (40 * step) + db * db * n**0.5 / (40 * step)
             if slope(near, nb)[0] <= bound + 1e-9 or step < 1e-6:
                 break
             step /= 2
@@ -156,7 +159,7 @@ def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     sample = marked.orderBy(F.md5(F.col("_id").cast("string")), "_toxic").limit(max_labelled)
     rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.col("_toxic").cast("int").alias("toxic"))
     got = rows.toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")]).slice(0, max_labelled)
-    return fit(got.column("text").to_pylist(), (got.column("toxic").to_numpy() > 0).astype(np.int8), **options)
+    return fit(got.column("text"), (got.column("toxic").to_numpy() > 0).astype(np.int8), **options)
 
 
 def _score(shared):
