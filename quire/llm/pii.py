@@ -1,7 +1,7 @@
 """Personal data and secrets by a semi-Markov conditional random field.
 
-A text is a row of atoms: runs of letters and digits, and single signs. A segment is up to ``MOST`` atoms with at most one
-space, and no line break, between neighbours; it must hold a digit, an ``@`` or 16 capitals in a row. Features describe a whole segment: how many digits,
+A line is a row of atoms: runs of letters and digits, and single signs. A segment is up to ``MOST`` atoms with at most one
+space between neighbours; it must hold a digit, an ``@`` or 16 capitals in a row. Features describe a whole segment: how many digits,
 which signs, whether the form as a whole is that of an address, number or key, what stands directly before and after it. Every type has its own weights;
 everything outside of entities scores 0. The dynamic programme over segment ends picks the boundaries and types
 with the highest joint score, exactly.
@@ -36,8 +36,13 @@ _TRIGGER[64] = True
 _KEYS = (b"token", b"password", b"passwd", b"pwd", b"secret", b"key", b"apikey", b"auth", b"bearer", b"credential")
 
 
+def line_borders(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Where texts and lines begin and end; nothing looks across these."""
+    return np.unique(np.concatenate((offs, np.flatnonzero(data == 10) + 1)))
+
+
 class Atoms:
-    """The atoms of some texts, with the numbers that segments are described by."""
+    """The atoms of some lines, with the numbers that segments are described by."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray) -> None:
         kind = _KIND[data]
@@ -82,7 +87,6 @@ class Atoms:
         self.gap = np.full(n + 1, 2, np.int64)
         if n > 1:
             g = np.minimum(b[1:] - e[:-1], 2)
-            g[(g == 1) & (data[e[:-1]] == 10)] = 2
             g[self.owner[1:] != self.owner[:-1]] = 2
             self.gap[1:n] = g
         self.key = np.zeros(n, bool)
@@ -310,11 +314,12 @@ def fit(n: int = 800, rounds: int = 120, seed: int = 5) -> np.ndarray:
     """Weights (features x types), by Adam on the log likelihood of the made sentences."""
     made = examples(n, seed)
     data, offs = utf8(pa.array([t for t, _ in made]))
-    a = Atoms(data, offs)
+    a = Atoms(data, line_borders(data, offs))
     i, length = segments(a)
     x = describe(a, i, length)
+    text = np.searchsorted(offs, a.begin, "right") - 1
     chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    place = {(o, int(chars[s] - chars[offs[o]]), int(chars[e] - chars[offs[o]])): k for k, (o, s, e) in enumerate(zip(a.owner[i].tolist(), a.begin[i].tolist(), a.end[i + length - 1].tolist()))}
+    place = {(o, int(chars[s] - chars[offs[o]]), int(chars[e] - chars[offs[o]])): k for k, (o, s, e) in enumerate(zip(text[i].tolist(), a.begin[i].tolist(), a.end[i + length - 1].tolist()))}
     truth = np.zeros((len(i), len(TYPES)), np.float32)
     for o, (_, marks) in enumerate(made):
         for s, e, kind in marks:
@@ -329,22 +334,39 @@ def fit(n: int = 800, rounds: int = 120, seed: int = 5) -> np.ndarray:
     return w
 
 
-def find(column: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, begin and end in characters, and type number of each entity."""
+def scores(a: Atoms, i: np.ndarray, length: np.ndarray, weights: np.ndarray, block: int = 100_000) -> np.ndarray:
+    """Scores of segments by type, a block at a time: the features of all at once would be many times the text."""
+    w = weights.astype(np.float32)
+    return np.concatenate([np.zeros((0, w.shape[1])), *(describe(a, i[s : s + block], length[s : s + block]) @ w for s in range(0, len(i), block))])
+
+
+def find(column: pa.Array, weights: np.ndarray, group_bytes: int = 128 << 10) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, begin and end in characters, and type number of each entity.
+
+    Lines without a digit, ``@`` or 16 capitals can't hold one and are passed over; the others are decoded in groups of about ``group_bytes``.
+    """
     data, offs = utf8(column)
     capital = (data >= 65) & (data < 91)
     for n in (1, 2, 4, 8):
         capital = capital[n:] & capital[:-n]
-    rows = np.unique(np.searchsorted(offs, np.concatenate((np.flatnonzero(_TRIGGER[data]), np.flatnonzero(capital))), "right") - 1)
-    if not len(rows):
-        return (np.zeros(0, np.int64),) * 4
-    data, offs = utf8(column.take(pa.array(rows)))
-    a = Atoms(data, offs)
-    i, length = segments(a)
-    first, count, kind = decode(a, i, length, describe(a, i, length) @ weights)
-    own = a.owner[first]
+    borders = line_borders(data, offs)
+    lines = np.unique(np.searchsorted(borders, np.concatenate((np.flatnonzero(_TRIGGER[data]), np.flatnonzero(capital))), "right") - 1)
+    out = [np.zeros((3, 0), np.int64)]
+    size = borders[lines + 1] - borders[lines] if len(lines) else lines
+    group = np.cumsum(size) // group_bytes
+    for g in np.unique(group):
+        some, count = lines[group == g], size[group == g]
+        own = np.concatenate(([0], np.cumsum(count)))
+        part = data[np.arange(own[-1]) + np.repeat(borders[some] - own[:-1], count)]
+        a = Atoms(part, own)
+        i, length = segments(a)
+        first, n, kind = decode(a, i, length, scores(a, i, length, weights))
+        back = borders[some][a.owner[first]] - own[a.owner[first]]
+        out.append(np.stack((a.begin[first] + back, a.end[first + n - 1] + back, kind)))
+    begin, end, kind = np.concatenate(out, axis=1)
+    row = np.searchsorted(offs, begin, "right") - 1
     chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    return rows[own], chars[a.begin[first]] - chars[offs[own]], chars[a.end[first + count - 1]] - chars[offs[own]], kind
+    return row, chars[begin] - chars[offs[row]], chars[end] - chars[offs[row]], kind
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("type", pa.string())])
