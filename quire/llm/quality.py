@@ -162,7 +162,13 @@ def judge(column: pa.Array, params: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     n = len(column)
     if not len(begin):
         return np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    p = marginals(around((describe(data, begin, end, owner, offs) - mean) / scale, owner) @ w, owner, move)
+    x = (describe(data, begin, end, owner, offs) - mean) / scale
+    own, before, after = (x @ w[:-1].reshape(3, width).T).T  # ``around(x) @ w``, without the wide matrix
+    unary = own + w[-1]
+    inner = owner[1:] == owner[:-1]
+    unary[1:] += before[:-1] * inner
+    unary[:-1] += after[1:] * inner
+    p = marginals(unary, owner, move)
     weight = (end - begin).astype(np.float64)
     quality = np.bincount(owner, weight * p, minlength=n) / np.maximum(np.bincount(owner, weight, minlength=n), 1)
     return quality, np.bincount(owner, minlength=n), np.bincount(owner, p >= 0.5, minlength=n).astype(np.int64)

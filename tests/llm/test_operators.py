@@ -70,7 +70,8 @@ def brute_spans(docs, items, least):
     return sorted(out)
 
 
-def test_spans_equal_brute_force(spark):
+@pytest.mark.parametrize("local_tokens", [0, 10_000])
+def test_spans_equal_brute_force(spark, local_tokens):
     r = random.Random(1)
     items = [(i, prose(r, r.choice((5, 12, 13, 14, 30)))) for i in range(12)]
     docs = []
@@ -83,7 +84,7 @@ def test_spans_equal_brute_force(spark):
         docs.append((d, " ".join(parts)))
     docs += [docs[0], (99, " ".join(["same"] * 40))]
     items.append((50, " ".join(["same"] * 20)))
-    got = sorted(map(tuple, decontaminate.find_spans(frame(spark, docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()))
+    got = sorted(map(tuple, decontaminate.find_spans(frame(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"), local_tokens=local_tokens).collect()))
     assert got == brute_spans(docs, items, 13)
     assert len(got) > 10
 
@@ -97,11 +98,21 @@ def test_every_long_enough_span_is_found(spark, k, window):
     assert got == brute_spans(docs, items, k + window - 1)
 
 
+def test_a_full_bitmap_changes_nothing(spark):
+    r = random.Random(33)
+    items = [(i, prose(r, 40)) for i in range(30)]
+    docs = [(d, prose(r, 20) + " " + " ".join(r.choice(items)[1].split()[:20])) for d in range(20)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    small = decontaminate.find_spans(frame(spark, docs), bench, local_tokens=0, bitmap_bits=64)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, decontaminate.find_spans(frame(spark, docs), bench).collect())) != []
+
+
 def test_decontamination_awkward(spark, awkward):
     bench = spark.createDataFrame([(None, None), (1, ""), (2, "short one"), (None, prose(random.Random(5), 40_000)[:400])], "item_id bigint, text string")
     out = decontaminate.drop_contaminated(awkward, bench)
     assert out.columns == awkward.columns
     assert out.count() == awkward.count() - 1  # the very long text begins like the last item
+    assert sorted(out.collect(), key=repr) == sorted(decontaminate.drop_contaminated(awkward, bench, local_tokens=0).collect(), key=repr)
     assert {x.doc_id for x in decontaminate.find_spans(awkward, bench).collect()} == {6}
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.find_spans(awkward, none).count() == 0
@@ -324,6 +335,11 @@ def test_quality_on_held_out_documents(spark):
     texts = [x for pair in zip(good, bad) for x in pair]
     params = quality.fit(texts[:160], np.array([1, 0] * 80))
     q, _, _ = quality.judge(pa.array(texts[160:]), params)
+    data, offs = quality.utf8(pa.array(texts[160:]))
+    begin, end, own = quality.lines(data, offs)
+    wide = quality.around((quality.describe(data, begin, end, own, offs) - params[:15]) / params[15:30], own) @ params[30:-4]
+    p, length = quality.marginals(wide, own, params[-4:].reshape(2, 2)), end - begin
+    assert np.allclose(q, np.bincount(own, p * length) / np.bincount(own, length))
     assert ((q >= 0.5) == np.array([True, False] * 40)).mean() > 0.95
 
 
@@ -420,6 +436,13 @@ def test_entities_of_held_out_sentences():
     assert len(got & want) > 0.97 * len(want) and len(got & want) > 0.97 * len(got)
 
 
+def test_groups_of_lines_change_nothing():
+    made = pii.examples(120, seed=7)
+    column, w = pa.array([t for t, _ in made] + [" ".join(str(n) for n in range(3000)), None, ""]), pii.fit(n=60, rounds=15)
+    one, many = (sorted(zip(*(x.tolist() for x in pii.find(column, w, size)))) for size in (1 << 20, 50))
+    assert one == many and len(one) > 50
+
+
 def test_pii_awkward(spark, awkward):
     assert pii.find_pii(awkward).count() == 0
     text = "é" * 30 + " write to jan.07@mail.example.com, or +1 (555) 123-4567.\n" + "lorem " * 30_000 + "10.0.0.255"
