@@ -13,11 +13,9 @@ import email.policy
 import gzip
 import hashlib
 import io
-import mailbox
 import re
 import signal
 import tarfile
-import tempfile
 import threading
 import zipfile
 from collections.abc import Callable, Iterator
@@ -258,11 +256,9 @@ def parse_mail(data: bytes) -> Parsed:
 
 
 def parse_mbox(data: bytes) -> Parsed:
-    with tempfile.NamedTemporaryFile() as f:  # a worker's own scratch file, gone before the row is given out
-        f.write(data)
-        f.flush()
-        box = mailbox.mbox(f.name, create=False)
-        return Parsed("", {"mbox:messages": [str(len(box))]}, [Item(None, box.get_bytes(k), "message/rfc822", str(i)) for i, k in enumerate(box.iterkeys())])
+    """Messages between lines that begin with ``From ``; such lines inside of messages are quoted with ``>``."""
+    messages = [re.sub(rb"(?m)^>(>*From )", rb"\1", m) for m in re.split(rb"(?m)^From [^\n]*\n", data)[1:]]
+    return Parsed("", {"mbox:messages": [str(len(messages))]}, [Item(None, m, "message/rfc822", str(i)) for i, m in enumerate(messages)])
 
 
 def parse_zip(data: bytes) -> Parsed:

@@ -206,8 +206,8 @@ def test_other_containers(tmp_path):
             t.addfile(info, io.BytesIO(b"same"))
     rows = unfold(gzip.compress(out.getvalue()))
     assert [r["content_type"] for r in rows] == ["application/gzip", "application/x-tar", "text/plain", "text/plain"] and rows[2]["digest"] == rows[3]["digest"] and rows[2]["id"] != rows[3]["id"]
-    box = b"From a@b Thu Jan  1 00:00:00 2015\n" + mail().replace(b"\r\n", b"\n") + b"\nFrom c@d Thu Jan  1 00:00:00 2015\nSubject: two\nFrom: q\n\nsecond\n"
-    assert [r["content"] for r in unfold(box)] == ["", "Body text", "second"]
+    box = b"From a@b Thu Jan  1 00:00:00 2015\n" + mail().replace(b"\r\n", b"\n") + b"\nFrom c@d Thu Jan  1 00:00:00 2015\nSubject: two\nFrom: q\n\n>From second\n"
+    assert [r["content"] for r in unfold(box)] == ["", "Body text", "From second"]
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     assert unfold(zipped(**{"word__document.xml": f"<w:document {w}><w:p><w:r><w:t>Hi</w:t></w:r></w:p><w:p><w:t>you</w:t></w:p></w:document>"}))[0]["content"] == "Hi\nyou"
 
