@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import hash_ranges, list_array, lowered, ngrams, slices, table, words
-from .shared import cut, fresh, row_key
+from .shared import cut, fresh, row_key, ship, unship
 
 K, WINDOW = 8, 6
 BITMAP_BITS = 1 << 22
@@ -171,7 +171,7 @@ def _matcher(bench: DataFrame, k: int, window: int, most: int):
     """A broadcast ``Matcher``, or None if the benchmark has more than ``most`` tokens."""
     if (bench.agg(F.sum(F.size("tokens"))).first()[0] or 0) > most:
         return None
-    return bench.sparkSession.sparkContext.broadcast(Matcher(bench.select("item_id", "tokens", "at", "fp").toArrow(), k, window))
+    return ship(bench.sparkSession, Matcher(bench.select("item_id", "tokens", "at", "fp").toArrow(), k, window))
 
 
 def _joined(documents: DataFrame, bench: DataFrame, k: int, window: int, bitmap_bits: int) -> DataFrame:
@@ -212,12 +212,13 @@ def find_spans(documents: DataFrame, benchmark: DataFrame, k: int = K, window: i
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "item_id", "doc_start", "item_start", "n_tokens")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = unship(shared)
         for batch in batches:
             for part in slices(batch):
-                found = shared.value.spans(part)
+                found = matcher.spans(part)
                 if found:
                     row, item, *numbers = zip(*found)
-                    yield table(schema, part.column("doc_id").take(pa.array(row)), [shared.value.ids[i] for i in item], *numbers)
+                    yield table(schema, part.column("doc_id").take(pa.array(row)), [matcher.ids[i] for i in item], *numbers)
 
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, item_id bigint, doc_start bigint, item_start bigint, n_tokens bigint")
 
@@ -229,10 +230,11 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, k: int = K, wi
     if shared is not None:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = unship(shared)
             for batch in batches:
                 for part in slices(batch):
                     clean = np.ones(part.num_rows, bool)
-                    clean[[row for row, *_ in shared.value.spans(part)]] = False
+                    clean[[row for row, *_ in matcher.spans(part)]] = False
                     yield part.filter(pa.array(clean))
 
         return documents.mapInArrow(run, documents.schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import list_array
-from .shared import cut
+from .shared import cut, ship, unship
 
 K, FACTOR, SHARD_ROWS, LEAF, VISITORS = 10, 4.0, 16384, 256, 16384
 MAX_SHARDS, SAMPLE_PER_SHARD = 4096, 16
@@ -153,10 +153,10 @@ def nearest(embeddings: DataFrame, k: int = K, factor: float = FACTOR, shard_row
     shards = max(1, min(MAX_SHARDS, math.ceil(rows / shard_rows)))
     sample = points.orderBy(F.xxhash64("vec_id", "row")).limit(shards * SAMPLE_PER_SHARD).select("embedding").toArrow().column(0)
     top = Tree(_matrix(sample, dim) if rows else np.zeros((1, dim)), SAMPLE_PER_SHARD)
-    shared = spark.sparkContext.broadcast((top, {node: i for i, node in enumerate(cells(top))}))
+    shared = ship(spark, (top, {node: i for i, node in enumerate(cells(top))}))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, number = shared.value
+        tree, number = unship(shared)
         for batch in batches:
             cell = np.zeros(batch.num_rows, np.int32)
             for c, who in enumerate(route(tree, number, _matrix(batch.column("embedding"), dim), np.full(batch.num_rows, -1.0), factor)):
@@ -192,7 +192,7 @@ def nearest(embeddings: DataFrame, k: int = K, factor: float = FACTOR, shard_row
         far = F.when(F.size("ds") < k, F.lit(float("inf"))).otherwise(F.element_at("ds", -1))
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tree, number = shared.value
+            tree, number = unship(shared)
             for batch in batches:
                 home_cell, r = batch.column("cell").to_numpy(), batch.column("radius").to_numpy()
                 for c, who in enumerate(route(tree, number, _matrix(batch.column("embedding"), dim), r, factor)):

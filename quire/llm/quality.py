@@ -178,7 +178,7 @@ def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     marked = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_good")).where("_good is not null and _id is not null")
     sample = marked.orderBy(F.md5(F.col("_id").cast("string")), "_good").limit(max_labelled)
     rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.col("_good").cast("int").alias("good"))
-    got = rows.toArrow().sort_by([("doc_id", "ascending"), ("good", "ascending"), ("text", "ascending")]).slice(0, max_labelled)
+    got = rows.orderBy("doc_id", "good", "text").limit(max_labelled).toArrow()
     return fit(got.column("text").to_pylist(), (got.column("good").to_numpy() > 0).astype(np.int8), **options)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +37,12 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def ship(spark: SparkSession, value) -> Broadcast:
+    """Broadcasts an object with its classes, which the workers needn't be able to import; ``unship`` it there."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def unship(shipped: Broadcast):
+    return pickle.loads(shipped.value)

@@ -158,7 +158,7 @@ def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     marked = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).where("_toxic is not null and _id is not null")
     sample = marked.orderBy(F.md5(F.col("_id").cast("string")), "_toxic").limit(max_labelled)
     rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.col("_toxic").cast("int").alias("toxic"))
-    got = rows.toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")]).slice(0, max_labelled)
+    got = rows.orderBy("doc_id", "toxic", "text").limit(max_labelled).toArrow()
     return fit(got.column("text"), (got.column("toxic").to_numpy() > 0).astype(np.int8), **options)
 
 
