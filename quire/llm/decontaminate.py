@@ -5,10 +5,11 @@ is kept as a fingerprint, on both sides, so two texts that share ``k + window -
 a fingerprint there. Shared fingerprints are extended over the tokens on either side; what is reported are all maximal
 common spans of at least ``k + window - 1`` tokens, none missed.
 
-The corpus is read once and never shuffled. A benchmark of up to ``LOCAL_TOKENS`` tokens (counted first) goes to all
+The corpus is read once, and its texts aren't shuffled to find spans. A benchmark of up to ``LOCAL_TOKENS`` tokens (counted first) goes to all
 tasks, which find, extend and decide where they read. Of a larger one they only get a bitmap of its fingerprints, of fixed size, that
 drops nearly all of the corpus's fingerprints where they are made. It can let some through in vain, never drop
 one that matters; those are joined with the benchmark's, which is exact, and extended after that. Both ways give the same spans.
+To drop documents takes no shuffle in the first way and an anti-join in the second.
 """
 
 from __future__ import annotations
