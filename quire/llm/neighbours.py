@@ -5,6 +5,10 @@ a cell. In each shard a tree of its own is built. A node holds a vector and the
 triangle inequality says how near anything on the far side can be at least. A side is left out when ``factor`` times that bound exceeds the
 distance of the k-th neighbour found so far. With factor 1 the search is exact; a larger one prunes more and may miss some.
 
+How many it misses depends on the vectors' intrinsic dimension and on their number, so the factor comes from the table itself: some of its rows, drawn by
+hash, are searched over the whole table with each of ``FACTORS``. The largest factor whose recall against the exact search is high enough, with room for the error of the
+sample, serves all rows; where none is, the search is exact.
+
 Every row is a query. It first searches its own shard, which gives it a radius; with that radius it passes through the sample's tree, by the same rule,
 and goes to those other shards which may hold something nearer. Queries run through a tree in sets, a matrix product per leaf.
 Shards with many visitors are searched by several tasks (``VISITORS`` queries each), so that no task grows with the number of rows.
@@ -23,8 +27,10 @@ from pyspark.sql import functions as F
 from .kernel import list_array
 from .shared import cut, ship, unship
 
-K, FACTOR, SHARD_ROWS, LEAF, VISITORS = 10, 4.0, 16384, 256, 16384
+K, SHARD_ROWS, LEAF, VISITORS = 10, 16384, 256, 16384
 MAX_SHARDS, SAMPLE_PER_SHARD = 4096, 16
+#: The factors to choose from; the last one is exact. Recall on ``PROBES`` rows, less two standard errors, must reach ``RECALL``.
+FACTORS, PROBES, RECALL = (4.0, 3.0, 2.5, 2.0, 1.5, 1.0), 400, 0.93
 #: Distances count to so many decimal places; pruning leaves as much room.
 PLACES = 6
 
@@ -62,7 +68,7 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Search:
     """The k nearest of a tree's vectors for a set of queries, by (distance, place in the tree's vectors)."""
 
-    def __init__(self, tree: Tree, rows: np.ndarray, queries: np.ndarray, query_rows: np.ndarray, radius: np.ndarray, k: int, factor: float) -> None:
+    def __init__(self, tree: Tree, rows: np.ndarray, queries: np.ndarray, query_rows: np.ndarray, radius: np.ndarray, k: int, factor: np.ndarray) -> None:
         self.tree, self.rows, self.q, self.own, self.k, self.factor = tree, rows, queries, query_rows, k, factor
         self.limit = radius.copy()
         self.d = np.full((len(queries), k), np.inf)
@@ -82,8 +88,8 @@ class Search:
         first = gap <= 0
         self._visit(inside, who[first])
         self._visit(outside, who[~first])
-        self._visit(outside, who[first & (self.factor * -gap <= self.limit[who] + 10.0**-PLACES)])
-        self._visit(inside, who[~first & (self.factor * gap <= self.limit[who] + 10.0**-PLACES)])
+        self._visit(outside, who[first & (self.factor[who] * -gap <= self.limit[who] + 10.0**-PLACES)])
+        self._visit(inside, who[~first & (self.factor[who] * gap <= self.limit[who] + 10.0**-PLACES)])
 
     def _leaf(self, leaf: np.ndarray, who: np.ndarray) -> None:
         d = distances(self.q[who], self.tree.x[leaf])
@@ -109,7 +115,7 @@ def cells(tree: Tree) -> list[int]:
     return [i for i, node in enumerate(tree.nodes) if isinstance(node, np.ndarray)]
 
 
-def route(tree: Tree, number: dict[int, int], x: np.ndarray, radius: np.ndarray, factor: float) -> list[np.ndarray]:
+def route(tree: Tree, number: dict[int, int], x: np.ndarray, radius: np.ndarray, factor: np.ndarray) -> list[np.ndarray]:
     """For each cell, the queries whose neighbours it may hold; with radius -1 it is the one that each lies in."""
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(number)
 
@@ -122,8 +128,8 @@ def route(tree: Tree, number: dict[int, int], x: np.ndarray, radius: np.ndarray,
             return
         vantage, middle, inside, outside = here
         gap = distances(x[who], vantage[None])[:, 0] - middle
-        go(inside, who[(gap <= 0) | (factor * gap <= radius[who] + 10.0**-PLACES)])
-        go(outside, who[(gap > 0) | (factor * -gap <= radius[who] + 10.0**-PLACES)])
+        go(inside, who[(gap <= 0) | (factor[who] * gap <= radius[who] + 10.0**-PLACES)])
+        go(outside, who[(gap > 0) | (factor[who] * -gap <= radius[who] + 10.0**-PLACES)])
 
     go(tree.root, np.arange(len(x)))
     return out
@@ -135,14 +141,26 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def nearest(embeddings: DataFrame, k: int = K, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, leaf: int = LEAF, visitors: int = VISITORS) -> DataFrame:
+def chosen(tried: list) -> float:
+    """The largest of ``FACTORS`` with enough recall, from (row, factor, distances of its neighbours); a neighbour counts if it is no farther than the last exact one."""
+    found = {(row, factor): ds for row, factor, ds in tried}
+    exact = {row: ds for (row, factor), ds in found.items() if factor == FACTORS[-1]}
+    for factor in FACTORS[:-1]:
+        recall = np.array([sum(d <= ds[-1] for d in found.get((row, factor), ())) / len(ds) for row, ds in exact.items()])
+        if len(recall) and recall.mean() - 2 * recall.std() / math.sqrt(len(recall)) >= RECALL:
+            return factor
+    return FACTORS[-1]
+
+
+def nearest(embeddings: DataFrame, k: int = K, factor: float | None = None, shard_rows: int = SHARD_ROWS, leaf: int = LEAF, visitors: int = VISITORS) -> DataFrame:
     """(vec_id, neighbour_id, rank, distance): the ``k`` nearest other rows of each row by Euclidean distance to 6 places, rank from 1.
 
     Ties go to the lower id, then to the row read first. A repeated row is a neighbour of its copies, at distance 0; only the row itself is left out.
     Rows whose embedding or id is null, which hold a null, a NaN or an infinity, or whose length isn't the most common one (the shortest of those, where
     several are) neither have nor are neighbours. With fewer than ``k`` other rows all of them are given. Empty tables give no rows. Other columns are ignored.
+    Without a ``factor`` it is chosen by the recall that it has on this table.
     """
-    if k < 1 or factor < 1:
+    if k < 1 or factor is not None and factor < 1:
         raise ValueError("k and factor must be at least 1")
     spark = embeddings.sparkSession
     whole = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -159,7 +177,7 @@ def nearest(embeddings: DataFrame, k: int = K, factor: float = FACTOR, shard_row
         tree, number = unship(shared)
         for batch in batches:
             cell = np.zeros(batch.num_rows, np.int32)
-            for c, who in enumerate(route(tree, number, _matrix(batch.column("embedding"), dim), np.full(batch.num_rows, -1.0), factor)):
+            for c, who in enumerate(route(tree, number, _matrix(batch.column("embedding"), dim), np.full(batch.num_rows, -1.0), np.ones(batch.num_rows))):
                 cell[who] = c
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
 
@@ -169,12 +187,12 @@ def nearest(embeddings: DataFrame, k: int = K, factor: float = FACTOR, shard_row
         data = data.sort_by([("its_vec_id", "ascending"), ("its_row", "ascending")])
         x, q = _matrix(data.column("its_embedding"), dim), _matrix(queries.column("embedding"), dim)
         ids, numbers = data.column("its_vec_id").to_numpy(), data.column("its_row").to_numpy()
-        s = Search(Tree(x, leaf), numbers, q, queries.column("row").to_numpy(), radius, k, factor)
+        s = Search(Tree(x, leaf), numbers, q, queries.column("row").to_numpy(), radius, k, queries.column("factor").to_numpy())
         found = s.at >= 0
         counts = found.sum(axis=1)
-        return pa.table([queries.column("vec_id"), queries.column("row"), list_array(ids[s.at[found]], counts, pa.int64()), list_array(numbers[s.at[found]], counts, pa.int64()), list_array(s.d[found], counts, pa.float64())], names=["vec_id", "row", "ids", "rows", "ds"])
+        return pa.table([queries.column("vec_id"), queries.column("row"), queries.column("factor"), list_array(ids[s.at[found]], counts, pa.int64()), list_array(numbers[s.at[found]], counts, pa.int64()), list_array(s.d[found], counts, pa.float64())], names=["vec_id", "row", "factor", "ids", "rows", "ds"])
 
-    answer = "vec_id bigint, row bigint, ids array<bigint>, rows array<bigint>, ds array<double>"
+    answer = "vec_id bigint, row bigint, factor double, ids array<bigint>, rows array<bigint>, ds array<double>"
     part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
 
     def tasks(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -185,28 +203,36 @@ def nearest(embeddings: DataFrame, k: int = K, factor: float = FACTOR, shard_row
     def at_home(left: pa.Table, right: pa.Table) -> pa.Table:
         return search(left, right, np.full(left.num_rows, np.inf))
 
-    queries, data = tasks(placed)
-    home = cut(queries.groupBy("cell", "part").cogroup(data.groupBy("its_cell", "its_part")).applyInArrow(at_home, answer))
-    out = home
-    if shards > 1:
-        far = F.when(F.size("ds") < k, F.lit(float("inf"))).otherwise(F.element_at("ds", -1))
-
-        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tree, number = unship(shared)
-            for batch in batches:
-                home_cell, r = batch.column("cell").to_numpy(), batch.column("radius").to_numpy()
-                for c, who in enumerate(route(tree, number, _matrix(batch.column("embedding"), dim), r, factor)):
-                    who = who[home_cell[who] != c]
-                    if len(who):
-                        sent = batch.take(pa.array(who))
-                        yield pa.RecordBatch.from_arrays([sent.column("vec_id"), sent.column("embedding"), sent.column("row"), pa.array(np.full(len(who), c, np.int32)), sent.column("radius")], names=["vec_id", "embedding", "row", "cell", "radius"])
-
-        def abroad(left: pa.Table, right: pa.Table) -> pa.Table:
-            return search(left, right, left.column("radius").to_numpy())
-
-        visits = placed.join(home.select("row", far.alias("radius")), "row").select("vec_id", "embedding", "row", "cell", "radius").mapInArrow(spread, "vec_id bigint, embedding array<float>, row bigint, cell int, radius double")
-        queries, data = tasks(cut(visits))
-        out = home.unionAll(queries.groupBy("cell", "part").cogroup(data.groupBy("its_cell", "its_part")).applyInArrow(abroad, answer))
-    flat = out.select("vec_id", "row", F.explode(F.arrays_zip("ds", "ids", "rows")).alias("n"))
-    best = flat.groupBy("vec_id", "row").agg(F.slice(F.array_sort(F.collect_list("n")), 1, k).alias("best"))
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, number = unship(shared)
+        for batch in batches:
+            home_cell, r, f = (batch.column(c).to_numpy() for c in ("cell", "radius", "factor"))
+            for c, who in enumerate(route(tree, number, _matrix(batch.column("embedding"), dim), r, f)):
+                who = who[home_cell[who] != c]
+                if len(who):
+                    sent = batch.take(pa.array(who))
+                    yield pa.RecordBatch.from_arrays([sent.column("vec_id"), sent.column("embedding"), sent.column("row"), sent.column("factor"), pa.array(np.full(len(who), c, np.int32)), sent.column("radius")], names=["vec_id", "embedding", "row", "factor", "cell", "radius"])
+
+    def abroad(left: pa.Table, right: pa.Table) -> pa.Table:
+        return search(left, right, left.column("radius").to_numpy())
+
+    def best_of(asked: DataFrame) -> DataFrame:
+        """(vec_id, row, factor, best): the ``k`` nearest of each row of ``asked``, a part of ``placed`` with the factor for each row."""
+        queries, data = tasks(asked)
+        home = cut(queries.groupBy("cell", "part").cogroup(data.groupBy("its_cell", "its_part")).applyInArrow(at_home, answer))
+        out = home
+        if shards > 1:
+            far = F.when(F.size("ds") < k, F.lit(float("inf"))).otherwise(F.element_at("ds", -1))
+            columns = ("vec_id", "embedding", "row", "factor", "cell", "radius")
+            visits = asked.join(home.select("row", "factor", far.alias("radius")), ["row", "factor"]).select(*columns).mapInArrow(spread, "vec_id bigint, embedding array<float>, row bigint, factor double, cell int, radius double")
+            queries, data = tasks(cut(visits))
+            out = home.unionAll(queries.groupBy("cell", "part").cogroup(data.groupBy("its_cell", "its_part")).applyInArrow(abroad, answer))
+        flat = out.select("vec_id", "row", "factor", F.explode(F.arrays_zip("ds", "ids", "rows")).alias("n"))
+        return flat.groupBy("vec_id", "row", "factor").agg(F.slice(F.array_sort(F.collect_list("n")), 1, k).alias("best"))
+
+    if factor is None:
+        probes = placed.orderBy(F.xxhash64("row", "vec_id"), "row").limit(PROBES)
+        tried = best_of(cut(probes.select("*", F.explode(F.array(*map(F.lit, FACTORS))).alias("factor"))))
+        factor = chosen(tried.select("row", "factor", F.transform("best", lambda n: n["ds"]).alias("ds")).collect())
+    best = best_of(placed.withColumn("factor", F.lit(float(factor))))
     return best.select("vec_id", F.posexplode("best").alias("rank", "n")).select("vec_id", F.col("n.ids").alias("neighbour_id"), (F.col("rank") + 1).cast("bigint").alias("rank"), F.round("n.ds", PLACES).alias("distance"))

@@ -387,6 +387,25 @@ def test_recall_with_production_factor(spark):
     assert np.mean([len(got[n] & {a[0] for a in w}) / 10 for n, w in enumerate(want)]) >= 0.9
 
 
+@pytest.mark.parametrize("inner, outer", [(4, 64), (8, 8), (16, 64), (32, 32)])
+def test_recall_at_low_intrinsic_dimension(spark, inner, outer):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(20_000, inner))
+    if outer > inner:
+        x = x @ r.normal(size=(inner, outer))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = x.astype(np.float32)
+    table = pa.table({"vec_id": pa.array(range(len(x)), pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float32()))})
+    got = collections.defaultdict(set)
+    for row in neighbours.nearest(spark.createDataFrame(table), shard_rows=8192).toArrow().to_pylist():
+        got[row["vec_id"]].add(row["neighbour_id"])
+    asked = r.choice(len(x), 500, replace=False)
+    d = np.round(neighbours.distances(x[asked].astype(np.float64), x.astype(np.float64)), 6)
+    d[np.arange(len(asked)), asked] = np.inf
+    want = np.argsort(d, axis=1, kind="stable")[:, :10]
+    assert np.mean([len(got[int(n)] & set(w.tolist())) / 10 for n, w in zip(asked, want)]) >= 0.9
+
+
 def test_neighbours_awkward(spark):
     rows = [(1, [0.0, 1.0], "a"), (1, [0.0, 1.0], "a"), (2, None, "b"), (None, [1.0, 1.0], "c"), (3, [1.0, None], "d"), (4, [1.0], "e"), (5, [float("nan"), 1.0], "f"), (6, [], "g"), (7, [3.0, 5.0], "h")]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, cell string")
