@@ -544,6 +544,17 @@ def test_repeats_equal_brute_force(spark):
                 first.setdefault(p, d)
 
 
+def test_short_words_in_passages_of_just_over_50_words(spark):
+    r = random.Random(12)
+    words = lambda n: " ".join("".join(r.choice("abcdefghijklmnoprstuvwz") for _ in range(r.randint(1, 6))) for _ in range(n))
+    docs = []
+    for n in range(300):
+        passage = words(51)
+        docs += [(2 * n, f"{words(60)} {passage} {words(40)}"), (2 * n + 1, f"{words(45)} {passage} {words(50)}")]
+    found = {x.doc_id for x in substring.repeats(frame(spark, docs)).collect()}
+    assert not any(d % 2 == 0 for d in found) and len(found) >= 0.97 * 300
+
+
 def test_repeats_awkward(spark, awkward):
     got = [x for x in substring.repeats(awkward).collect()]
     assert {x.doc_id for x in got} <= {7, 8}  # these two repeat themselves
