@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,24 +11,43 @@ from ..functions.text import data_uri, replace_tokens
 from .filters import too_deep, too_large
 
 
-def _named(df: DataFrame) -> str:
-    name = f"quire_{uuid.uuid4().hex}"
-    df.createOrReplaceTempView(name)
-    return name
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` written once to the session's ``spark.checkpoint.dir``; only where that is unset a temporary folder is made."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+    return df.checkpoint()
+
+
+def _descend(nodes: DataFrame, key: str, parent: str, root: dict[str, Column], below: dict[str, Column], most: int) -> DataFrame:
+    """Rows with the columns of ``root`` for all nodes under a root, placed by one join per level until no node is left.
+
+    ``below`` makes a child's columns from its own (``n.``) and its parent's (``t.``). Where each node has one row, whatever hangs from a root ends by itself, at any
+    depth; only with repeated keys it can go round for ever, and then more than ``most`` levels are refused.
+    """
+    nodes = _cut(nodes)
+    found = step = _cut(nodes.where(F.col(parent).isNull()).select(*[c.alias(k) for k, c in root.items()]))
+    level = 0
+    while not step.isEmpty():
+        level += 1
+        if level == most + 1 and nodes.groupBy(key).count().where(F.col("count") > 1).where(F.col(key).isNotNull()).limit(1).count():
+            raise ValueError(f"more than {most} levels among nodes with repeated keys")
+        step = _cut(step.alias("t").join(nodes.alias("n"), F.col(f"n.{parent}") == F.col(f"t.{key}")).select(*[c.alias(k) for k, c in below.items()]))
+        found = found.unionAll(step)
+        if level % 50 == 0:  # a plan of a thousand parts would take the driver longer than the join
+            found = _cut(found)
+    return found
 
 
 def levels(nodes: DataFrame, ident: str = "id", parent: str = "parent_id", most: int = 100) -> DataFrame:
     """(id, root_id, level, trail): level 0 for roots; trail is the array of ids from the root.
 
-    A recursive query: one join per level with the nodes not yet placed. Nodes on a cycle have no root and don't come out.
+    One join per level with the nodes not yet placed, to any depth (``most``: see ``_descend``). Nodes on a cycle have no root and don't come out.
     """
-    view = _named(nodes.select(F.col(ident).cast("string").alias("id"), F.col(parent).cast("string").alias("parent_id")))
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE t MAX RECURSION LEVEL {most} AS (
-            SELECT id, id AS root_id, 0 AS level, array(id) AS trail FROM {view} WHERE parent_id IS NULL
-            UNION ALL
-            SELECT n.id, t.root_id, t.level + 1, concat(t.trail, array(n.id)) FROM t JOIN {view} n ON n.parent_id = t.id)
-        SELECT * FROM t""")
+    own = nodes.select(F.col(ident).cast("string").alias("id"), F.col(parent).cast("string").alias("parent_id"))
+    root = {"id": F.col("id"), "root_id": F.col("id"), "level": F.lit(0), "trail": F.array("id")}
+    below = {"id": F.col("n.id"), "root_id": F.col("t.root_id"), "level": F.col("t.level") + 1, "trail": F.concat("t.trail", F.array("n.id"))}
+    return _descend(own, "id", "parent_id", root, below, most)
 
 
 def recursive_ids(nodes: DataFrame, key: str = "key", parent: str = "parent_key", most: int = 100) -> DataFrame:
@@ -37,24 +56,18 @@ def recursive_ids(nodes: DataFrame, key: str = "key", parent: str = "parent_key"
 
     ``nodes`` has the columns key, parent_key, digest, relation, name.
     """
-    view = _named(nodes.select(F.col(key).alias("key"), F.col(parent).alias("parent_key"), "digest", "relation", "name"))
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE t MAX RECURSION LEVEL {most} AS (
-            SELECT key, lower(digest) AS id, lower(digest) AS root_id, 0 AS level FROM {view} WHERE parent_key IS NULL
-            UNION ALL
-            SELECT n.key, sha2(concat_ws('', n.digest, t.id, n.relation, n.name), 256), t.root_id, t.level + 1 FROM t JOIN {view} n ON n.parent_key = t.key)
-        SELECT * FROM t""")
+    own = nodes.select(F.col(key).alias("key"), F.col(parent).alias("parent_key"), "digest", "relation", "name")
+    root = {"key": F.col("key"), "id": F.lower("digest"), "root_id": F.lower("digest"), "level": F.lit(0)}
+    below = {"key": F.col("n.key"), "id": F.sha2(F.concat_ws("", "n.digest", "t.id", "n.relation", "n.name"), 256), "root_id": F.col("t.root_id"), "level": F.col("t.level") + 1}
+    return _descend(own, "key", "parent_key", root, below, most)
 
 
 def folder_paths(folders: DataFrame, ident: str = "id", parent: str = "parent_id", name: str = "name", most: int = 100) -> DataFrame:
     """(id, path): names from the root, which is ``/``; ``?`` stands for a name that can't be read. A root is a folder without a parent, or its own parent; cycles don't come out."""
-    view = _named(folders.select(F.col(ident).alias("id"), F.when(F.col(parent) != F.col(ident), F.col(parent)).alias("parent_id"), F.coalesce(F.col(name), F.lit("?")).alias("name")))
-    return folders.sparkSession.sql(f"""
-        WITH RECURSIVE t MAX RECURSION LEVEL {most} AS (
-            SELECT id, '' AS path FROM {view} WHERE parent_id IS NULL
-            UNION ALL
-            SELECT f.id, concat(t.path, '/', f.name) FROM t JOIN {view} f ON f.parent_id = t.id)
-        SELECT id, CASE WHEN path = '' THEN '/' ELSE path END AS path FROM t""")
+    own = folders.select(F.col(ident).alias("id"), F.when(F.col(parent) != F.col(ident), F.col(parent)).alias("parent_id"), F.coalesce(F.col(name), F.lit("?")).alias("name"))
+    below = {"id": F.col("n.id"), "path": F.concat("t.path", F.lit("/"), "n.name")}
+    placed = _descend(own, "id", "parent_id", {"id": F.col("id"), "path": F.lit("")}, below, most)
+    return placed.select("id", F.when(F.col("path") == "", "/").otherwise(F.col("path")).alias("path"))
 
 
 def depth_first(placed: DataFrame, order: Column | str = "trail") -> DataFrame:

@@ -105,6 +105,23 @@ def test_recursive_ids_equal_level_by_level(spark, partitions):
     assert found(tree.recursive_ids(nodes), "key", "id", "level") == sorted([("r", "dr", 0), ("a", a, 1), ("b", sha("db", "dr", "0", "b"), 1), ("c", sha("dc", a, "0", "c"), 2)], key=repr)
 
 
+def test_trees_of_more_rows_than_a_recursive_query_may_have(spark):
+    wide = table(spark, [("r", None, "d", None, None)] + [(f"n{i}", "r" if i < 20 else f"n{i % 20}", "d", "0", f"n{i}") for i in range(300)], "key string, parent_key string, digest string, relation string, name string")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    try:
+        assert tree.levels(wide, "key", "parent_key").groupBy("level").count().orderBy("level").collect() == [(0, 1), (1, 20), (2, 280)]
+        assert tree.recursive_ids(wide).count() == tree.folder_paths(wide, "key", "parent_key").count() == 301
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
+def test_depth_is_bounded_by_the_data_alone(spark):
+    chain = table(spark, [(i, i - 1 if i else None) for i in range(8)], "id int, parent_id int")
+    assert tree.levels(chain, most=3).agg(F.max("level")).first()[0] == 7
+    with pytest.raises(ValueError):  # two rows for one node, of which one hangs from a root and the other from its own child
+        tree.levels(table(spark, [("a", None), ("b", "a"), ("a", "b")], "id string, parent_id string"), most=3).count()
+
+
 def test_folder_paths(spark):
     f = table(spark, [(1, 1, "top"), (2, 1, "in"), (3, 2, None), (4, 5, "x"), (5, 4, "y")], "id int, parent_id int, name string")
     assert found(tree.folder_paths(f), "id", "path") == [(1, "/"), (2, "/in"), (3, "/in/?")]
