@@ -222,37 +222,36 @@ def parse_csv(data: bytes) -> Parsed:
 
 
 def parse_mail(data: bytes) -> Parsed:
-    """Headers as metadata, the first plain (or else HTML) body as text, all attachments and nested messages as items."""
+    """Headers as metadata, all inline texts in their order as text, all attachments and nested messages as items. Of alternatives the first one with any text counts."""
     message = email.message_from_bytes(data, policy=email.policy.default)
     meta: dict[str, list[str]] = {}
     for k, v in message.items():
         meta.setdefault(f"Message:{k}", []).append(str(v))
     if message["subject"]:
         meta["title"] = [str(message["subject"])]
-    text, items = None, []
+    texts, items = [], []
 
-    def go(part) -> None:
-        nonlocal text
+    def go(part, spare: bool = False) -> None:
         kind = part.get_content_type()
         if kind == "message/rfc822":
             inner = part.get_payload()
             for m in inner if isinstance(inner, list) else [inner]:
                 items.append(Item(part.get_filename(), m.as_bytes(), kind, str(len(items))))
         elif part.is_multipart():
+            before = len(texts)
             for p in part.iter_parts():
-                go(p)
+                go(p, spare or kind == "multipart/alternative" and len(texts) > before)
         else:
             content = part.get_payload(decode=True) or b""
             attached = part.get_content_disposition() == "attachment" or part.get_filename()
-            if not attached and kind in ("text/plain", "text/html") and text is None:
-                text = parse_html(content).text if kind == "text/html" else decode(content)[0]
-            elif not attached and kind in ("text/plain", "text/html"):
-                pass  # the same body in another form
+            if not attached and kind in ("text/plain", "text/html"):
+                text = "" if spare else (parse_html(content).text if kind == "text/html" else decode(content)[0]).strip()
+                texts.extend([text] if text else [])  # spare: the same body in another form
             else:
                 items.append(Item(part.get_filename(), content, kind, part.get("Content-ID") or str(len(items)), part.get_content_disposition() == "inline" and part.get_content_maintype() == "image"))
 
     go(message)
-    return Parsed((text or "").strip(), meta, items)
+    return Parsed("\n".join(texts), meta, items)
 
 
 def parse_mbox(data: bytes) -> Parsed:

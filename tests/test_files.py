@@ -357,3 +357,22 @@ def test_commands(spark, mixed, tmp_path, capsys):
     assert go("version")[1] == cli.VERSION and go("nonsense")[0] == 2 and go("tag", "--index", str(tmp_path / "none"), "a:b")[0] == 1
     (tmp_path / "o").write_text(f"queue={q}\n")
     assert go("--options", str(tmp_path / "o"), "dump-queue")[1] == "[]"
+
+
+def test_every_inline_text_of_a_mail_is_read():
+    from email.message import EmailMessage
+
+    from quire.sources.parsers import parse_mail
+
+    mail = EmailMessage()
+    mail.set_content("first")
+    mail.add_alternative("<p>first again</p>", subtype="html")
+    mail.add_attachment(b"data", maintype="application", subtype="pdf", filename="a.pdf")
+    footer = EmailMessage()
+    footer.set_content("second")
+    mail.attach(footer)
+    page = EmailMessage()
+    page.set_content("<p>third</p>", subtype="html")
+    mail.attach(page)
+    got = parse_mail(mail.as_bytes())
+    assert got.text == "first\nsecond\nthird" and [i.name for i in got.items] == ["a.pdf"]
