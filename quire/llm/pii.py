@@ -1,7 +1,7 @@
 """Personal data and secrets by a semi-Markov conditional random field.
 
 A line is a row of atoms: runs of letters and digits, and single signs. A segment is up to ``MOST`` atoms with at most one
-space between neighbours; it must hold a digit, an ``@`` or 16 capitals in a row. Features describe a whole segment: how many digits,
+space between neighbours; it must hold a digit, an ``@``, 16 capitals in a row, a word of 16 letters that changes case all the time, or a word that stands for the value of a key word. Features describe a whole segment: how many digits,
 which signs, whether the form as a whole is that of an address, number or key, what stands directly before and after it. Every type has its own weights;
 everything outside of entities scores 0. The dynamic programme over segment ends picks the boundaries and types
 with the highest joint score, exactly.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .kernel import slices, table, utf8
 
 TYPES = ("email", "phone", "ip", "card", "secret")
-MOST = 16
+MOST = 32
 
 _KIND = np.full(256, 2, np.uint8)  # 0 space, 1 letter or digit, 2 sign
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
@@ -33,6 +33,8 @@ _KIND[48:58] = _KIND[65:91] = _KIND[97:123] = _KIND[128:256] = 1
 _TRIGGER = np.zeros(256, bool)
 _TRIGGER[48:58] = True
 _TRIGGER[64] = True
+#: Signs between a key word and its value.
+_TELLS = np.frombuffer(b"=:\"'", np.uint8)
 _KEYS = (b"token", b"password", b"passwd", b"pwd", b"secret", b"key", b"apikey", b"auth", b"bearer", b"credential")
 
 
@@ -71,6 +73,9 @@ class Atoms:
         self.number = is_word & (self.digits == self.size)
         self.alpha = is_word & (self.digits == 0)
         self.trigger = (self.digits > 0) | (first == 64) | (is_word & (self.size >= 16) & (self.upper == self.size))
+        turn = np.concatenate(([False], (upper[1:] & lower[:-1]) | (lower[1:] & upper[:-1])))[: len(data)]
+        self.jagged = is_word & (self.size >= 16) & (self.upper + self.lower == self.size) & (per_atom(turn) * 5 >= self.size * 2)
+        self.trigger |= self.jagged
         self.first = first
         self.word = is_word
         self.long = is_word & (self.size >= 16) & self.trigger & (self.digits < self.size) & ((hexa == self.size) | ((self.upper > 0) & (self.upper + self.digits + self.lower == self.size)))
@@ -94,11 +99,14 @@ class Atoms:
             at = np.flatnonzero(is_word & (self.size == len(word_)))
             if len(at):
                 text = data[b[at][:, None] + np.arange(len(word_))] | 32
-                self.key[at] = (text == np.frombuffer(word_, np.uint8)).all(axis=1)
+                self.key[at] |= (text == np.frombuffer(word_, np.uint8)).all(axis=1)
         near = self.key.copy()
         for i in range(1, 4):
             near[i:] |= self.key[:-i] & (self.owner[i:] == self.owner[:-i])
         self.after_key = np.concatenate(([False], near[:-1])) if n else near
+        told = np.concatenate(([False], np.isin(first[:-1], _TELLS))) if n else near
+        self.given = is_word & self.after_key & told & (self.gap[:n] < 2) & (self.size >= 6)
+        self.trigger |= self.given
 
 
 #: Signs by number, for counts inside a segment.
@@ -164,6 +172,7 @@ def describe(a: Atoms, i: np.ndarray, length: np.ndarray) -> np.ndarray:
         formed & (plus == 1), formed & (left == 1), long, caps, long & (a.size[i] >= 32), keyed, (length == 1) & keyed & (a.size[i] >= 8) & (a.digits[i] > 0), unclean_left, unclean_right, digit_next, digit_prev,
         touch_prev & a.word[prv], has_prev & (a.gap[i] <= 1) & ((before_is == 43) | (before_is == 40)), spaces > 0, spaces > 3, ~first_word, ~last_word, odd > 0, equals + quote > 0, digits < 7, digits > 16, (alphas > 0) & (at == 0), dots > 0, np.log1p(length),
         touch_prev & (before_is == 36), plain & (length == 1), long & a.prefixed[i], long & (a.digits[i] == 0),
+        (length == 1) & a.given[i], (length == 1) & a.given[i] & (a.gap[i] == 0), (length == 1) & a.jagged[i],
     ]
     return np.stack([np.asarray(c, np.float32) for c in columns], axis=1)
 
@@ -262,7 +271,7 @@ def examples(n: int, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]
     def entity() -> tuple[str, str, str, str]:
         kind = r.choice(TYPES)
         if kind == "email":
-            local = r.choice((ascii_word(), f"{ascii_word()}.{num(2)}", f"{ascii_word()}.{ascii_word()}", f"{ascii_word()}_{num(3)}", f"{ascii_word()}+{ascii_word()}", f"{ascii_word()}-{num(1)}"))
+            local = r.choice((ascii_word(), f"{ascii_word()}.{num(2)}", f"{ascii_word()}.{ascii_word()}", f"{ascii_word()}_{num(3)}", f"{ascii_word()}+{ascii_word()}", f"{ascii_word()}-{num(1)}", ".".join(ascii_word() for _ in range(r.randint(3, 9)))))
             return kind, f"{local}@{ascii_word()}{r.choice(('', num(1)))}.{r.choice(('com', 'org', 'net', 'example.com', 'co.uk', 'de'))}", "", ""
         if kind == "phone":
             a, b, c = num(3), num(3), num(4)
@@ -274,6 +283,12 @@ def examples(n: int, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]
             return kind, r.choice((x, x, " ".join(x[k : k + 4] for k in (0, 4, 8, 12)), "-".join(x[k : k + 4] for k in (0, 4, 8, 12)))), "", ""
         if r.random() < 0.3:
             return kind, "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), "", ""
+        letters = lambda of, least, most: "".join(r.choice(of) for _ in range(r.randint(least, most)))
+        if r.random() < 0.3:
+            key = r.choice(("token", "password", "secret", "api_key", "key", "pwd"))
+            return kind, letters("abcdefghijklmnopqrstuvwxyz", 6, 18), *r.choice(((f'{key} = "', '"'), (f'{key}="', '"'), (f"{key}=", ""), (f"{key}:", "")))
+        if r.random() < 0.25:
+            return kind, "".join(letters("abcdefghijklmnopqrstuvwxyz", 1, 2) + letters("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1, 2) for _ in range(r.randint(8, 14))), *r.choice((("token=", ""), ('key = "', '"'), ("", "")))
         value = "".join(r.choice("0123456789abcdef") for _ in range(r.choice((16, 18, 24, 32, 40, 64)))) + "7"
         name = r.choice(("token", "password", "secret", "api_key", "key", "pwd"))
         return kind, value, *r.choice(((f'{name} = "', '"'), (f"{name}=", ""), (f"{name}: ", ""), ("", "")))
@@ -282,6 +297,7 @@ def examples(n: int, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]
         return r.choice((
             f"{num(1)}.{num(1)}", f"{num(1)}.{num(1)}.", f"v{num(1)}.{num(2)}.{num(1)}", f"{num(1)}.{num(1)}.{num(1)}.{num(3)}{num(1)}", f"19{num(2)}", f"20{num(2)}-0{num(1)}-1{num(1)}", f"1{num(1)}:3{num(1)}", f"${num(3)}.{num(2)}", f"{num(2)}%", num(r.randint(1, 8)), f"{num(1)},{num(3)},{num(3)}",
             f"{num(3)}-{num(2)}", f"#{num(5)}", f"{num(2)}.{num(2)}.{num(4)}", f"{ascii_word()}{num(2)}", f"@{ascii_word()}", f"{ascii_word()} @ {num(2)}", f"({num(4)})", f"[{num(2)}]", f"http://{ascii_word()}.com/{num(3)}", f"3{num(2)}.{num(3)}.{num(3)}.9{num(2)}", num(24), f"{num(3)} {num(3)}", f"ISBN {num(9)}", f"{num(4)}/{num(4)}", f"{num(2)}th", ascii_word().upper(), "".join(r.choice("AEINORST") for _ in range(r.randint(16, 24))),
+            f"{r.choice(('key', 'token', 'password', 'secret'))}: {word()}", "".join(ascii_word().capitalize() for _ in range(5)),
         ))
 
     out = []
@@ -295,7 +311,7 @@ def examples(n: int, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]
                 text += head
                 marks.append((len(text), len(text) + len(value), kind))
                 text += value + foot
-                if r.random() < 0.15 and not foot:
+                if r.random() < 0.15 and not foot and not (value.isalpha() and value.islower()):
                     text += " "
                     marks.append((len(text), len(text) + len(value), kind))
                     text += value
@@ -340,17 +356,30 @@ def scores(a: Atoms, i: np.ndarray, length: np.ndarray, weights: np.ndarray, blo
     return np.concatenate([np.zeros((0, w.shape[1])), *(describe(a, i[s : s + block], length[s : s + block]) @ w for s in range(0, len(i), block))])
 
 
+def key_places(data: np.ndarray) -> np.ndarray:
+    text, out = data.tobytes().lower(), []
+    for word in _KEYS:
+        at = text.find(word)
+        while at >= 0:
+            out.append(at)
+            at = text.find(word, at + 1)
+    return np.array(out, np.int64)
+
+
 def find(column: pa.Array, weights: np.ndarray, group_bytes: int = 128 << 10) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text number, begin and end in characters, and type number of each entity.
 
-    Lines without a digit, ``@`` or 16 capitals can't hold one and are passed over; the others are decoded in groups of about ``group_bytes``.
+    Lines without a digit, ``@``, 16 capitals, a capital after a small letter, or a key word and a sign that tells its value can't hold one and are passed over; the others are decoded in groups of about ``group_bytes``.
     """
     data, offs = utf8(column)
     capital = (data >= 65) & (data < 91)
     for n in (1, 2, 4, 8):
         capital = capital[n:] & capital[:-n]
     borders = line_borders(data, offs)
-    lines = np.unique(np.searchsorted(borders, np.concatenate((np.flatnonzero(_TRIGGER[data]), np.flatnonzero(capital))), "right") - 1)
+    line = lambda at: np.unique(np.searchsorted(borders, at, "right") - 1)
+    turns = np.flatnonzero((data[:-1] >= 97) & (data[:-1] < 123) & (data[1:] >= 65) & (data[1:] < 91))
+    told = np.intersect1d(line(key_places(data)), line(np.flatnonzero(np.isin(data, _TELLS))))
+    lines = np.union1d(line(np.concatenate((np.flatnonzero(_TRIGGER[data]), np.flatnonzero(capital), turns))), told)
     out = [np.zeros((3, 0), np.int64)]
     size = borders[lines + 1] - borders[lines] if len(lines) else lines
     group = np.cumsum(size) // group_bytes

@@ -455,6 +455,14 @@ def test_entities_of_held_out_sentences():
     assert len(got & want) > 0.97 * len(want) and len(got & want) > 0.97 * len(got)
 
 
+def test_secrets_without_digits_and_long_addresses():
+    w = pii.fit()
+    mail = "a.b.c.d.e.f.g.h.i.j@mail.example.com"
+    texts = ["password=correcthorse", 'the api_key = "swordfishes" is old', "token=QwErTyUiOpAsDfGhJkLz now", f"write to {mail} today", "the key: nothing more", "a monkey said: nothing"]
+    got = [(int(r), texts[r][s:e], pii.TYPES[k]) for r, s, e, k in zip(*pii.find(pa.array(texts), w))]
+    assert got == [(0, "correcthorse", "secret"), (1, "swordfishes", "secret"), (2, "QwErTyUiOpAsDfGhJkLz", "secret"), (3, mail, "email")]
+
+
 def test_groups_of_lines_change_nothing():
     made = pii.examples(120, seed=7)
     column, w = pa.array([t for t, _ in made] + [" ".join(str(n) for n in range(3000)), None, ""]), pii.fit(n=60, rounds=15)
