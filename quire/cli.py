@@ -9,35 +9,34 @@ from __future__ import annotations
 
 import argparse
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.status import CODES, STATUS
 from .operators import index, metadata, reports
-from .plans.ingest import ingest
+from .plans.ingest import ReportStore, ingest, report_of
 from .session import session
 from .sinks.outputs import SINKS, IndexTable, write_files, write_http, write_stdout
 from .sources import dumps
 from .sources.parsers import Options, parse
 from .sources.walk import walk
+from .state import exists, file_system, remove, shared_folder
 
 VERSION = "0.1"
 
 
 def _table(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """A folder of Parquet, empty where there is none yet."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.parquet(folder) if there else spark.createDataFrame([], schema)
+    return spark.read.parquet(folder) if exists(spark, folder) else spark.createDataFrame([], schema)
 
 
 def _replace(df: DataFrame, folder: str) -> None:
     """Writes aside and swaps the folders, as the frame may read from the one it replaces."""
     spark, jvm = df.sparkSession, df.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs, path = file_system(spark, folder)
     aside, old = jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + ".new"), jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + ".old")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     df.write.mode("overwrite").parquet(aside.toString())
     fs.delete(old, True)
     if fs.exists(path):
@@ -63,19 +62,38 @@ def _pairs(items: list[str]) -> dict[str, str | None]:
     return {a: b or None for a, _, b in (x.partition(":") for x in items)}
 
 
-def _emit(df: DataFrame, out: str | None) -> None:
-    text = df.first()[0]
+def _emit(lines: DataFrame, out: str | None, brackets: str) -> None:
     if out:
         with open(out, "w", encoding="utf-8") as f:
-            f.write(text + "\n")
+            dumps.write_json(lines, f, brackets)
     else:
-        print(text)
+        dumps.write_json(lines, sys.stdout, brackets)
 
 
 def _condition(text: str | None):
     return F.expr(text) if text else None
 
 
+def _spew(spark: SparkSession, paths: DataFrame, a: argparse.Namespace, options: Options) -> int:
+    """Parses once, writes once, and reports what became of each path; 1 if any couldn't be written."""
+    store = ReportStore(spark, a.reports)
+    aside = f"{shared_folder(spark)}/parsed-{uuid.uuid4().hex}"
+    try:
+        parse(reports.to_do(paths.select("path"), store.latest()).distinct(), options).write.parquet(aside)
+        docs, done = spark.read.parquet(aside), None
+        if a.sink == "stdout":
+            write_stdout(docs)
+        else:
+            done = write_files(docs, a.to, "html" if a.output_format == "html" else "txt") if a.sink == "file" else write_http(docs, a.to, certificate=a.certificate, verify_host=a.verify_host)
+        store.add(report_of(docs, done))
+        failed = 0 if done is None else done.where("error is not null").count()
+        if failed:
+            print(f"quire: {failed} documents couldn't be written", file=sys.stderr)
+        return int(failed > 0)
+    finally:
+        remove(spark, aside)
+
+
 def run(spark: SparkSession, a: argparse.Namespace) -> int:
     c = a.command
     if c == "queue":
@@ -86,7 +104,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         loaded = dumps.queue_from_csv(spark, a.file, a.field) if a.file.endswith(".csv") else dumps.queue_from_json(spark, a.file)
         _replace(_table(spark, a.queue, QUEUE).unionByName(loaded), a.queue)
     elif c == "dump-queue":
-        _emit(dumps.queue_json(_table(spark, a.queue, QUEUE)), a.out)
+        _emit(dumps.queue_lines(_table(spark, a.queue, QUEUE)), a.out, "[]")
     elif c == "wipe-queue":
         print(_table(spark, a.queue, QUEUE).count())
         _replace(spark.createDataFrame([], QUEUE), a.queue)
@@ -94,7 +112,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         loaded = dumps.report_from_json(spark, a.file).select("path", "code", F.lit(None).cast("string").alias("exception_class"), F.lit(None).cast("string").alias("exception_message"), F.current_timestamp().alias("ts"))
         _replace(reports.latest(_table(spark, a.reports, REPORTS).unionByName(loaded)), a.reports)
     elif c == "dump-report":
-        _emit(dumps.report_json(reports.latest(_table(spark, a.reports, REPORTS)), _code(a.status)), a.out)
+        _emit(dumps.report_lines(reports.latest(_table(spark, a.reports, REPORTS)), _code(a.status)), a.out, "{}")
     elif c == "view-report":
         for r in reports.view(reports.latest(_table(spark, a.reports, REPORTS)), a.paths).collect():
             print(*[x if x is not None else "-" for x in r], sep="\t")
@@ -104,22 +122,12 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     elif c == "clean-report":
         _replace(reports.clean(_table(spark, a.reports, REPORTS), walk(spark, a.paths, ignore_system=False).where("error is null")), a.reports)
     elif c == "spew":
-        options = Options(embeds=a.embeds, output=a.output_format, algorithm=a.algorithm, project=a.project, max_depth=a.max_embed_depth, max_bytes=a.max_embed_bytes)
+        options = Options(embeds=a.embeds, output=a.output_format, algorithm=a.algorithm, project=a.project, max_depth=a.max_embed_depth, max_bytes=a.max_embed_bytes, timeout=a.parse_timeout)
         paths = walk(spark, a.paths).where("error is null").select("path") if a.paths else _table(spark, a.queue, QUEUE)
         if a.sink == "index":
             print(ingest(spark, paths, a.to, a.reports, options))
         else:
-            from .operators.reports import latest, to_do
-            from .plans.ingest import report_of
-
-            work = to_do(paths, latest(_table(spark, a.reports, REPORTS))).distinct()
-            docs = parse(work, options)
-            if a.sink == "stdout":
-                write_stdout(docs)
-            else:
-                done = write_files(docs, a.to, "html" if a.output_format == "html" else "txt") if a.sink == "file" else write_http(docs, a.to)
-                print(done.where("error is not null").count())
-            report_of(docs).write.mode("append").parquet(a.reports)
+            return _spew(spark, paths, a, options)
     elif c in ("copy", "tag", "rehash", "delete"):
         table = IndexTable(spark, a.index)
         docs = table.read()
@@ -201,6 +209,9 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--project", default="")
     s.add_argument("--max-embed-depth", type=int, default=20)
     s.add_argument("--max-embed-bytes", type=int, default=0)
+    s.add_argument("--parse-timeout", type=float, default=86_400, help="seconds for each file; 0 is no limit")
+    s.add_argument("--certificate", help="PEM file with the only certificate that the server may have")
+    s.add_argument("--verify-host", help="name that the server's certificate must be made out to")
     for name in ("copy", "tag", "rehash", "delete"):
         s = command(name, "--index", "--filter")
         s.add_argument("--no-commit", action="store_true")

@@ -30,7 +30,7 @@ def parse_status(text: Column) -> Column:
 def classify(exception: Column, cause: Column, stage: Column) -> Column:
     """Code by the first rule that applies to (class, class of the cause, stage ``parse``, ``transform`` or ``save``).
 
-    A missing file counts as not found under either of its names.
+    A missing file counts as not found under either of its names. Fatal are the errors of a virtual machine, and Python's for want of memory or stack; other classes that end in ``Error`` aren't.
     """
     is_ = lambda c, *names: F.coalesce(F.element_at(F.split(c, r"\."), -1).isin(*names), F.lit(False))
     either = lambda *names: is_(exception, *names) | is_(cause, *names)
@@ -38,7 +38,7 @@ def classify(exception: Column, cause: Column, stage: Column) -> Column:
     code = lambda name: F.lit(CODES[name])
     return (
         F.when(exception.isNull(), code("SUCCESS"))
-        .when(F.coalesce(exception.endswith("Error"), F.lit(False)) & ~is_(exception, "OSError", "ExtractionError"), code("FAILURE_FATAL"))
+        .when(exception.rlike(r"^(java|javax|jdk|sun)\..*Error$") | is_(exception, "OutOfMemoryError", "StackOverflowError", "VirtualMachineError", "LinkageError", "NoClassDefFoundError", "InternalError", "MemoryError", "RecursionError"), code("FAILURE_FATAL"))
         .when(either("TimeoutException"), code("FAILURE_TIMEOUT"))
         .when(either("InterruptedException"), code("FAILURE_UNKNOWN"))
         .when(stage == "save", code("FAILURE_NOT_SAVED"))

@@ -51,10 +51,11 @@ def format_duration(millis: Column) -> Column:
     return out
 
 
-def parse_boolean(text: Column) -> Column:
-    """yes/on/true/1 and no/off/false/0 in any case; null for anything else."""
+def parse_boolean(text: Column, strict: bool = False) -> Column:
+    """yes/on/true/1 and no/off/false/0 in any case; null for null, and for anything else null or, if ``strict``, an error."""
     t = F.lower(text)
-    return F.when(t.isin("yes", "on", "true", "1"), True).when(t.isin("no", "off", "false", "0"), False)
+    known = F.when(t.isin("yes", "on", "true", "1"), True).when(t.isin("no", "off", "false", "0"), False)
+    return F.when(text.isNotNull() & known.isNull(), F.raise_error(F.concat(F.lit("not a boolean: "), text)).cast("boolean")).otherwise(known) if strict else known
 
 
 def html_escape(text: Column, attribute: bool = False) -> Column:

@@ -6,9 +6,9 @@ a fingerprint there. Shared fingerprints are extended over the tokens on either
 common spans of at least ``k + window - 1`` tokens, none missed.
 
 The corpus is read once, and its texts aren't shuffled to find spans. A benchmark of up to ``LOCAL_TOKENS`` tokens (counted first) goes to all
-tasks, which find, extend and decide where they read. Of a larger one they only get a bitmap of its fingerprints, of fixed size, that
-drops nearly all of the corpus's fingerprints where they are made. It can let some through in vain, never drop
-one that matters; those are joined with the benchmark's, which is exact, and extended after that. Both ways give the same spans.
+tasks, which find, extend and decide where they read. Of a larger one they get a Bloom filter of its fingerprints, with ``FILTER_BITS`` bits for each of them up to
+``MOST_FILTER_BITS`` in all. Up to 8 million fingerprints (some 29 million words) it lets through one in 200 000 of those that the benchmark doesn't have, beyond that more, but never drops
+one that matters. The tokens of texts with a fingerprint that is left are carried on; their fingerprints are joined with the benchmark's, which is exact, and extended after that. Both ways give the same spans.
 To drop documents takes no shuffle in the first way and an anti-join in the second.
 """
 
@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import hash_ranges, list_array, lowered, ngrams, slices, table, words
+from .kernel import hash_ranges, list_array, lowered, mix64, ngrams, slices, table, words
 from .shared import cut, fresh, row_key, ship, unship
 
 K, WINDOW = 8, 6
-BITMAP_BITS = 1 << 22
 LOCAL_TOKENS = 4_000_000
+FILTER_BITS, MOST_FILTER_BITS, PROBES = 32, 1 << 28, 8
 
-_SPANS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("doc_start", pa.int64()), ("item_start", pa.int64()), ("n_tokens", pa.int64()), ("row_key", pa.string())])
+_SPANS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("doc_start", pa.int64()), ("item_start", pa.int64()), ("n_tokens", pa.int64()), ("row_key", pa.binary())])
 
 
 def winnow(hashes: np.ndarray, owner: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,19 +77,56 @@ def _benchmark(k: int, window: int):
     return run
 
 
-def _corpus(k: int, window: int, bits):
-    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.string()), ("tokens", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("fp", pa.list_(pa.int64()))])
+def _slots(fp: np.ndarray, mask: int) -> np.ndarray:
+    """(fingerprints, probes): the bits of the filter that stand for each fingerprint."""
+    fp = fp.view(np.uint64)
+    return (fp[:, None] + np.arange(PROBES, dtype=np.uint64)[None] * (mix64(fp) | np.uint64(1))[:, None]) & np.uint64(mask)
+
+
+def _words_of_filter(mask: int):
+    """(word, bits) that the fingerprints set in the filter's 64-bit words."""
+    schema = pa.schema([("word", pa.int64()), ("bits", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(bits.value, np.uint8)
-        mask = np.uint64(len(bitmap) * 8 - 1)
+        for batch in batches:
+            fp = batch.column("fp").to_numpy()
+            if len(fp):
+                slot = np.sort(_slots(fp, mask).ravel())
+                word = (slot >> np.uint64(6)).astype(np.int64)
+                first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+                yield table(schema, word[first], np.bitwise_or.reduceat(np.uint64(1) << (slot & np.uint64(63)), first).view(np.int64))
+
+    return run
+
+
+def known(bits: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Which fingerprints the filter lets through."""
+    slot = _slots(fp, len(bits) * 64 - 1)
+    return ((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1).all(axis=1)
+
+
+def _filter(bench: DataFrame, filter_bits: int, most_bits: int) -> np.ndarray:
+    """The Bloom filter of the benchmark's fingerprints as 64-bit words; at most ``most_bits``, which also bounds what the driver gets."""
+    prints = bench.select(F.explode("fp").alias("fp"))
+    wanted = max(64, prints.count() * filter_bits)
+    size = min(most_bits, 1 << (wanted - 1).bit_length())
+    bits = np.zeros(size // 64, np.uint64)
+    got = prints.mapInArrow(_words_of_filter(size - 1), "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return bits
+
+
+def _corpus(k: int, window: int, shared):
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.binary()), ("tokens", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("fp", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint64)
         for batch in batches:
             for part in slices(batch):
                 hashes, owner, first = _tokens(part)
                 at, fp = winnow(hashes, owner, k, window)
-                slot = fp & mask
-                known = (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                at, fp = at[known], fp[known]
+                passed = known(bits, fp)
+                at, fp = at[passed], fp[passed]
                 of = owner[at]
                 rows, counts = np.unique(of, return_counts=True)
                 if not len(rows):
@@ -175,15 +212,12 @@ def _matcher(bench: DataFrame, k: int, window: int, most: int):
     return ship(bench.sparkSession, Matcher(bench.select("item_id", "tokens", "at", "fp").toArrow(), k, window))
 
 
-def _joined(documents: DataFrame, bench: DataFrame, k: int, window: int, bitmap_bits: int) -> DataFrame:
+def _joined(documents: DataFrame, bench: DataFrame, k: int, window: int, filter_bits: int, most_bits: int) -> DataFrame:
     """Spans by joining fingerprints, for a benchmark of any size."""
-    spark = documents.sparkSession
-    marks = bench.select(F.explode("fp").alias("fp")).select(F.col("fp").bitwiseAND(bitmap_bits - 1).alias("slot")).distinct().toArrow().column(0).to_numpy()
-    bitmap = np.zeros(bitmap_bits // 8, np.uint8)
-    np.bitwise_or.at(bitmap, marks >> 3, np.left_shift(np.uint8(1), (marks & 7).astype(np.uint8)))
+    bits = documents.sparkSession.sparkContext.broadcast(_filter(bench, filter_bits, most_bits).tobytes())
     hits = cut(
         documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text"), row_key().alias("row_key"))
-        .mapInArrow(_corpus(k, window, spark.sparkContext.broadcast(bitmap.tobytes())), "doc_id bigint, row_key string, tokens array<bigint>, at array<int>, fp array<bigint>")
+        .mapInArrow(_corpus(k, window, bits), "doc_id bigint, row_key binary, tokens array<bigint>, at array<int>, fp array<bigint>")
         .withColumn("row", F.monotonically_increasing_id())
     )
     prints = bench.select("item", F.explode(F.arrays_zip("at", "fp")).alias("x")).select("item", F.col("x.at").alias("item_at"), F.col("x.fp").alias("fp"))
@@ -195,10 +229,10 @@ def _joined(documents: DataFrame, bench: DataFrame, k: int, window: int, bitmap_
         .distinct()
     )
     pairs = shifts.join(bench.select("item", "item_id", F.col("tokens").alias("item_tokens")), "item").join(hits.select("row", "doc_id", "row_key", "tokens"), "row")
-    return pairs.select("row", "doc_id", "item_id", "shift", "row_key", "tokens", "item_tokens").mapInArrow(_extend(k + window - 1), "row bigint, doc_id bigint, item_id bigint, doc_start bigint, item_start bigint, n_tokens bigint, row_key string")
+    return pairs.select("row", "doc_id", "item_id", "shift", "row_key", "tokens", "item_tokens").mapInArrow(_extend(k + window - 1), "row bigint, doc_id bigint, item_id bigint, doc_start bigint, item_start bigint, n_tokens bigint, row_key binary")
 
 
-def find_spans(documents: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, local_tokens: int = LOCAL_TOKENS, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
+def find_spans(documents: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, local_tokens: int = LOCAL_TOKENS, filter_bits: int = FILTER_BITS, most_bits: int = MOST_FILTER_BITS) -> DataFrame:
     """(doc_id, item_id, doc_start, item_start, n_tokens): every maximal run of at least ``k + window - 1`` tokens
     that a document shares with a benchmark item; starts count tokens from 0.
 
@@ -209,7 +243,7 @@ def find_spans(documents: DataFrame, benchmark: DataFrame, k: int = K, window: i
     bench = _prepared(benchmark, k, window)
     shared = _matcher(bench, k, window, local_tokens)
     if shared is None:
-        return _joined(documents, bench, k, window, bitmap_bits).select("doc_id", "item_id", "doc_start", "item_start", "n_tokens")
+        return _joined(documents, bench, k, window, filter_bits, most_bits).select("doc_id", "item_id", "doc_start", "item_start", "n_tokens")
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "item_id", "doc_start", "item_start", "n_tokens")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,8 +258,11 @@ def find_spans(documents: DataFrame, benchmark: DataFrame, k: int = K, window: i
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, item_id bigint, doc_start bigint, item_start bigint, n_tokens bigint")
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, local_tokens: int = LOCAL_TOKENS, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
-    """``documents`` without those that have a span of ``find_spans``; columns, order of columns and repeated rows stay."""
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, local_tokens: int = LOCAL_TOKENS, filter_bits: int = FILTER_BITS, most_bits: int = MOST_FILTER_BITS) -> DataFrame:
+    """``documents`` without those that have a span of ``find_spans``; columns, order of columns and repeated rows stay.
+
+    Null and empty texts and texts shorter than a span stay, null ids are like any other. An empty benchmark takes nothing away, empty documents give no rows; other columns, whatever their names, are passed on.
+    """
     bench = _prepared(benchmark, k, window)
     shared = _matcher(bench, k, window, local_tokens)
     if shared is not None:
@@ -240,5 +277,5 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, k: int = K, wi
 
         return documents.mapInArrow(run, documents.schema)
     key, bad_key = fresh(documents, "_row_key"), fresh(documents, "_bad_key")
-    bad = cut(_joined(documents, bench, k, window, bitmap_bits).select(F.col("row_key").alias(bad_key)).distinct())
+    bad = cut(_joined(documents, bench, k, window, filter_bits, most_bits).select(F.col("row_key").alias(bad_key)).distinct())
     return documents.withColumn(key, row_key()).join(bad, F.col(key) == F.col(bad_key), "left_anti").select(*documents.columns)

@@ -34,14 +34,13 @@ def allocate(sizes: DataFrame, targets: dict[str, float] | None = None, other_we
     weight = F.lit(float(other_weight))
     for name, value in weights.items():
         weight = F.when(F.col("source") == name, float(value)).otherwise(weight)
-    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("budget")) if budget is None else sizes.sparkSession.range(1).select(F.lit(float(budget)).alias("budget"))
-    usable = sizes.withColumn("weight", weight).where("size > 0 and weight > 0").withColumn("cap_ratio", F.lit(float(max_epochs)) * F.col("size") / F.col("weight"))
+    total = F.coalesce(F.sum("size").over(Window.partitionBy(F.lit(1))), F.lit(0)) if budget is None else F.lit(float(budget))
+    usable = sizes.withColumn("budget", total).withColumn("weight", weight).where("size > 0 and weight > 0").withColumn("cap_ratio", F.lit(float(max_epochs)) * F.col("size") / F.col("weight"))
     order = Window.orderBy("cap_ratio", F.col("source").asc_nulls_first())
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     levels = (
         usable.withColumn("taken", F.coalesce(F.sum("size").over(before), F.lit(0)))
         .withColumn("left", F.sum("weight").over(after))
-        .crossJoin(F.broadcast(total))
         .withColumn("level", (F.col("budget") - F.lit(float(max_epochs)) * F.col("taken")) / F.col("left"))
         .withColumn("clamped", F.col("level") >= F.col("cap_ratio"))
     )
@@ -77,5 +76,8 @@ def mix(documents: DataFrame, **options) -> DataFrame:
 
 
 def mix_documents(documents: DataFrame, **options) -> DataFrame:
-    """``documents`` with each row as often as ``mix`` uses it."""
+    """``documents`` with each row as often as ``mix`` uses it: not at all, once or several times.
+
+    Nulls, empty texts and repeated rows are treated as by ``mix``; columns stay, whatever their names; empty documents give no rows.
+    """
     return repeated(documents, fresh(documents, "_copy"), **options).select(*documents.columns)

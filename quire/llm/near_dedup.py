@@ -9,7 +9,8 @@ Where a coordinate stays empty, the rank is doubled for that document. Two docum
 probability equal to their weighted Jaccard similarity. The cost is a hash per element and ``O(k log k)`` darts, not ``k`` hashes per element.
 
 Documents with equal signatures are one node. Nodes that agree in all rows of a band meet in that band's bucket. Buckets of a single node are
-dropped while rows are 24 bytes long; only to the others the sketches are brought, and there they are compared. In a bucket the connected parts are found by breadth-first search, each step comparing one node with all nodes
+dropped while rows are 24 bytes long; only to the others the sketches are brought, and there they are compared, at most ``BUCKET`` nodes in one place: larger
+buckets are split, and what isn't linked within the parts is compared across them (``linked``). In a part the connected nodes are found by breadth-first search, each step comparing one node with all nodes
 not yet reached, so no pair is dropped however large the bucket, while tight groups cost little more than their size.
 Connected components over all buckets are the groups.
 """
@@ -28,6 +29,8 @@ from .kernel import hash_ranges, list_array, lowered, mix64, ngrams, seed64, sli
 from .shared import cut, fresh, row_key
 
 COORDINATES, BAND_ROWS, THRESHOLD, SHINGLE = 96, 4, 0.5, 2
+#: Nodes of a bucket that are compared in one place, and keys to remove that are broadcast (about 100 MB).
+BUCKET, BROADCAST_KEYS = 16_384, 1_000_000
 
 
 def elements(hashes: np.ndarray, owner: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,7 +99,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def _sign(k: int, band_rows: int, shingle: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.string()), ("node", pa.binary()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.binary()), ("node", pa.binary()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,104 +135,170 @@ def _parts(sketch: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarr
             yield leader, members
 
 
-def _link(threshold: float):
-    """Edges within buckets; the batches of a partition come sorted by key."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-
-    def edges(key: np.ndarray, node: pa.Array, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-        border = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
-        size = np.diff(border)
-        two = border[:-1][size == 2]
-        two = two[(sketch[two] == sketch[two + 1]).sum(axis=1) >= math.ceil(threshold * sketch.shape[1])]
-        left, right = [two], [two + 1]
-        for s, n in zip(border[:-1][size > 2].tolist(), size[size > 2].tolist()):
-            for leader, members in _parts(sketch[s : s + n], threshold):
-                left.append(np.full(len(members), s + leader))
-                right.append(s + members)
-        left, right = np.concatenate(left), np.concatenate(right)
-        if len(left):
-            yield table(schema, node.take(pa.array(left)), node.take(pa.array(right)))
+def _blocks(columns: list[str], work):
+    """Calls ``work`` with all rows of each block of a partition whose batches come sorted by ``columns``, or of several blocks at a time with where each begins; a block is at most about ``BUCKET`` rows of either kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        last = None
+        last: tuple | None = None
 
         def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if parts and sum(p.num_rows for p in parts) > 1:
                 t = pa.Table.from_batches(parts).combine_chunks()
-                sketch, _ = _bytes(t.column("sketch"))
-                yield from edges(t.column("band").to_numpy(), t.column("node").combine_chunks(), sketch.reshape(t.num_rows, -1))
+                yield from work(t, np.concatenate(([0], turns(t) + 1, [t.num_rows])))
+
+        def turns(t) -> np.ndarray:
+            """Rows after which another block begins."""
+            key = np.stack([t.column(c).to_numpy() for c in columns])
+            return np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = batch.column("band").to_numpy()
-            begin = int(np.searchsorted(key, key[-1], "left"))
-            if begin or key[0] != last:
-                if key[0] != last:
-                    yield from done(held)
-                    held = []
-                yield from done([*held, batch.slice(0, begin)])
+            first, final = (tuple(batch.column(c)[i].as_py() for c in columns) for i in (0, batch.num_rows - 1))
+            if first != last:
+                yield from done(held)
                 held = []
-            held.append(batch.slice(begin))
-            last = key[-1]
+            if first != final:
+                begin = int(turns(batch)[-1]) + 1
+                yield from done([*held, batch.slice(0, begin)])
+                held = [batch.slice(begin)]
+            else:
+                held.append(batch)
+            last = final
         yield from done(held)
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of buckets with more than one node; the batches of a partition come sorted by key."""
-    held: pa.RecordBatch | None = None  # the last row so far, and whether it has been given out
-    given = False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column("band").to_numpy()
-        same = key[1:] == key[:-1]
-        keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        if held is not None and held.column("band")[0].as_py() == key[0]:
-            keep[0] = True
-            if not given:
-                yield held
-        if keep.any():
-            yield batch.filter(pa.array(keep))
-        held, given = batch.slice(batch.num_rows - 1), bool(keep[-1])
-
-
-def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+_EDGES = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _sketches(t: pa.Table) -> np.ndarray:
+    return _bytes(t.column("sketch")).reshape(t.num_rows, -1)
+
+
+def _link(threshold: float):
+    """Edges within blocks."""
+
+    def work(t: pa.Table, border: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, sketch = t.column("node").combine_chunks(), _sketches(t)
+        size = np.diff(border)
+        two = border[:-1][size == 2]
+        two = two[(sketch[two] == sketch[two + 1]).sum(axis=1) >= math.ceil(threshold * sketch.shape[1])]
+        left, right = [two], [two + 1]
+        for s, n in zip(border[:-1][size > 2].tolist(), size[size > 2].tolist()):
+            for leader, members in _parts(sketch[s : s + n], threshold):
+                left.append(np.full(len(members), s + leader))
+                right.append(s + members)
+        left, right = np.concatenate(left), np.concatenate(right)
+        if len(left):
+            yield table(_EDGES, node.take(pa.array(left)), node.take(pa.array(right)))
+
+    return _blocks(["band", "block", "tile"], work)
+
+
+def _cross(threshold: float):
+    """For each row with ``asks`` one edge to each other component that it meets in its block."""
+
+    def work(t: pa.Table, border: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, sketch = t.column("node").combine_chunks(), _sketches(t)
+        asks = t.column("asks").to_numpy()
+        root = t.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+        need = math.ceil(threshold * sketch.shape[1])
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s, e in zip(border[:-1], border[1:]):
+            rest = np.arange(s, e)[~asks[s:e]]
+            for i in np.arange(s, e)[asks[s:e]]:
+                hit = rest[(root[rest] != root[i]) & ((sketch[rest] == sketch[i]).sum(axis=1) >= need)]
+                if len(hit):
+                    hit = hit[np.unique(root[hit], return_index=True)[1]]
+                    left.append(np.full(len(hit), i))
+                    right.append(hit)
+        left, right = np.concatenate(left), np.concatenate(right)
+        if len(left):
+            yield table(_EDGES, node.take(pa.array(left)), node.take(pa.array(right)))
+
+    return _blocks(["band", "block", "tile"], work)
+
+
+def _bytes(column: pa.ChunkedArray) -> np.ndarray:
     column = column.combine_chunks().cast(pa.large_binary())
     _, offsets, data = column.buffers()
     offs = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]], offs - offs[0]
+    return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]]
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the least node of its component.
 
-    Alternates large-star and small-star steps; every step is written to the checkpoint folder, and it ends when a step changes nothing.
+    Alternates large-star and small-star steps; every step is written to the checkpoint folder, and it ends when a step leaves number and hash sum of the edges as they were.
+    A node's least neighbour is joined to its edges, so that a node with very many of them is spread over tasks like any skewed key.
     """
+
+    def star(e: DataFrame) -> DataFrame:
+        """Edges (u, v) with the least v of each u."""
+        return e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u")
+
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    before = state(now)
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.groupBy("u").agg(F.min("v").alias("m"), F.collect_list("v").alias("vs")).select(F.least("u", "m").alias("m"), "u", F.explode("vs").alias("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"), F.collect_list("v").alias("vs")).select("m", F.explode(F.concat("vs", F.array("u"))).alias("u")).where("u <> m").select("u", F.col("m").alias("v")).distinct()
-        after = cut(small)
-        if now.exceptAll(after).isEmpty() and after.exceptAll(now).isEmpty():
-            return after.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(after.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        now = after
-
-
-def members(documents: DataFrame, threshold: float = THRESHOLD, k: int = COORDINATES, band_rows: int = BAND_ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, row_key, kept_doc_id, kept_key) of every row in a group of more than one; the kept row of a group has the least (doc_id, row_key), null ids last."""
-    signed = cut(documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text"), row_key().alias("row_key")).mapInArrow(_sign(k, band_rows, shingle), "doc_id bigint, row_key string, node binary, sketch binary, bands array<bigint>"))
-    nodes = signed.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    met = nodes.select(F.explode("bands").alias("band"), "node").repartition("band").sortWithinPartitions("band").mapInArrow(_shared, "band bigint, node binary")
-    edges = met.join(nodes.select("node", "sketch"), "node").select("node", "sketch", "band").repartition("band").sortWithinPartitions("band").mapInArrow(_link(threshold), "a binary, b binary")
-    rooted = signed.select("doc_id", "row_key", "node").join(components(edges), "node", "left").select("doc_id", "row_key", F.coalesce("root", "node").alias("root"))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
+        large = star(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        stars = star(large)
+        small = stars.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(stars.where("v = m").select("u", "v")).distinct()
+        now = cut(small)
+        after = state(now)
+        if after == before:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before = after
+
+
+def linked(nodes: DataFrame, threshold: float, bucket: int = BUCKET) -> DataFrame:
+    """(node, root) of all nodes that have a link.
+
+    A band's bucket of more than ``bucket`` nodes is dealt by hash into blocks of about that size, another way in each band; links within blocks come first. What such a bucket holds of other components than its
+    largest is then compared with all of it, block by block, so that no link is lost. Copies of one another form one component after the first step, and nothing is left to compare.
+    """
+    met = nodes.select(F.explode("bands").alias("band"), "node")
+    counts = cut(met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    blocks = F.ceil(F.col("n") / bucket).cast("int")
+    met = met.join(counts, "band").select("band", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node", "band"), blocks).cast("int").alias("block"))
+    sketched = met.join(nodes.select("node", "sketch"), "node")
+
+    def within(rows: DataFrame, work, columns: tuple[str, ...]) -> DataFrame:
+        return rows.select("band", "block", "tile", "node", "sketch", *columns).repartition("band", "block", "tile").sortWithinPartitions("band", "block", "tile").mapInArrow(work, "a binary, b binary")
+
+    edges = cut(within(sketched.withColumn("tile", F.lit(0)), _link(threshold), ()))
+    roots = components(edges)
+    if counts.where(F.col("n") > bucket).isEmpty():
+        return roots
+    large = cut(met.where("blocks > 1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    sizes = large.groupBy("band", "root").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    if main.isEmpty():
+        return roots
+    tiles = F.ceil(F.col("others") / bucket).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    seen = large.join(main.select("band", "main", tiles.alias("tiles")), "band").join(nodes.select("node", "sketch"), "node")
+    held = seen.select("band", "node", "sketch", "root", F.lit(False).alias("asks"), "block", each("tiles").alias("tile"))
+    asks = seen.where("root <> main").select("band", "node", "sketch", "root", F.lit(True).alias("asks"), F.pmod(F.xxhash64("band", "node"), F.col("tiles")).cast("int").alias("tile"), each("blocks").alias("block"))
+    found = within(held.unionByName(asks), _cross(threshold), ("root", "asks"))
+    return components(edges.unionAll(found))
+
+
+def members(documents: DataFrame, threshold: float = THRESHOLD, k: int = COORDINATES, band_rows: int = BAND_ROWS, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, row_key, row, kept) of every row in a group of more than one; ``row`` numbers the rows, ``kept`` is the (doc_id, row_key, row) that stays, the least of the group, null ids last."""
+    texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text"), row_key().alias("row_key"))
+    signed = cut(texts.mapInArrow(_sign(k, band_rows, shingle), "doc_id bigint, row_key binary, node binary, sketch binary, bands array<bigint>").withColumn("row", F.monotonically_increasing_id()))
+    nodes = cut(signed.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    rooted = signed.select("doc_id", "row_key", "row", "node").join(linked(nodes, threshold, bucket), "node", "left").select("doc_id", "row_key", "row", F.coalesce("root", "node").alias("root"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "row")
     groups = rooted.groupBy("root").agg(F.min(order).alias("kept"), F.count("*").alias("n")).where("n > 1")
-    return rooted.join(groups, "root").select("doc_id", "row_key", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.row_key").alias("kept_key"))
+    return rooted.join(groups, "root").select("doc_id", "row_key", "row", "kept")
 
 
 def near_duplicates(documents: DataFrame, **options) -> DataFrame:
@@ -240,14 +309,23 @@ def near_duplicates(documents: DataFrame, **options) -> DataFrame:
     Null and empty texts and texts without a word have no signature and are in no group. Texts of any length are read whole.
     Empty tables give no rows. Other columns are ignored.
     """
-    found = members(documents, **options)
-    per_key = found.groupBy("row_key", "kept_key").agg(F.first("doc_id").alias("doc_id"), F.first("kept_doc_id").alias("kept_doc_id"), F.count("*").alias("n"))
-    times = F.col("n") - F.when(F.col("row_key") == F.col("kept_key"), 1).otherwise(0)
-    return per_key.select("doc_id", "kept_doc_id", times.cast("int").alias("n")).where("n > 0").select("doc_id", "kept_doc_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).drop("i")
+    return members(documents, **options).where(F.col("row") != F.col("kept.row")).select("doc_id", F.col("kept.doc_id").alias("kept_doc_id"))
 
 
-def drop_near_duplicates(documents: DataFrame, **options) -> DataFrame:
-    """``documents`` with one row of each group of ``near_duplicates``; rows that agree in doc_id and text are one row, whatever else they hold."""
-    key, gone_key = fresh(documents, "_row_key"), fresh(documents, "_gone_key")
-    gone = cut(members(documents, **options).where("row_key <> kept_key").select(F.col("row_key").alias(gone_key)).distinct())
-    return documents.withColumn(key, row_key()).join(gone, F.col(key) == F.col(gone_key), "left_anti").dropDuplicates([key]).select(*documents.columns)
+def drop_near_duplicates(documents: DataFrame, broadcast_keys: int = BROADCAST_KEYS, **options) -> DataFrame:
+    """``documents`` with one row of each group of ``near_duplicates``. Columns stay as they are.
+
+    Rows that agree in doc_id and text are one row, whatever else they hold. Rows with a null or empty text, or one without a word, all stay, however often they are repeated.
+    What goes is found on ids and digests; texts are read where they lie and not shuffled, but for those of repeated rows of which one stays. Only beyond ``broadcast_keys``
+    digests to remove (counted) is it an ordinary anti-join.
+    """
+    key, other = fresh(documents, "_row_key"), fresh(documents, "_other_key")
+    found = cut(members(documents, **options).where(F.col("row") != F.col("kept.row")).groupBy(F.col("row_key").alias(other)).agg(F.bool_or(F.col("row_key") == F.col("kept.row_key")).alias("stays")))
+    gone, repeated = found.where("not stays").select(other), found.where("stays").select(other)
+    small = found.limit(broadcast_keys + 1).count() <= broadcast_keys
+    hint = F.broadcast if small else lambda df: df
+    same = F.col(key) == F.col(other)
+    left = documents.withColumn(key, row_key()).join(hint(gone), same, "left_anti")
+    if not repeated.isEmpty():
+        left = left.join(hint(repeated), same, "left_anti").unionAll(left.join(hint(repeated), same, "left_semi").dropDuplicates([key]))
+    return left.select(*documents.columns)

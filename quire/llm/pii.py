@@ -4,7 +4,7 @@ A line is a row of atoms: runs of letters and digits, and single signs. A segmen
 space between neighbours; it must hold a digit, an ``@``, 16 capitals in a row, a word of 16 letters that changes case all the time, or a word that stands for the value of a key word. Features describe a whole segment: how many digits,
 which signs, whether the form as a whole is that of an address, number or key, what stands directly before and after it. Every type has its own weights;
 everything outside of entities scores 0. The dynamic programme over segment ends picks the boundaries and types
-with the highest joint score, exactly.
+with the highest joint score, exactly. The bound of ``MOST`` atoms cuts nothing off: an address of more atoms than that is taken whole, by its form (``long_addresses``).
 
 As segments hold one of these, the programme runs on the islands of atoms within reach of one, which is the same as to run it
 on everything. The weights are fitted by maximum likelihood (forward-backward over the same segments) on sentences that are made here, from a fixed seed,
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .kernel import slices, table, utf8
 
-TYPES = ("email", "phone", "ip", "card", "secret")
+TYPES = ("email", "phone", "ip", "card", "secret", "ssn", "iban")
 MOST = 32
 
 _KIND = np.full(256, 2, np.uint8)  # 0 space, 1 letter or digit, 2 sign
@@ -83,6 +83,11 @@ class Atoms:
         at = np.flatnonzero(is_word & (self.size >= 16))
         if len(at):
             self.prefixed[at] = (data[b[at][:, None] + np.arange(4)] == np.frombuffer(b"AKIA", np.uint8)).all(axis=1)
+        self.coded = np.zeros(n, bool)  # two capitals and two digits first
+        at = np.flatnonzero(is_word & (self.size >= 4) & (self.upper + self.digits == self.size))
+        if len(at):
+            self.coded[at] = upper[b[at]] & upper[b[at] + 1] & digit[b[at] + 2] & digit[b[at] + 3]
+        self.hexa = is_word & (self.size <= 4) & (hexa == self.size)
         value = np.zeros(n, np.int64)
         for i in range(3):
             use = self.number & (self.size > i)
@@ -166,12 +171,18 @@ def describe(a: Atoms, i: np.ndarray, length: np.ndarray) -> np.ndarray:
     formed = dial & ((plus == 1) & (a.first[i] == 43) | (left == 1) | ((numbers >= 3) & (dots + dash + spaces >= 2))) & (plus == (a.first[i] == 43))
     long = (length == 1) & a.long[i]
     caps = long & (a.lower[i] == 0)
+    inside = total(a.size * a.word)
+    social = plain & (length == 5) & (dash == 2) & (spaces == 0) & (digits == 9) & (a.size[i] == 3) & (a.size[np.minimum(i + 2, n - 1)] == 2)
+    account = a.coded[i] & (inside >= 15) & (inside <= 34) & (total(a.word & (a.upper + a.digits == a.size)) == length) & ((length == 1) | (a.size[i] == 4) & (total(a.word & (a.size == 4)) >= length - 1) & (spaces == length - 1))
+    colons, double = of[ord(":")], total(np.concatenate(([False], (a.first[1:] == 58) & (a.first[:-1] == 58) & (a.gap[1:n] == 0)))[:n])
+    sixth = (spaces == 0) & (colons == signs) & (total(a.hexa) == words) & (words <= 8) & ((colons == 7) & (words == 8) & (double == 0) | (double == 1) & (words >= 3) & (colons <= 7)) & first_word & last_word
     keyed = a.after_key[i] & ((before_is == 61) | (before_is == 58) | (before_is == 34) | (before_is == 39))
     columns = [
         np.ones(len(i)), email, (at == 1) & ~email, at > 1, quad & (total(a.over) == 0), quad & (total(a.over) > 0), card, card & np.isin(a.first[i], np.frombuffer(b"3456", np.uint8)), dial, formed,
         formed & (plus == 1), formed & (left == 1), long, caps, long & (a.size[i] >= 32), keyed, (length == 1) & keyed & (a.size[i] >= 8) & (a.digits[i] > 0), unclean_left, unclean_right, digit_next, digit_prev,
         touch_prev & a.word[prv], has_prev & (a.gap[i] <= 1) & ((before_is == 43) | (before_is == 40)), spaces > 0, spaces > 3, ~first_word, ~last_word, odd > 0, equals + quote > 0, digits < 7, digits > 16, (alphas > 0) & (at == 0), dots > 0, np.log1p(length),
         touch_prev & (before_is == 36), plain & (length == 1), long & a.prefixed[i], long & (a.digits[i] == 0),
+        social, social & ~unclean_left & ~unclean_right, account, account & (length > 1), sixth, double > 1,
         (length == 1) & a.given[i], (length == 1) & a.given[i] & (a.gap[i] == 0), (length == 1) & a.jagged[i],
     ]
     return np.stack([np.asarray(c, np.float32) for c in columns], axis=1)
@@ -277,7 +288,15 @@ def examples(n: int, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]
             a, b, c = num(3), num(3), num(4)
             return kind, r.choice((f"+{num(r.randint(1, 2))} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{num(2)} {a} {b} {c}", f"+{num(1)}-{a}-{b}-{c}", f"+{num(11)}")), "", ""
         if kind == "ip":
+            if r.random() < 0.35:
+                groups = ["".join(r.choice("0123456789abcdef") for _ in range(r.randint(1, 4))) for _ in range(8)]
+                return kind, r.choice((":".join(groups), "2001:" + ":".join(groups[:2]) + "::" + ":".join(groups[4 : r.randint(5, 7)]))), "", ""
             return kind, ".".join(str(r.randint(0, r.choice((9, 99, 255, 255)))) for _ in range(4)), "", ""
+        if kind == "ssn":
+            return kind, f"{num(3)}-{num(2)}-{num(4)}", "", ""
+        if kind == "iban":
+            x = "".join(r.choice("ABCDEFGHIKLNPRST") for _ in range(2)) + num(2) + r.choice(("", "".join(r.choice("ABCDEFGHKLMNPR") for _ in range(4)))) + num(r.randint(12, 20))
+            return kind, r.choice((x, " ".join(x[k : k + 4] for k in range(0, len(x), 4)))), "", ""
         if kind == "card":
             x = r.choice("3456") + num(15)
             return kind, r.choice((x, x, " ".join(x[k : k + 4] for k in (0, 4, 8, 12)), "-".join(x[k : k + 4] for k in (0, 4, 8, 12)))), "", ""
@@ -295,6 +314,7 @@ def examples(n: int, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]
 
     def other() -> str:
         return r.choice((
+            f"{num(2)}:{num(2)}:{num(2)}", f"{num(1)}:{num(2)}:{num(2)}:{num(2)}", f"{ascii_word()}::{ascii_word()}{num(1)}", f"{num(2)}-{num(2)}-{num(4)}", f"{''.join(r.choice('ABCDEFGH') for _ in range(2))}{num(2)} {num(4)}", f"{''.join(r.choice('ABCDEFGH') for _ in range(2))}{num(6)}",
             f"{num(1)}.{num(1)}", f"{num(1)}.{num(1)}.", f"v{num(1)}.{num(2)}.{num(1)}", f"{num(1)}.{num(1)}.{num(1)}.{num(3)}{num(1)}", f"19{num(2)}", f"20{num(2)}-0{num(1)}-1{num(1)}", f"1{num(1)}:3{num(1)}", f"${num(3)}.{num(2)}", f"{num(2)}%", num(r.randint(1, 8)), f"{num(1)},{num(3)},{num(3)}",
             f"{num(3)}-{num(2)}", f"#{num(5)}", f"{num(2)}.{num(2)}.{num(4)}", f"{ascii_word()}{num(2)}", f"@{ascii_word()}", f"{ascii_word()} @ {num(2)}", f"({num(4)})", f"[{num(2)}]", f"http://{ascii_word()}.com/{num(3)}", f"3{num(2)}.{num(3)}.{num(3)}.9{num(2)}", num(24), f"{num(3)} {num(3)}", f"ISBN {num(9)}", f"{num(4)}/{num(4)}", f"{num(2)}th", ascii_word().upper(), "".join(r.choice("AEINORST") for _ in range(r.randint(16, 24))),
             f"{r.choice(('key', 'token', 'password', 'secret'))}: {word()}", "".join(ascii_word().capitalize() for _ in range(5)),
@@ -350,6 +370,28 @@ def fit(n: int = 800, rounds: int = 120, seed: int = 5) -> np.ndarray:
     return w
 
 
+_JOINS = np.isin(np.arange(256), np.frombuffer(b".@-_+%", np.uint8))
+
+
+def long_addresses(a: Atoms, first: np.ndarray, n: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entities with every address of more than ``MOST`` atoms as a whole, in the place of whatever was found in it: touching words, dots and the like around a single ``@``, with a domain after it."""
+    if not len(a.begin):
+        return first, n, kind
+    part = a.word | _JOINS[a.first]
+    new = np.concatenate(([True], ~(part[1:] & part[:-1] & (a.gap[1 : len(part)] == 0))))
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(part)))
+    for s, m in zip(begin[size > MOST].tolist(), size[size > MOST].tolist()):
+        inner = np.arange(s, s + m)[a.word[s : s + m]]
+        s, e = int(inner[0]), int(inner[-1]) + 1
+        at = s + np.flatnonzero(a.first[s:e] == 64)
+        if e - s > MOST and len(at) == 1 and (a.first[at[0] : e] == 46).any() and a.alpha[e - 1] and a.size[e - 1] >= 2:
+            apart = (first + n <= s) | (first >= e)
+            first, n, kind = np.append(first[apart], s), np.append(n[apart], e - s), np.append(kind[apart], TYPES.index("email"))
+    order = np.argsort(first, kind="stable")
+    return first[order], n[order], kind[order]
+
+
 def scores(a: Atoms, i: np.ndarray, length: np.ndarray, weights: np.ndarray, block: int = 100_000) -> np.ndarray:
     """Scores of segments by type, a block at a time: the features of all at once would be many times the text."""
     w = weights.astype(np.float32)
@@ -389,7 +431,7 @@ def find(column: pa.Array, weights: np.ndarray, group_bytes: int = 128 << 10) ->
         part = data[np.arange(own[-1]) + np.repeat(borders[some] - own[:-1], count)]
         a = Atoms(part, own)
         i, length = segments(a)
-        first, n, kind = decode(a, i, length, scores(a, i, length, weights))
+        first, n, kind = long_addresses(a, *decode(a, i, length, scores(a, i, length, weights)))
         back = borders[some][a.owner[first]] - own[a.owner[first]]
         out.append(np.stack((a.begin[first] + back, a.end[first + n - 1] + back, kind)))
     begin, end, kind = np.concatenate(out, axis=1)
@@ -404,6 +446,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int6
 def find_pii(documents: DataFrame) -> DataFrame:
     """(doc_id, start, end, type) of each entity; start and end count characters from 0, end excluded; type is one of ``TYPES``.
 
+    Entities lie within a line and have up to ``MOST`` atoms (words and signs), but for addresses, which may be of any length. Entities of one text don't overlap.
     Null and empty texts have none. Texts of any length are read whole. Repeated rows give repeated entities; null ids are carried.
     Empty tables give no rows. Other columns are ignored. One pass, no shuffle.
     """

@@ -103,9 +103,13 @@ SQL = {
     "op4_url_filter": rf"""
         WITH a AS (SELECT page_id, regexp_replace(regexp_replace(url, '^\s+|\s+$', '', 'g'), '#.*$', '') AS u FROM pages),
         b AS (SELECT page_id, u, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*') AS head FROM a),
-        c AS (SELECT page_id, regexp_replace(regexp_replace(lower(head), '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1') AS host,
-            regexp_replace(regexp_replace(regexp_replace(regexp_replace(substr(u, length(head) + 1), '([?&])utm_[^&]*', '\1', 'g'), '&&+', '&', 'g'), '\?&+', '?', 'g'), '[?&]+$', '') AS tail FROM b),
-        d AS (SELECT page_id, host || CASE WHEN host <> '' AND NOT starts_with(tail, '/') THEN '/' || tail ELSE tail END AS canonical FROM c),
+        c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(head), '://.*@', '://'), '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1'), '\.(:[0-9]*)?$', '\1') AS host,
+            regexp_replace(regexp_replace(regexp_replace(regexp_replace(substr(u, length(head) + 1), '([?&])utm_[^&]*', '\1', 'g'), '&&+', '&', 'g'), '\?&+', '?', 'g'), '[?&]+$', '') AS rest FROM b),
+        t AS (SELECT page_id, host, CASE WHEN host <> '' AND NOT starts_with(rest, '/') THEN '/' || rest ELSE rest END AS tail FROM c),
+        p AS (SELECT *, regexp_extract(tail, '^[^?]*') AS path, string_split(path, '/') AS steps FROM t),
+        d AS (SELECT page_id, host || CASE WHEN host <> '' AND regexp_matches(path, '/\.\.?(/|$)') THEN
+            array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(steps, lambda x: [x])), lambda acc, x: CASE WHEN x[1] = '.' THEN acc WHEN x[1] = '..' THEN CASE WHEN len(acc) > 1 THEN acc[:len(acc) - 1] ELSE acc END ELSE list_concat(acc, x) END), '/')
+            || CASE WHEN steps[-1] IN ('.', '..') THEN '/' ELSE '' END || substr(tail, length(path) + 1) ELSE tail END AS canonical FROM p),
         e AS (SELECT page_id, canonical, concat_ws(' ', {", ".join(f"CASE WHEN canonical GLOB '{r}' THEN '{r}' END" for r in RULES)}) AS rules FROM d)
         SELECT page_id, canonical, coalesce(rules <> '', false) AS blocked, rules FROM e""",
 }

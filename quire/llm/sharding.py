@@ -6,7 +6,7 @@ digest), go to the shard with the least load through a heap (ties to the lowest
 Groups of one size are interchangeable but for their order, so the driver gets the histogram of group sizes and nothing
 else: its rows are the different sizes, not the groups. While a run of equal groups fills shards whose loads lie within one group of each other, the heap
 pops them in a fixed cycle; such runs are laid out in one step, and a shard joins the cycle when the others have caught up with it. The result is that of the plain heap, group for group.
-The groups look up their shard by size and rank among their size.
+The groups look up their shard by size and rank among their size. Ranks come from a sort of the groups over many tasks, so a size that very many groups have is no single task's work.
 """
 
 from __future__ import annotations
@@ -71,17 +71,19 @@ def shard(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     spark = documents.sparkSession
     text = F.col("text").cast("string")
     keyed = cut(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.md5(text), F.lit("")).alias("group"), F.coalesce(F.length(text), F.lit(0)).cast("bigint").alias("size")))
-    groups = cut(keyed.groupBy("group").agg(F.sum("size").alias("size")))
-    histogram = groups.groupBy("size").count().toArrow()
+    sized = keyed.groupBy("group").agg(F.sum("size").alias("size"))
+    # numbered in order, partition by partition: the number's high bits are the partition's, so ranks come from where a size begins in each
+    groups = cut(sized.repartitionByRange("size", "group").sortWithinPartitions("size", "group").withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)))
+    runs = cut(groups.groupBy("size", "part").agg(F.count("*").alias("n"), F.min("at").alias("first")))
+    histogram = runs.groupBy("size").agg(F.sum("n").alias("n")).toArrow()
     plan = schedule(list(zip(histogram.column(0).to_pylist(), histogram.column(1).to_pylist())), shards)
     kind = pa.schema([("size", pa.int64()), ("starts", pa.list_(pa.int64())), ("cycles", pa.list_(pa.list_(pa.int32())))])
     lookup = spark.createDataFrame(pa.table([pa.array([p[i] for p in plan], t) for i, t in enumerate(kind.types)], schema=kind))
-    rank = F.row_number().over(Window.partitionBy("size").orderBy("group")) - 1
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = groups.join(runs.withColumn("before", before).join(lookup, "size"), ["size", "part"]).withColumn("rank", F.col("at") - F.col("first") + F.col("before"))
     place = F.size(F.filter("starts", lambda s: s <= F.col("rank")))
     placed = (
-        groups.withColumn("rank", rank)
-        .join(lookup, "size")
-        .withColumn("place", place)
+        ranked.withColumn("place", place)
         .withColumn("cycle", F.element_at("cycles", F.col("place")))
         .select("group", F.element_at("cycle", ((F.col("rank") - F.element_at("starts", F.col("place"))) % F.size("cycle") + 1).cast("int")).cast("bigint").alias("shard"))
     )

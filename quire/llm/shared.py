@@ -1,34 +1,26 @@
-"""What the operators share on the driver's side: reading tables, cutting lineage, naming columns."""
+"""What the operators share on the driver's side: reading tables, cutting lineage (``state.cut``), naming columns."""
 
 from __future__ import annotations
 
 import pickle
-import tempfile
 
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..state import cut, remove, shared_folder
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["cut", "fresh", "read", "remove", "row_key", "shared_folder", "ship", "unship"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, so that a lost executor costs nothing that was done before.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary one is made.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quire-checkpoint-"))
-    return df.checkpoint()
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text"):
-    """32 hex digits that stand for (doc_id, text), nulls told apart from empty; rows that agree in both are interchangeable."""
+    """16 bytes that stand for (doc_id, text), nulls told apart from empty; rows that agree in both are interchangeable."""
     mark = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.when(F.col(text).isNull(), F.lit("\u0001")).otherwise(F.lit("\u0002")), F.coalesce(F.col(text), F.lit("")))
-    return F.md5(mark)
+    return F.unhex(F.md5(mark))
 
 
 def fresh(df: DataFrame, name: str) -> str:

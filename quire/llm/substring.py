@@ -1,7 +1,7 @@
 """Repeated passages by content-defined chunking.
 
 A gear hash rolls over the bytes of each text: ``h = (h << 1) + gear[byte]`` in 32 bits, so it depends on the last
-32 bytes only. A chunk ends where the low bits of the hash are zero, at the border of a character, unless another such place lies
+32 bytes only. A chunk ends where the top bits of the hash are zero, at the border of a character, unless another such place lies
 less than ``least`` bytes before it; a gap of more than ``most`` bytes is split at multiples of ``most``. Every one of these
 rules looks at the bytes before a place and at nothing else, so an insertion moves chunks without changing
 those that start more than a chunk away from it.
@@ -9,8 +9,10 @@ those that start more than a chunk away from it.
 Chunks with equal 128-bit digests are copies. The first one, by (doc_id, row, place), stays; the others, joined where they
 touch, are the repeats. A run of repeats counts from ``min_chars`` characters on.
 
-The chunk table is shuffled once by digest, 40 bytes a chunk and no text; the first copy is found in the sorted
-partition with a running window, which holds no group in memory, be it as large as it may.
+Texts are read in slices of about 2 MB. A chunk that isn't the first of its digest in its slice is a repeat wherever the others are, so only
+the slices' first ones meet by digest: one row of 40 bytes for each slice, not for each text, however often a chunk occurs. A running window over the sorted
+partition finds the first of these; no group is held in memory. The others go through the same exchange under keys of their own, evenly spread, and get
+their digest's first occurrence from their slice's first one, when the repeats of a slice come together to be joined.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,8 +72,20 @@ def chunk_ends(data: np.ndarray, offs: np.ndarray, bits: int, least: int, most:
     return ends
 
 
+def leaders(digests: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each chunk the number of the first one with its digest; ``rank`` orders the chunks."""
+    order = np.lexsort((rank, digests[:, 1], digests[:, 0]))
+    d = digests[order]
+    new = np.concatenate(([True], (d[1:] != d[:-1]).any(axis=1)))
+    out = np.empty(len(order), np.int64)
+    out[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return out
+
+
 def _chunks(bits: int, least: int, most: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
+    """(doc_id, slice, at, mark, d1, d2) of each chunk: ``slice`` is the number of its slice's first row; ``at`` has the text's number in the slice and the chunk's start,
+    ``mark`` the leader's number and the chunk's length, in 32 bits each. Where the chunk isn't its own leader, -1 - number stands there, and (d1, d2) are the leader's doc_id, 0 for null, and whether it is null."""
+    schema = pa.schema([("doc_id", pa.int64()), ("slice", pa.int64()), ("at", pa.int64()), ("mark", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,9 +99,18 @@ def _chunks(bits: int, least: int, most: int):
                 digest = xxhash.xxh3_128_digest
                 digests = np.frombuffer(b"".join([digest(raw[s:e]) for s, e in zip(begins.tolist(), ends.tolist())]), np.int64).reshape(-1, 2)
                 owner = np.searchsorted(offs, begins, "right") - 1
+                doc = part.column("doc_id")
+                none = np.asarray(doc.is_null())
+                ids = pc.fill_null(doc, 0).to_numpy(zero_copy_only=False)
+                place = np.empty(part.num_rows, np.int64)
+                place[np.lexsort((np.arange(part.num_rows), ids, none))] = np.arange(part.num_rows)
+                lead = leaders(digests, place[owner] * (len(begins) + 1) + np.arange(len(begins)))
+                own = lead == np.arange(len(lead))
                 chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-                rows = pa.array(owner)
-                yield table(schema, part.column("doc_id").take(rows), part.column("row").take(rows), (chars[begins] - chars[offs[owner]]).astype(np.int32), (chars[ends] - chars[begins]).astype(np.int32), digests[:, 0], digests[:, 1])
+                at = (owner << 32) | (chars[begins] - chars[offs[owner]])
+                mark = (np.where(own, lead, -1 - lead) << 32) | (chars[ends] - chars[begins])
+                keys = [np.where(own, digests[:, 0], ids[owner[lead]]), np.where(own, digests[:, 1], none[owner[lead]])]
+                yield table(schema, doc.take(pa.array(owner)), np.full(len(at), part.column("row")[0].as_py()), at, mark, *keys)
 
     return run
 
@@ -102,15 +126,22 @@ def repeats(documents: DataFrame, min_chars: int = MIN_CHARS, bits: int = BITS,
     Null and empty texts have no chunk. Texts of any length are read whole. Empty tables give no rows. Other columns are ignored.
     """
     numbered = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
-    chunks = numbered.mapInArrow(_chunks(bits, least, most), "doc_id bigint, row bigint, start int, length int, d1 bigint, d2 bigint")
-    order = Window.partitionBy("d1", "d2").orderBy(F.col("doc_id").asc_nulls_last(), "row", "start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    place = F.struct("doc_id", "row", "start")
-    later = chunks.withColumn("first", F.first(place).over(order)).where(~F.col("first").eqNullSafe(place)).select("doc_id", "row", "start", "length", F.col("first.doc_id").alias("first_doc_id"))
-    in_text = Window.partitionBy("row").orderBy("start")
+    chunks = numbered.mapInArrow(_chunks(bits, least, most), "doc_id bigint, slice bigint, at bigint, mark bigint, d1 bigint, d2 bigint")
+    led = F.col("mark") < 0
+    order = Window.partitionBy("d1", "d2", led).orderBy(F.col("doc_id").asc_nulls_last(), "slice", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = F.struct("doc_id", "slice", "at")
+    first = F.when(led, F.when(F.col("d2") == 0, F.col("d1"))).otherwise(F.col("first.doc_id"))
+    later = chunks.withColumn("first", F.first(place).over(order)).where(led | ~F.col("first").eqNullSafe(place)).select("doc_id", "slice", "at", "mark", first.alias("first_doc_id"))
+    high, low = lambda c: F.shiftright(c, 32), lambda c: F.col(c).bitwiseAND((1 << 32) - 1)
+    marked = later.repartition("slice").select("doc_id", "slice", high("at").alias("text"), low("at").alias("start"), low("mark").alias("length"), (high("mark") < 0).alias("led"), F.when(high("mark") < 0, -1 - high("mark")).otherwise(high("mark")).alias("lead"), "first_doc_id")
+    # a leader that is a repeat itself says where the digest's first chunk is
+    its = F.max(F.when(~F.col("led"), F.struct(F.lit(1).alias("n"), F.col("first_doc_id").alias("doc")))).over(Window.partitionBy("slice", "lead"))
+    known = marked.withColumn("its", its).withColumn("first_doc_id", F.when(F.col("its").isNull(), F.col("first_doc_id")).otherwise(F.col("its.doc")))
+    in_text = Window.partitionBy("slice", "text").orderBy("start")
     run = F.sum(F.when(F.col("start") == F.lag(F.col("start") + F.col("length")).over(in_text), 0).otherwise(1)).over(in_text)
     return (
-        later.withColumn("run", run)
-        .groupBy("row", "run")
+        known.withColumn("run", run)
+        .groupBy("slice", "text", "run")
         .agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.min_by("first_doc_id", "start").alias("first_doc_id"))
         .where(F.col("end") - F.col("start") >= min_chars)
         .select("doc_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "first_doc_id")

@@ -187,7 +187,10 @@ def classify(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``documents`` without those that ``classify`` calls toxic; columns and repeated rows stay. One pass, no shuffle."""
+    """``documents`` without those that ``classify`` calls toxic; columns and repeated rows stay. One pass, no shuffle.
+
+    A null or empty text goes or stays by the score of the bias alone, as in ``classify``; without toxic labels nothing goes. Empty documents give no rows; other columns are passed on.
+    """
     weights = train(documents, labels, **options)
     shared = documents.sparkSession.sparkContext.broadcast(weights.tobytes())
 

@@ -25,15 +25,23 @@ RULES = (
 
 
 def canonical(url: Column) -> Column:
-    """No blanks around, no fragment, scheme and host in lower case, no default port, no ``utm_`` parameters, ``/`` for an empty path."""
+    """No blanks around, no fragment, scheme and host in lower case, no user, no dot at the host's end, no default port, no ``.`` and ``..`` in the path, no ``utm_`` parameters, ``/`` for an empty path."""
     u = F.regexp_replace(F.regexp_replace(url, r"^\s+|\s+$", ""), r"#.*$", "")
     head = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*", 0)
     tail = F.substring(u, F.length(head) + 1, F.length(u))
-    host = F.lower(head)
+    host = F.regexp_replace(F.lower(head), r"://.*@", "://")
     host = F.regexp_replace(F.regexp_replace(host, r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")
+    host = F.regexp_replace(host, r"\.(:[0-9]*)?$", "$1")
     tail = F.regexp_replace(tail, r"([?&])utm_[^&]*", "$1")
     tail = F.regexp_replace(F.regexp_replace(F.regexp_replace(tail, r"&&+", "&"), r"\?&+", "?"), r"[?&]+$", "")
-    return F.concat(host, F.when((host != "") & ~tail.startswith("/"), F.concat(F.lit("/"), tail)).otherwise(tail))
+    tail = F.when((host != "") & ~tail.startswith("/"), F.concat(F.lit("/"), tail)).otherwise(tail)
+    path = F.regexp_extract(tail, r"^[^?]*", 0)
+    steps = F.split(path, "/")
+    last = F.element_at(steps, -1)
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, x: F.when(x == ".", acc).when(x == "..", F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc)).otherwise(F.concat(acc, F.array(x))))
+    clean = F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+    dotted = (host != "") & path.rlike(r"/\.\.?(/|$)")
+    return F.concat(host, F.when(dotted, F.concat(clean, F.substring(tail, F.length(path) + 1, F.length(tail)))).otherwise(tail))
 
 
 class Automaton:

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.globs import any_glob, matches
+from ..functions.text import METADATA_PREFIX
 
 SYSTEM_FILES = (".DS_Store", ".AppleDouble", ".Spotlight-V100", ".Trashes", "._.", ".fseventsd", "lost+found", "Thumbs.db", "$RECYCLE.BIN", "._.lost+found")
 
-#: Metadata fields that only describe how a picture or a page was made, by glob on the field name.
-BLOCKED_FIELDS = ("*unknown_tag*", "*chroma_*", "*data_bitspersample*", "*huffman_*", "*color_space_*", "*_icc_*", "*exif_thumbnail_*")
+#: Metadata fields that are left out, by glob on the field name: raw headers, vendors' own fields, unknown tags.
+BLOCKED_FIELDS = tuple(METADATA_PREFIX + rest for rest in ("message_raw_header__", "message_raw_header_?_*", "message_raw_header_[123456789]*", "xmpmm_*", "mboxparser_*", "unknown_tag_*", "custom_*"))
 
 
 def include(path: Column, globs: Iterable[str]) -> Column:
@@ -82,10 +83,11 @@ def ocr_eligible(content_type: Column, resource_type: Column, declared: Column,
     return F.coalesce(content_type.startswith("image/"), F.lit(False)) & (F.coalesce(resource_type, F.lit("")) != "INLINE") & F.coalesce(length >= least_bytes, F.lit(True))
 
 
-NOISE = ("Using fallback font", "No Unicode mapping", "Invalid ToUnicode CMap", "Could not read embedded font")
+NOISE = ("found wrong object number", "No Unicode mapping", "No current font", "Using fallback font")
 
 
 def log_noise(logger: Column, level: Column, message: Column) -> Column:
-    """Log lines below ERROR in which font libraries complain about single glyphs."""
+    """Log lines below ERROR in which the PDF and font libraries complain about single glyphs and objects. A line without a logger or a message is none."""
+    theirs = logger.startswith("org.apache.pdfbox") | logger.startswith("org.apache.fontbox")
     about = F.exists(F.array(*map(F.lit, NOISE)), lambda n: F.contains(message, n))
-    return logger.rlike(r"(?i)(pdfbox|fontbox)") & ~level.isin("ERROR", "FATAL") & about
+    return F.coalesce(theirs & ~level.isin("ERROR", "FATAL") & about, F.lit(False))

@@ -14,8 +14,8 @@ from .filters import BLOCKED_FIELDS
 
 #: Keys, in lower case, whose repeated values mean nothing.
 DISTINCT_KEYS = ("content-type", "dc:title", "title", "originator", "generator", "progid")
-#: Keys that hold dates.
-DATE_KEYS = ("dc:date", "dcterms:created", "dcterms:modified", "meta:creation-date", "meta:save-date", "meta:print-date", "pdf:docinfo:created", "pdf:docinfo:modified", "exif:DateTimeOriginal", "cp:modified", "date", "Creation-Date")
+#: Keys that hold dates, as they are written.
+DATE_KEYS = ("dc:date", "dcterms:created", "dcterms:modified", "exif:DateTimeOriginal", "meta:creation-date", "meta:print-date", "meta:save-date", "pdf:docinfo:created", "pdf:docinfo:modified")
 
 
 def exploded(docs: DataFrame, ident: str = "id", metadata: str = "metadata") -> DataFrame:
@@ -46,7 +46,7 @@ def with_dates(fields: DataFrame, ident: str = "id", keys: Iterable[str] = DATE_
 
     (id, field, value, values): ``value`` for a single value or a joined array, ``values`` for an array.
     """
-    is_date = F.lower("name").isin(*[k.lower() for k in keys])
+    is_date = F.col("name").isin(*keys)
     one = F.size("values") == 1
     first = F.element_at("values", 1)
     dates = multi_date(F.col("values"))

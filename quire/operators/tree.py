@@ -2,51 +2,53 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import data_uri, replace_tokens
+from ..state import cut, shared_folder
 from .filters import too_deep, too_large
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the session's ``spark.checkpoint.dir``; only where that is unset a temporary folder is made."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quire-checkpoint-"))
-    return df.checkpoint()
-
-
 def _descend(nodes: DataFrame, key: str, parent: str, root: dict[str, Column], below: dict[str, Column], most: int) -> DataFrame:
     """Rows with the columns of ``root`` for all nodes under a root, placed by one join per level until no node is left.
 
     ``below`` makes a child's columns from its own (``n.``) and its parent's (``t.``). Where each node has one row, whatever hangs from a root ends by itself, at any
     depth; only with repeated keys it can go round for ever, and then more than ``most`` levels are refused.
     """
-    nodes = _cut(nodes)
-    found = step = _cut(nodes.where(F.col(parent).isNull()).select(*[c.alias(k) for k, c in root.items()]))
+    spark, folder = nodes.sparkSession, f"{shared_folder(nodes.sparkSession)}/tree-{uuid.uuid4().hex}"
+    nodes = cut(nodes)
+
+    def kept(step: DataFrame, level: int) -> tuple[DataFrame, int]:
+        """A level, written once, and its number of rows. Its size is known from then on, so that Spark sends a small one to all tasks and sorts for a large one."""
+        seen = Observation()
+        step.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/{level}")
+        return spark.read.schema(step.schema).parquet(f"{folder}/{level}"), seen.get["n"]
+
     level = 0
-    while not step.isEmpty():
+    step, n = kept(nodes.where(F.col(parent).isNull()).select(*[c.alias(k) for k, c in root.items()]), 0)
+    while n:
         level += 1
         if level == most + 1 and nodes.groupBy(key).count().where(F.col("count") > 1).where(F.col(key).isNotNull()).limit(1).count():
             raise ValueError(f"more than {most} levels among nodes with repeated keys")
-        step = _cut(step.alias("t").join(nodes.alias("n"), F.col(f"n.{parent}") == F.col(f"t.{key}")).select(*[c.alias(k) for k, c in below.items()]))
-        found = found.unionAll(step)
-        if level % 50 == 0:  # a plan of a thousand parts would take the driver longer than the join
-            found = _cut(found)
-    return found
+        step, n = kept(step.alias("t").join(nodes.alias("n"), F.col(f"n.{parent}") == F.col(f"t.{key}")).select(*[c.alias(k) for k, c in below.items()]), level)
+    return spark.read.schema(step.schema).parquet(f"{folder}/*")
 
 
-def levels(nodes: DataFrame, ident: str = "id", parent: str = "parent_id", most: int = 100) -> DataFrame:
-    """(id, root_id, level, trail): level 0 for roots; trail is the array of ids from the root.
+def levels(nodes: DataFrame, ident: str = "id", parent: str = "parent_id", most: int = 100, ordinal: str | None = None) -> DataFrame:
+    """(id, root_id, level, trail): level 0 for roots; trail is the array of ids from the root. With ``ordinal``, the column of a node's place among its siblings, also
+    ``position``: the array of (place, id) from the root, by which ``depth_first`` sorts.
 
     One join per level with the nodes not yet placed, to any depth (``most``: see ``_descend``). Nodes on a cycle have no root and don't come out.
     """
-    own = nodes.select(F.col(ident).cast("string").alias("id"), F.col(parent).cast("string").alias("parent_id"))
+    own = nodes.select(F.col(ident).cast("string").alias("id"), F.col(parent).cast("string").alias("parent_id"), *([F.col(ordinal).cast("bigint").alias("place")] if ordinal else []))
     root = {"id": F.col("id"), "root_id": F.col("id"), "level": F.lit(0), "trail": F.array("id")}
     below = {"id": F.col("n.id"), "root_id": F.col("t.root_id"), "level": F.col("t.level") + 1, "trail": F.concat("t.trail", F.array("n.id"))}
+    if ordinal:
+        root["position"] = F.array(F.struct("place", "id"))
+        below["position"] = F.concat("t.position", F.array(F.struct("n.place", "n.id")))
     return _descend(own, "id", "parent_id", root, below, most)
 
 
@@ -70,9 +72,46 @@ def folder_paths(folders: DataFrame, ident: str = "id", parent: str = "parent_id
     return placed.select("id", F.when(F.col("path") == "", "/").otherwise(F.col("path")).alias("path"))
 
 
-def depth_first(placed: DataFrame, order: Column | str = "trail") -> DataFrame:
-    """Rows in pre-order: a root, then each child with all below it. Sorting by the trail is a range partitioning, no tree is built."""
-    return placed.orderBy(order)
+def depth_first(placed: DataFrame, order: Column | str | None = None) -> DataFrame:
+    """Rows in pre-order: a root, then each child with all below it; siblings by their ordinals where ``levels`` was given these, else by id. Sorting is a range partitioning, no tree is built."""
+    return placed.orderBy(order if order is not None else "position" if "position" in placed.columns else "trail")
+
+
+def numbered_depth_first(placed: DataFrame) -> DataFrame:
+    """``placed`` with ``n``, each row's number in pre-order over all trees from 0, counted from the sizes of the sorted partitions, so that no task sees all rows."""
+    key = "position" if "position" in placed.columns else "trail"
+    ranged = cut(placed.repartitionByRange(key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row for each partition
+    return ranged.join(F.broadcast(sizes.withColumn("_before", before)), "_part").withColumn("n", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_part", "_n", "_first", "_before")
+
+
+def parents(nodes: DataFrame, fields: list[str], key: str = "id", parent: str = "parent_id", prefix: str = "parent_") -> DataFrame:
+    """``nodes`` that have a parent, with some of its fields, prefixed. Roots don't come out, nor do nodes whose parent is missing."""
+    above = nodes.select(F.col(key).alias("_key"), *[F.col(f).alias(prefix + f) for f in fields])
+    return nodes.join(above, F.col(parent) == F.col("_key")).drop("_key")
+
+
+def without_embeds(tree: DataFrame, level: str = "level") -> DataFrame:
+    """Roots only: what is left of trees when embedded documents are ignored."""
+    return tree.where(F.col(level) == 0)
+
+
+def visit(tree: DataFrame, root: str, ident: str = "id", root_id: str = "root_id") -> DataFrame:
+    """A root and all below it, for whatever is to be done with each."""
+    return tree.where((F.col(root_id) == root) | (F.col(ident) == root))
+
+
+def gate(docs: DataFrame, ident: str = "id", root: str = "root_id", path: str = "path", level: str = "level") -> DataFrame:
+    """Whole trees of which each root's id stands once: of files with equal content the one with the least path keeps its tree, the others go with everything embedded in them.
+
+    Only ids and paths are compared; (root, path) pairs of the others are taken out by an anti-join, and nothing is shuffled for it where they are few.
+    """
+    roots = docs.where(F.col(level) == 0).select(F.col(ident).alias("_root"), F.col(path).alias("_path"))
+    first = roots.groupBy("_root").agg(F.min("_path").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    others = roots.join(first, "_root").where("_path > _first").select("_root", "_path").distinct()
+    return docs.join(others, (F.col(root) == F.col("_root")) & (F.col(path) == F.col("_path")), "left_anti")
 
 
 def guard(children: DataFrame, max_depth: int = 20, max_bytes: int = 0, level: str = "level", declared: str = "declared_length") -> DataFrame:
@@ -132,10 +171,18 @@ def attachment_losses(attachments: DataFrame, key: str) -> DataFrame:
     )
 
 
+class ContentNotFound(Exception):
+    pass
+
+
 def resolve(artifacts: DataFrame, ident: str, parse_root) -> DataFrame:
-    """The embedded document with an id: from the artifact table, or, if it isn't there, from ``parse_root()``, which parses its root again. No row if neither has it."""
-    cached = artifacts.where(F.col("id") == ident)
-    return parse_root().where(F.col("id") == ident).limit(1) if cached.isEmpty() else cached.limit(1)
+    """The embedded document with an id: from the artifact table, or, if it isn't there, from ``parse_root()``, which parses its root again (``sources.parsers.find_embedded`` stops at the document). ``ContentNotFound`` if neither has it."""
+    found = artifacts.where(F.col("id") == ident).limit(1)
+    if found.isEmpty():
+        found = parse_root().where(F.col("id") == ident).limit(1)
+        if found.isEmpty():
+            raise ContentNotFound(ident)
+    return found
 
 
 def inline_embeds(docs: DataFrame, artifacts: DataFrame, opening: str = "embedded:", closing: str = ":", ident: str = "id", content: str = "content") -> DataFrame:

@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from typing import TextIO
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _elements(spark: SparkSession, path: str, element: str, brackets: str, whole):
+    """Elements of a JSON file. One that has an element a line, as ``write_json`` leaves it, is read line by line by many tasks; any other as a whole."""
+    lines = spark.read.text(path).select(F.trim("value").alias("value")).where(F.length("value") > 0)
+    if lines.where(~F.col("value").isin(*brackets) & ~F.col("value").rlike(f"^{element},?$")).isEmpty():
+        return lines.where(~F.col("value").isin(*brackets)).select(F.regexp_replace("value", ",$", "").alias("value"))
+    return whole(spark.read.text(path, wholetext=True))
+
+
+_STRING = r'"(?:[^"\\]|\\.)*"'
+
+
 def queue_from_json(spark: SparkSession, path: str) -> DataFrame:
     """(path) from a JSON array of strings."""
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("path"))
+    each = _elements(spark, path, _STRING, "[]", lambda t: t.select(F.explode(F.from_json("value", "array<string>")).alias("path")))
+    return each if "path" in each.columns else each.select(F.element_at(F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>"), 1).alias("path"))
 
 
 def queue_from_csv(spark: SparkSession, path: str, field: str = "path") -> DataFrame:
@@ -18,18 +32,36 @@ def queue_from_csv(spark: SparkSession, path: str, field: str = "path") -> DataF
 
 def report_from_json(spark: SparkSession, path: str) -> DataFrame:
     """(path, code) from a JSON object of codes by path."""
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,int>")).alias("path", "code"))
+    each = _elements(spark, path, _STRING + r"\s*:\s*-?\d+", "{}", lambda t: t.select(F.explode(F.from_json("value", "map<string,int>")).alias("path", "code")))
+    return each if "path" in each.columns else each.select(F.explode(F.from_json(F.concat(F.lit("{"), "value", F.lit("}")), "map<string,int>")).alias("path", "code"))
+
+
+def _string(column: Column) -> Column:
+    """A string as JSON."""
+    return F.regexp_extract(F.to_json(F.struct(column.alias("v"))), r"^\{\"v\":([\s\S]*)\}$", 1)
 
 
-def queue_json(queue: DataFrame, path: str = "path") -> DataFrame:
-    """One row with a JSON array of the paths, sorted: a dump to be read as a whole, so it is gathered in one place."""
-    return queue.agg(F.to_json(F.sort_array(F.collect_list(path))).alias("json"))
+def queue_lines(queue: DataFrame, path: str = "path") -> DataFrame:
+    """(path, json): each path as an element of a JSON array."""
+    return queue.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), _string(F.col(path)).alias("json"))
 
 
-def report_json(reports: DataFrame, code: int | None = None, path: str = "path") -> DataFrame:
-    """One row with a JSON object of codes by path, sorted, optionally of one status only."""
+def report_lines(reports: DataFrame, code: int | None = None, path: str = "path") -> DataFrame:
+    """(path, json): each path and its code as a member of a JSON object, optionally of one status only."""
     kept = reports if code is None else reports.where(F.col("code") == code)
-    return kept.agg(F.coalesce(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(path, "code"))))), F.lit("{}")).alias("json"))
+    return kept.where(F.col(path).isNotNull() & F.col("code").isNotNull()).select(F.col(path).alias("path"), F.concat(_string(F.col(path)), F.lit(": "), F.col("code").cast("string")).alias("json"))
+
+
+def write_json(lines: DataFrame, out: TextIO, brackets: str) -> int:
+    """Writes a JSON array or object with an element a line, sorted by path, and returns the number of elements. Tasks sort and format; the driver passes partition after partition on and holds none beyond it."""
+    n = 0
+    out.write(brackets[0])
+    for row in lines.orderBy("path").select("json").toLocalIterator():
+        out.write(",\n" if n else "\n")
+        out.write(row[0])
+        n += 1
+    out.write(f"\n{brackets[1]}\n" if n else f"{brackets[1]}\n")
+    return n
 
 
 def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:

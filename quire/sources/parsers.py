@@ -13,19 +13,21 @@ import email.policy
 import gzip
 import hashlib
 import io
+import posixpath
 import re
 import signal
+import sys
 import tarfile
 import threading
 import zipfile
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 from html import escape
 from html.parser import HTMLParser
+from typing import BinaryIO
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,14 +39,22 @@ MAGIC = (
     (0, b"{\\rtf", "application/rtf"), (0, b"\x89PNG", "image/png"), (0, b"\xff\xd8\xff", "image/jpeg"), (0, b"GIF8", "image/gif"), (0, b"II*\x00", "image/tiff"), (0, b"MM\x00*", "image/tiff"),
     (0, b"!BDN", "application/vnd.ms-outlook-pst"), (0, b"\xd0\xcf\x11\xe0", "application/x-ole-storage"), (0, b"7z\xbc\xaf\x27\x1c", "application/x-7z-compressed"), (0, b"Rar!", "application/x-rar-compressed"),
 )
-EXTENSIONS = {"html": "text/html", "htm": "text/html", "csv": "text/csv", "txt": "text/plain", "eml": "message/rfc822", "mbox": "application/mbox", "tsv": "text/tab-separated-values", "xml": "application/xml", "json": "application/json", "md": "text/plain"}
-_MAIL = re.compile(rb"\A(?:(?:From|To|Cc|Subject|Date|Message-ID|Received|Return-Path|MIME-Version|Delivered-To|X-[\w-]+|DKIM-Signature|Reply-To|Content-Type): ?)", re.I)
-_MBOX = re.compile(rb"\AFrom \S+.*\d{4}.*\r?\n[\w-]+:")
+EXTENSIONS = {
+    "html": "text/html", "htm": "text/html", "xhtml": "text/html", "csv": "text/csv", "txt": "text/plain", "tsv": "text/tab-separated-values", "xml": "application/xml", "json": "application/json", "md": "text/plain",
+    "eml": "message/rfc822", "mht": "message/rfc822", "mhtml": "message/rfc822", "mime": "message/rfc822", "mbox": "application/mbox",
+}
+#: What a mail begins with: as written, in any case, and a news item whose header has an id further down.
+_MAIL = re.compile(rb"\A(?:Date:|User-Agent:|X-Mailer:|Delivered-To:|Status:|X-Mozilla-(?:Status2?|Keys):|N?#! rnews|(?:Pipe|Forward) to|(?i:Received:|Message-ID:|MIME-Version:|From:|Return-Path:|Relay-Version:))")
+_HEADER = re.compile(rb"\A(?i:To|Cc|Subject|X-[\w-]+|DKIM-Signature|Reply-To|Content-Type): ?")
+#: What one of a mailbox's first lines begins with, 32 to 256 bytes from the start.
+_MBOX = re.compile(rb"\n(?:Subject: |Mime-Version: |Delivered-To: |Date: |From: |Received: (?:from|via|by) )")
+
+csv.field_size_limit(sys.maxsize)
 
 
 @dataclass
 class Item:
-    """An embedded document: name, bytes, declared type and length, relation to its container, inline or not."""
+    """An embedded document: name, bytes, declared type and length, relation to its container, inline or not. ``opened`` gives a stream in the place of bytes that are too many for a row."""
 
     name: str | None
     data: bytes
@@ -52,6 +62,7 @@ class Item:
     relation: str | None = None
     inline: bool = False
     declared: str | None = None
+    opened: Callable[[], BinaryIO] | None = None
 
 
 @dataclass
@@ -62,12 +73,22 @@ class Parsed:
     pages: list[str] = field(default_factory=list)
     html: str | None = None
     reason: str | None = None
+    #: Pictures (bytes, type) of the pages, where a parser can make them, for ``Options.ocr_strategy``.
+    images: list[tuple[bytes, str]] = field(default_factory=list)
 
 
 class Encrypted(Exception):
     pass
 
 
+class TooLarge(Exception):
+    pass
+
+
+class ContentNotFound(Exception):
+    pass
+
+
 def detect(data: bytes, name: str | None = None) -> str:
     """Media type by content first, by name where content says no more than text."""
     for at, magic, kind in MAGIC:
@@ -75,13 +96,16 @@ def detect(data: bytes, name: str | None = None) -> str:
             if kind == "application/zip":
                 return _zip_kind(data)
             return kind
-    if _MBOX.match(data):
+    header = _MBOX.search(data, 32, 300) if data.startswith(b"From ") else None
+    if header and header.start() <= 256:
         return "application/mbox"
-    if _MAIL.match(data) and re.search(rb"(?im)^(From|To|Subject|Date|Message-ID|MIME-Version):", data[:8192]):
+    if _MAIL.match(data) or data.startswith(b"X-Notes-Item:") and b"Message-ID:" in data[: 8192 + 11] or _HEADER.match(data) and re.search(rb"(?im)^(From|To|Subject|Date|Message-ID|MIME-Version):", data[:8192]):
         return "message/rfc822"
     head = data[:1024].lstrip().lower()
     if head.startswith((b"<!doctype html", b"<html")) or b"<html" in head:
         return "text/html"
+    if head.startswith(b"<?xml"):
+        return "application/xml"
     ext = (name or "").rpartition(".")[2].lower()
     if ext in EXTENSIONS:
         return EXTENSIONS[ext]
@@ -90,15 +114,19 @@ def detect(data: bytes, name: str | None = None) -> str:
     return "text/plain" if data else "application/octet-stream"
 
 
+_OFFICE, _OPEN = "application/vnd.openxmlformats-officedocument", "application/vnd.oasis.opendocument"
+
+
 def _zip_kind(data: bytes) -> str:
     try:
         names = set(zipfile.ZipFile(io.BytesIO(data)).namelist())
     except (zipfile.BadZipFile, OSError):
         return "application/zip"
-    if "word/document.xml" in names:
-        return "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+    for part, kind in (("word/document.xml", "wordprocessingml.document"), ("xl/workbook.xml", "spreadsheetml.sheet"), ("ppt/presentation.xml", "presentationml.presentation")):
+        if part in names:
+            return _OFFICE + "." + kind
     if "[Content_Types].xml" in names:
-        return "application/vnd.openxmlformats-officedocument"
+        return _OFFICE
     if "mimetype" in names:
         return zipfile.ZipFile(io.BytesIO(data)).read("mimetype").decode("ascii", "replace").strip() or "application/zip"
     return "application/zip"
@@ -116,7 +144,7 @@ def decode(data: bytes) -> tuple[str, str]:
 
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOOLEAN = frozenset("allowfullscreen async autofocus checked controls default defer disabled hidden ismap loop multiple muted nomodule novalidate open readonly required reversed selected".split())
+BOOLEAN = frozenset("allowfullscreen hidden ismap loop multiple muted nomodule novalidate open readonly required reversed selected checked controls compact declare default defer disabled async active autofocus autosubmit nohref noresize noshade nowrap".split())
 SAFE = frozenset(
     "a abbr address article aside b bdi bdo blockquote br caption cite code col colgroup dd del details dfn div dl dt em figcaption figure footer h1 h2 h3 h4 h5 h6 header hr i img ins kbd li main mark nav ol p pre q s samp section small span strong sub summary sup table tbody td tfoot th thead time tr u ul var wbr".split()
 )
@@ -140,7 +168,7 @@ class _Html(HTMLParser):
             self.in_title = True
         elif tag == "meta":
             name = a.get("name") or a.get("property")
-            if name and a.get("content") is not None:
+            if name and a.get("content") is not None and "http-equiv" not in a and "httpequiv" not in a:
                 self.meta.setdefault(name, []).append(a["content"])
         if self.silent:
             return
@@ -151,7 +179,7 @@ class _Html(HTMLParser):
             if "page" in (a.get("class") or "").split() and self.page is None:
                 self.page = (self.depth, len(self.text))
         if tag in SAFE:
-            self.out.append("<" + tag + "".join(f" {k}" if k in BOOLEAN or v is None else f' {k}="{escape(v)}"'.replace("&#x27;", "'") for k, v in attrs if not k.startswith("on")) + ">")
+            self.out.append("<" + tag + "".join(f" {k}" if k in BOOLEAN or v is None else f' {k}="{escape(v)}"'.replace("&#x27;", "'") for k, v in attrs if not k.startswith("on") and not (k in ("href", "src", "action") and re.match(r"[\s\x00-\x1f]*javascript:", v or "", re.I))) + ">")
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -198,9 +226,13 @@ def parse_html(data: bytes) -> Parsed:
     if title:
         meta.setdefault("title", []).insert(0, title)
     meta["Content-Encoding"] = [encoding]
-    body = "".join(h.out)
-    html = f'<!DOCTYPE html>\n<html>\n<head>\n<meta charset="UTF-8">\n<title>{escape(title, quote=False)}</title>\n</head>\n<body>{body}</body>\n</html>\n'
-    return Parsed(_tidy("".join(h.text)), meta, pages=[_tidy(p) for p in h.pages], html=html)
+    return Parsed(_tidy("".join(h.text)), meta, pages=[_tidy(p) for p in h.pages], html="".join(h.out))
+
+
+def serialize(metadata: dict[str, list[str]], title: str, body: str) -> str:
+    """A document in HTML5: its metadata as ``meta`` elements, its title, and what a parser gave for the body."""
+    meta = "".join(f'<meta name="{escape(k)}" content="{escape(v)}">' for k, values in metadata.items() for v in values).replace("&#x27;", "'")
+    return f'<!DOCTYPE html>\n<html><head><meta charset="UTF-8">{meta}<title>{escape(title, quote=False)}</title></head><body>{body}</body></html>\n'
 
 
 def parse_text(data: bytes) -> Parsed:
@@ -209,16 +241,33 @@ def parse_text(data: bytes) -> Parsed:
 
 
 def parse_csv(data: bytes) -> Parsed:
-    """Rows as lines, cells parted by tabs; the delimiter is guessed from the first lines."""
+    """Rows as lines, cells parted by tabs. The delimiter is the one that gives the most rows the same number of cells, more than one; a comma where none does."""
     text, encoding = decode(data)
-    try:
-        dialect = csv.Sniffer().sniff(text[:4096], ",;\t|")
-        sign = dialect.delimiter
-    except csv.Error:
-        sign = ","
-    rows = list(csv.reader(io.StringIO(text), delimiter=sign))
-    name = {",": "comma", ";": "semicolon", "\t": "tab", "|": "pipe"}[sign]
-    return Parsed("\n".join("\t".join(c.replace("\n", " ") for c in r) for r in rows), {"Content-Encoding": [encoding], "csv:delimiter": [name], "Content-Type": [f"text/csv; charset={encoding}; delimiter={name}"], "csv:rows": [str(len(rows))]})
+    best, rows, name = -1, [], "comma"
+    for sign, called in ((",", "comma"), (";", "semicolon"), ("\t", "tab"), ("|", "pipe")):
+        if best >= 0 and sign not in text:
+            continue
+        found = list(csv.reader(io.StringIO(text, newline=""), delimiter=sign))
+        widths = [len(r) for r in found if r]
+        usual = max(set(widths), key=widths.count) if len(set(widths)) < 1000 and widths else 1
+        score = sum(w == usual for w in widths) if usual > 1 else 0
+        if score > best:
+            best, rows, name = score, found, called
+    return Parsed("\n".join("\t".join(re.sub(r"\r\n?|\n", " ", c) for c in r) for r in rows), {"Content-Encoding": [encoding], "csv:delimiter": [name], "Content-Type": [f"text/csv; charset={encoding}; delimiter={name}"], "csv:rows": [str(len(rows))]})
+
+
+def _local(tag: str) -> str:
+    return tag.rpartition("}")[2] if isinstance(tag, str) else ""
+
+
+def parse_xml(data: bytes) -> Parsed:
+    """The text of all elements, one that begins or holds a block of its own on a new line; attributes and comments are left out."""
+    return Parsed(_tidy("\n".join(t.strip() for t in ElementTree.fromstring(data).itertext() if t.strip())), {})
+
+
+def parse_json(data: bytes) -> Parsed:
+    """The source as it stands, which is its text: keys and values both."""
+    return parse_text(data)
 
 
 def parse_mail(data: bytes) -> Parsed:
@@ -267,7 +316,10 @@ def parse_zip(data: bytes) -> Parsed:
             if info.flag_bits & 1:
                 raise Encrypted(info.filename)
             items.append(Item(info.filename, b"", None, str(i), declared=str(info.file_size)))
-            items[-1].data = z.read(info) if info.file_size <= MOST_BYTES else b""
+            if info.file_size > MOST_BYTES:
+                items[-1].opened = lambda info=info: zipfile.ZipFile(io.BytesIO(data)).open(info)
+            else:
+                items[-1].data = z.read(info)
     return Parsed("\n".join(i.name or "" for i in items), {"archive:entries": [str(len(items))]}, items)
 
 
@@ -292,27 +344,140 @@ def parse_rtf(data: bytes) -> Parsed:
     return Parsed(_tidy(text), {})
 
 
+def _xml(z: zipfile.ZipFile, name: str) -> ElementTree.Element | None:
+    return ElementTree.fromstring(z.read(name)) if name in z.namelist() else None
+
+
+def _properties(z: zipfile.ZipFile, name: str) -> dict[str, list[str]]:
+    """Title, creator, dates and the like of an office document."""
+    prefix = {"http://purl.org/dc/elements/1.1/": "dc:", "http://purl.org/dc/terms/": "dcterms:", "urn:oasis:names:tc:opendocument:xmlns:meta:1.0": "meta:", "http://schemas.openxmlformats.org/package/2006/metadata/core-properties": "cp:"}
+    out: dict[str, list[str]] = {}
+    tree = _xml(z, name)
+    for e in tree.iter() if tree is not None else ():
+        space = e.tag[1:].partition("}")[0] if e.tag.startswith("{") else ""
+        if space in prefix and (e.text or "").strip():
+            out.setdefault(prefix[space] + _local(e.tag), []).append(e.text.strip())
+    if "dc:title" in out:
+        out["title"] = out["dc:title"][:1]
+    return out
+
+
+def _resources(z: zipfile.ZipFile, *folders: str) -> list[Item]:
+    return [Item(n, z.read(n), None, n, inline="/media/" in f"/{n}" or n.startswith("Pictures/")) for n in z.namelist() if n.startswith(folders) and not n.endswith("/")]
+
+
+def _targets(z: zipfile.ZipFile, part: str) -> dict[str, str]:
+    """Parts by relation id."""
+    folder, name = posixpath.split(part)
+    tree = _xml(z, f"{folder}/_rels/{name}.rels")
+    return {e.get("Id"): posixpath.normpath(posixpath.join(folder, e.get("Target"))).lstrip("/") if not e.get("Target", "").startswith("/") else e.get("Target")[1:] for e in tree} if tree is not None else {}
+
+
+def _lines(tree: ElementTree.Element, paragraph: str = "p", text: str = "t") -> list[str]:
+    """Texts of the paragraphs."""
+    return ["".join((t.text or "") if _local(t.tag) == text else "\t" for t in p.iter() if _local(t.tag) in (text, "tab")) for p in tree.iter() if _local(p.tag) == paragraph]
+
+
 def parse_docx(data: bytes) -> Parsed:
-    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        tree = ElementTree.fromstring(z.read("word/document.xml"))
-        items = [Item(n, z.read(n), None, n, inline=n.startswith("word/media/")) for n in z.namelist() if n.startswith(("word/embeddings/", "word/media/"))]
-    return Parsed("\n".join("".join(t.text or "" for t in p.iter(f"{w}t")) for p in tree.iter(f"{w}p")).strip(), {}, items)
+        return Parsed("\n".join(_lines(_xml(z, "word/document.xml"))).strip(), _properties(z, "docProps/core.xml"), _resources(z, "word/embeddings/", "word/media/"))
 
 
-def parse_odt(data: bytes) -> Parsed:
+def parse_xlsx(data: bytes) -> Parsed:
+    """Each sheet: its name, then its rows as lines, cells parted by tabs; empty cells between others keep their places. Formulas show their last value, dates their number."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        strings = _xml(z, "xl/sharedStrings.xml")
+        shared = ["".join(t.text or "" for t in si.iter() if _local(t.tag) == "t") for si in strings if _local(si.tag) == "si"] if strings is not None else []
+        targets, out, sheets = _targets(z, "xl/workbook.xml"), [], []
+        for sheet in (e for e in _xml(z, "xl/workbook.xml").iter() if _local(e.tag) == "sheet"):
+            part = next((targets[v] for k, v in sheet.attrib.items() if _local(k) == "id" and v in targets), None)
+            if part is None or part not in z.namelist():
+                continue
+            lines = [sheet.get("name", "")]
+            for row in (e for e in _xml(z, part).iter() if _local(e.tag) == "row"):
+                cells: dict[int, str] = {}
+                for c in (e for e in row if _local(e.tag) == "c"):
+                    letters = re.match(r"[A-Z]*", c.get("r", ""))[0]
+                    at = 0
+                    for x in letters:
+                        at = at * 26 + ord(x) - 64
+                    value = "".join(t.text or "" for t in c.iter() if _local(t.tag) == ("t" if c.get("t") == "inlineStr" else "v"))
+                    if c.get("t") == "s" and value:
+                        value = shared[int(value)]
+                    elif c.get("t") == "b":
+                        value = "TRUE" if value == "1" else "FALSE"
+                    cells[at - 1 if letters else len(cells)] = re.sub(r"[\r\n]+", " ", value)
+                lines.append("\t".join(cells.get(i, "") for i in range(max(cells, default=-1) + 1)))
+            sheets.append("\n".join(lines))
+        return Parsed("\n".join(sheets).strip(), _properties(z, "docProps/core.xml"), _resources(z, "xl/embeddings/", "xl/media/"), pages=sheets)
+
+
+def parse_pptx(data: bytes) -> Parsed:
+    """Slides in the order of the presentation, each with its notes; a slide is a page."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        tree = ElementTree.fromstring(z.read("content.xml"))
-    t = "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"
-    return Parsed("\n".join("".join(p.itertext()) for p in tree.iter() if p.tag in (f"{t}p", f"{t}h")).strip(), {})
+        targets, slides = _targets(z, "ppt/presentation.xml"), []
+        for e in _xml(z, "ppt/presentation.xml").iter():
+            part = next((targets.get(v) for k, v in e.attrib.items() if k.endswith("}id")), None) if _local(e.tag) == "sldId" else None
+            if part in z.namelist():
+                notes = [n for n in _targets(z, part).values() if "notesSlide" in n and n in z.namelist()]
+                slides.append("\n".join(x for p in (part, *notes) for x in _lines(_xml(z, p)) if x.strip()))
+        return Parsed("\n".join(slides).strip(), _properties(z, "docProps/core.xml"), _resources(z, "ppt/embeddings/", "ppt/media/"), pages=slides)
+
+
+def _cell(e: ElementTree.Element) -> str:
+    return " ".join("".join(p.itertext()) for p in e.iter() if _local(p.tag) == "p")
+
+
+def parse_open_document(data: bytes) -> Parsed:
+    """Paragraphs and headings as lines; table rows as lines with cells parted by tabs, each sheet under its name. Sheets and slides are pages. Cells that are repeated for layout only are left out."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        pages: list[str] = []
+
+        def go(e: ElementTree.Element, out: list[str]) -> None:
+            kind = _local(e.tag)
+            if kind in ("p", "h"):
+                out.append("".join(e.itertext()))
+            elif kind == "table-row":
+                cells = [(_cell(c), int(next((v for k, v in c.attrib.items() if _local(k) == "number-columns-repeated"), 1))) for c in e if _local(c.tag) in ("table-cell", "covered-table-cell")]
+                while cells and not cells[-1][0]:
+                    cells.pop()
+                out.append("\t".join(c for c, n in cells for _ in range(n)))
+            elif kind == "table" or kind == "page" and "drawing" in e.tag:
+                inner: list[str] = [next((v for k, v in e.attrib.items() if _local(k) == "name"), "")] if kind == "table" else []
+                for child in e:
+                    go(child, inner)
+                page = "\n".join(inner).strip()
+                pages.append(page)
+                out.append(page)
+            else:
+                for child in e:
+                    go(child, out)
 
+        lines: list[str] = []
+        go(_xml(z, "content.xml"), lines)
+        return Parsed("\n".join(lines).strip(), _properties(z, "meta.xml"), _resources(z, "Pictures/", "Object "), pages=pages)
 
-MOST_BYTES = 1 << 31
+
+def parse_epub(data: bytes) -> Parsed:
+    """The chapters in reading order, each a page; pictures as inline resources."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        root = next(e.get("full-path") for e in _xml(z, "META-INF/container.xml").iter() if _local(e.tag) == "rootfile")
+        package, folder = _xml(z, root), posixpath.dirname(root)
+        place = lambda href: posixpath.normpath(posixpath.join(folder, href))
+        parts = {e.get("id"): (place(e.get("href")), e.get("media-type") or "") for e in package.iter() if _local(e.tag) == "item"}
+        chapters = [parse_html(z.read(parts[e.get("idref")][0])) for e in package.iter() if _local(e.tag) == "itemref" and e.get("idref") in parts]
+        items = [Item(n, z.read(n), kind, n, inline=True) for n, kind in parts.values() if kind.startswith("image/") and n in z.namelist()]
+        return Parsed("\n".join(c.text for c in chapters if c.text), _properties(z, root), items, [c.text for c in chapters], "".join(c.html or "" for c in chapters))
+
+
+#: Embedded documents beyond this are too large for a row: they carry an error in the place of their text, with their true size and digest.
+MOST_BYTES = (1 << 31) - (1 << 20)
 Parser = Callable[[bytes], Parsed]
 REGISTRY: dict[str, Parser] = {
-    "text/html": parse_html, "text/plain": parse_text, "text/csv": parse_csv, "text/tab-separated-values": parse_csv, "application/json": parse_text, "application/xml": parse_text,
+    "text/html": parse_html, "text/plain": parse_text, "text/csv": parse_csv, "text/tab-separated-values": parse_csv, "application/json": parse_json, "application/xml": parse_xml,
     "message/rfc822": parse_mail, "application/mbox": parse_mbox, "application/zip": parse_zip, "application/x-tar": parse_tar, "application/gzip": parse_gzip, "application/rtf": parse_rtf,
-    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": parse_docx, "application/vnd.oasis.opendocument.text": parse_odt,
+    f"{_OFFICE}.wordprocessingml.document": parse_docx, f"{_OFFICE}.spreadsheetml.sheet": parse_xlsx, f"{_OFFICE}.presentationml.presentation": parse_pptx, "application/epub+zip": parse_epub,
+    f"{_OPEN}.text": parse_open_document, f"{_OPEN}.spreadsheet": parse_open_document, f"{_OPEN}.presentation": parse_open_document,
 }
 
 
@@ -338,34 +503,55 @@ class TimeoutException(Exception):
     pass
 
 
-@contextmanager
-def limited(seconds: int) -> Iterator[None]:
-    """Breaks off what runs inside after some seconds; no limit for 0, or outside of a process's main thread."""
-    if seconds <= 0 or threading.current_thread() is not threading.main_thread():
-        yield
-        return
+def limited(seconds: float, work: Callable[[], list]) -> list:
+    """``work()``, broken off after some seconds; no limit for 0. Outside of a process's main thread, where no alarm can be had, a thread that is late is left behind."""
+    if seconds <= 0:
+        return work()
+    late = TimeoutException(f"more than {seconds:g} s")
+    if threading.current_thread() is threading.main_thread():
 
-    def stop(*_):
-        raise TimeoutException(f"more than {seconds} s")
+        def stop(*_):
+            raise late
 
-    before = signal.signal(signal.SIGALRM, stop)
-    signal.alarm(seconds)
-    try:
-        yield
-    finally:
-        signal.alarm(0)
-        signal.signal(signal.SIGALRM, before)
+        before = signal.signal(signal.SIGALRM, stop)
+        signal.setitimer(signal.ITIMER_REAL, seconds)
+        try:
+            return work()
+        finally:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
+    done: list = []
+
+    def run() -> None:
+        try:
+            done.append((work(), None))
+        except BaseException as e:
+            done.append((None, e))
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not done:
+        raise late
+    value, error = done[0]
+    if error:
+        raise error
+    return value
 
 
 def clean_metadata(data: bytes, kind: str) -> bytes:
-    """A cleaner for ``Options``: office documents without their properties; anything else unchanged."""
-    if not kind.startswith("application/vnd.openxmlformats"):
+    """A cleaner for ``Options``: office documents without their properties, nor anything that refers to them; anything else unchanged."""
+    if not kind.startswith((_OFFICE, _OPEN)):
         return data
     out = io.BytesIO()
     with zipfile.ZipFile(io.BytesIO(data)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
         for info in old.infolist():
-            if not info.filename.startswith("docProps/"):
-                new.writestr(info, old.read(info))
+            if info.filename.startswith("docProps/") or kind.startswith(_OPEN) and info.filename == "meta.xml":
+                continue
+            part = old.read(info)
+            if info.filename in ("_rels/.rels", "[Content_Types].xml", "META-INF/manifest.xml"):
+                part = re.sub(rb"<(?:\w+:)?(?:Relationship|Override|file-entry)\b[^>]*(?:[\"'/]docProps/|[\"']meta\.xml[\"'])[^>]*?(?:/>|>\s*</(?:\w+:)?(?:Relationship|Override|file-entry)>)", b"", part)
+            new.writestr(info, part)
     return out.getvalue()
 
 
@@ -373,8 +559,9 @@ def clean_metadata(data: bytes, kind: str) -> bytes:
 class Options:
     """How to parse: ``embeds`` is spawn (children are rows), concatenate (their text joins their parent's) or ignore.
 
-    ``ocr`` gives an image's text and confidence (0 to 1) from bytes and type; ``transcode`` makes an image of another type readable for it. ``selector`` tells from a
-    document's metadata whether it gets ``output`` or plain text. ``keep_raw`` keeps the bytes, of failed documents too. ``timeout`` is for each file, in seconds.
+    ``ocr`` gives an image's text and confidence (0 to 1) from bytes and type; ``transcode`` makes an image of another type readable for it. Without it nothing is recognised; with it, pictures are,
+    and ``ocr_strategy`` says what becomes of pages that a parser has pictures of: their text layer alone (NO_OCR), recognised text where a page has none (AUTO), both, or recognised text alone. ``selector`` tells from a
+    document's metadata whether it gets ``output`` or plain text. ``keep_raw`` keeps the bytes, of failed documents too. ``timeout`` is for each file, in seconds, a day by default; 0 is no limit.
     """
 
     embeds: str = "spawn"
@@ -384,40 +571,77 @@ class Options:
     max_depth: int = 20
     max_bytes: int = 0
     ocr: Callable[[bytes, str], tuple[str, float]] | None = None
-    ocr_strategy: str = "AUTO"
+    ocr_strategy: str = "NO_OCR"
     ocr_least_bytes: int = 0
     ocr_types: tuple[str, ...] = ("image/png", "image/jpeg", "image/tiff", "image/gif")
     transcode: Callable[[bytes, str], bytes] | None = None
     cleaner: Callable[[bytes, str], bytes] | None = None
     selector: Callable[[dict[str, list[str]]], bool] | None = None
     keep_raw: bool = False
-    timeout: int = 0
+    timeout: float = 86_400
 
     def strategy(self) -> str:
-        """One of ``STRATEGIES``; no OCR without an engine or for an unknown name. ``OCR_ONLY`` leaves out text that isn't from OCR."""
+        """One of ``STRATEGIES``; NO_OCR without an engine or for an unknown name."""
         name = self.ocr_strategy.upper()
         return name if self.ocr and name in STRATEGIES else "NO_OCR"
 
 
-def unfold(path: str, data: bytes | None, options: Options, parsers: dict[str, Parser]) -> Iterator[dict]:
-    """Rows of a file: the root and all that is embedded in it, depth first; a failure stays with its item."""
+def _recognise(p: Parsed, options: Options) -> None:
+    """Text of the pages by the OCR strategy, from their text layers and their pictures."""
+    strategy = options.strategy()
+    if strategy == "NO_OCR" or not p.images:
+        return
+    layers, sure = [*p.pages, *[""] * (len(p.images) - len(p.pages))], []
+    pages = []
+    for text, (image, kind) in zip(layers, p.images):
+        if strategy == "AUTO" and text.strip():
+            pages.append(text)
+            continue
+        seen, confidence = options.ocr(image, kind)
+        sure.append(confidence)
+        pages.append(f"{text}\n{seen}" if strategy == "OCR_AND_TEXT" and text else seen)
+    p.pages, p.text, p.html = [*pages, *layers[len(pages) :]], "\n".join([*pages, *layers[len(pages) :]]), None
+    if sure:
+        p.metadata["ocr:parser"], p.metadata["ocr:confidence"] = [getattr(options.ocr, "__name__", "ocr")], [str(sum(sure) / len(sure))]
+
+
+def _too_large(declared: str | None, most: int) -> bool:
+    """As ``filters.too_large``: what isn't an integer is let through."""
+    text = (declared or "").strip(" ")
+    return most > 0 and bool(re.fullmatch(r"[+-]?[0-9]+", text)) and int(text) > most
+
+
+def unfold(path: str, data: bytes | None, options: Options, parsers: dict[str, Parser], seen: Callable[[dict, bytes], None] | None = None) -> Iterator[dict]:
+    """Rows of a file: the root and all that is embedded in it, depth first; a failure stays with its item. ``seen`` is called with each document's row and bytes before it is parsed."""
     ordinal = 0
 
-    def digest(b: bytes) -> str:
-        return hashlib.new(options.algorithm, options.project.encode() + b).hexdigest()
-
-    def go(data: bytes, name: str | None, relation: str | None, parent: dict | None, declared_type: str | None) -> Iterator[dict]:
+    def digest(b: bytes | BinaryIO) -> tuple[str, int]:
+        h = hashlib.new(options.algorithm, options.project.encode())
+        if isinstance(b, bytes):
+            h.update(b)
+            return h.hexdigest(), len(b)
+        size = 0
+        while part := b.read(1 << 24):
+            h.update(part)
+            size += len(part)
+        return h.hexdigest(), size
+
+    def go(data: bytes, name: str | None, relation: str | None, parent: dict | None, declared_type: str | None, opened: Callable[[], BinaryIO] | None = None) -> Iterator[dict]:
         nonlocal ordinal
         level = parent["level"] + 1 if parent else 0
-        own = digest(data)
-        ident = own if parent is None else hashlib.new(options.algorithm, "".join(x for x in (own, parent["id"], relation, name) if x is not None).encode()).hexdigest()
+        own, size = digest(opened() if opened else data)
+        ident = own if parent is None else hashlib.new(options.algorithm, "".join(x for x in (own, parent["id"], relation, name) if x is not None).encode("utf-8", "surrogatepass")).hexdigest()
         row = {
             "id": ident, "root_id": parent["root_id"] if parent else ident, "parent_id": parent["id"] if parent else None, "level": level, "ordinal": ordinal, "path": path, "name": name,
-            "content_type": None, "content": None, "size": len(data), "digest": own, "metadata": {}, "pages": [], "no_content_reason": None, "error": None, "skipped_depth": 0, "skipped_size": 0, "ocr_confidence": None, "raw": data if options.keep_raw else None,
+            "content_type": None, "content": None, "size": size, "digest": own, "metadata": {}, "pages": [], "no_content_reason": None, "error": None, "skipped_depth": 0, "skipped_size": 0, "ocr_confidence": None, "raw": data if options.keep_raw and not opened else None,
         }
         ordinal += 1
+        if seen:
+            seen(row, data)
         kids: list[dict] = []
         try:
+            if opened:
+                raise TooLarge(f"{size} bytes")
             kind = detect(data, name)
             if kind == "text/plain" and declared_type in parsers:
                 kind = declared_type
@@ -426,7 +650,7 @@ def unfold(path: str, data: bytes | None, options: Options, parsers: dict[str, P
                 data = options.cleaner(data, kind)
             if not data:
                 row["no_content_reason"] = EMPTY
-            elif options.strategy() != "NO_OCR" and kind.startswith("image/") and len(data) >= options.ocr_least_bytes and (kind in options.ocr_types or options.transcode):
+            elif options.ocr and kind.startswith("image/") and len(data) >= options.ocr_least_bytes and (kind in options.ocr_types or options.transcode):
                 image = data if kind in options.ocr_types else options.transcode(data, kind)
                 row["content"], row["ocr_confidence"] = options.ocr(image, kind if kind in options.ocr_types else "image/png")
                 row["metadata"] = {"ocr:parser": [getattr(options.ocr, "__name__", "ocr")], "ocr:confidence": [str(row["ocr_confidence"])]}
@@ -434,109 +658,176 @@ def unfold(path: str, data: bytes | None, options: Options, parsers: dict[str, P
                 row["no_content_reason"] = NO_CONTENT
             else:
                 p = parsers[kind](data)
-                shaped = options.output == "html" and (options.selector is None or options.selector(p.metadata))
-                row["content"] = None if options.strategy() == "OCR_ONLY" else p.html if shaped and p.html is not None else p.text
+                _recognise(p, options)
                 row["metadata"], row["pages"], row["no_content_reason"] = p.metadata, p.pages, p.reason
                 row["content_type"] = p.metadata.get("Content-Type", [kind])[0]
+                shaped = options.output == "html" and (options.selector is None or options.selector(p.metadata))
+                row["content"] = serialize(p.metadata, p.metadata.get("title", [""])[0], p.html if p.html is not None else f"<p>{escape(p.text, quote=False)}</p>") if shaped else p.text
                 nameless = 0
                 for item in p.items if options.embeds != "ignore" else []:
                     if options.max_depth > 0 and level + 1 > options.max_depth:
                         row["skipped_depth"] += 1
                         continue
-                    if options.max_bytes > 0 and (item.declared or "").strip().isdigit() and int(item.declared) > options.max_bytes:
+                    if _too_large(item.declared, options.max_bytes):
                         row["skipped_size"] += 1
                         continue
                     title = item.name
                     if not title:
                         title, nameless = f"untitled_{ident}_{nameless}", nameless + 1
-                    below = list(go(item.data, title, item.relation, row, item.content_type))
+                    below = list(go(item.data, title, item.relation, row, item.content_type, item.opened))
                     if item.inline or options.embeds == "concatenate":
                         for b in below:
                             if b["content"]:
                                 block = f'<div class="package-entry"><h1>{escape(b["name"] or "", quote=False)}</h1>{b["content"]}</div>' if options.output == "html" else b["content"]
                                 row["content"] = (row["content"] or "") + "\n" + block
+                            if b["ocr_confidence"] is not None and item.inline:
+                                row["metadata"].setdefault("ocr:parser", b["metadata"]["ocr:parser"])
                         if options.embeds == "concatenate" or not any(b["error"] for b in below):
                             continue
                     kids += below
-        except TimeoutException:
+        except (TimeoutException, _Found):
             raise
         except Encrypted as e:
             row["no_content_reason"], row["error"] = ENCRYPTED, f"EncryptedDocumentException: {e}"
         except RuntimeError as e:
-            row["no_content_reason"] = ENCRYPTED if "password" in str(e) else None
-            row["error"] = f"{type(e).__name__}: {e}"
+            locked = "password" in str(e)
+            row["no_content_reason"] = ENCRYPTED if locked else None
+            row["error"] = f"EncryptedDocumentException: {e}" if locked else f"ParseException: {type(e).__name__}: {e}"
         except Exception as e:  # whatever a parser throws concerns this item alone
             row["error"] = f"ParseException: {type(e).__name__}: {e}"
         yield row
         yield from kids
 
-    failed = {"id": hashlib.new(options.algorithm, path.encode()).hexdigest(), "path": path, "level": 0, "ordinal": 0, "metadata": {}, "pages": [], "skipped_depth": 0, "skipped_size": 0}
+    failed = {"id": hashlib.new(options.algorithm, path.encode("utf-8", "surrogatepass")).hexdigest(), "path": path, "level": 0, "ordinal": 0, "metadata": {}, "pages": [], "skipped_depth": 0, "skipped_size": 0}
     failed["root_id"] = failed["id"]
     if data is None:
         yield failed | {"error": f"NoSuchFileException: {path}"}
         return
     try:
-        with limited(options.timeout):
-            rows = list(go(data, path.rpartition("/")[2], None, None, None))
+        rows = limited(options.timeout, lambda: list(go(data, path.rpartition("/")[2], None, None, None)))
     except TimeoutException as e:
         rows = [failed | {"error": f"TimeoutException: {e}", "size": len(data), "raw": data if options.keep_raw else None}]
     yield from rows
 
 
+class _Found(Exception):
+    def __init__(self, row: dict, data: bytes) -> None:
+        self.row, self.data = row, data
+
+
+def find_embedded(path: str, data: bytes, ident: str, options: Options = Options(), parsers: dict[str, Parser] | None = None) -> tuple[dict, bytes]:
+    """Row (not parsed yet) and bytes of the embedded document with an id. Its root is parsed again, no further than to the document; ``ContentNotFound`` if it isn't there. Ids are those of ``parse`` with the same options."""
+
+    def look(row: dict, found: bytes) -> None:
+        if row["id"] == ident:
+            raise _Found(row, found)
+
+    try:
+        for _ in unfold(path, data, options, parsers or REGISTRY, look):
+            pass
+    except _Found as e:
+        return e.row, e.data
+    raise ContentNotFound(ident)
+
+
 COLUMNS = (
     "id string, root_id string, parent_id string, level int, ordinal int, path string, name string, content_type string, content string, size bigint, digest string, "
     "metadata map<string,array<string>>, pages array<string>, no_content_reason string, error string, skipped_depth int, skipped_size int, ocr_confidence double, raw binary"
 )
-_NAMES = [c.split(" ")[0] for c in COLUMNS.split(", ")]
+SCHEMA = pa.schema([
+    ("id", pa.string()), ("root_id", pa.string()), ("parent_id", pa.string()), ("level", pa.int32()), ("ordinal", pa.int32()), ("path", pa.string()), ("name", pa.string()), ("content_type", pa.string()), ("content", pa.string()), ("size", pa.int64()), ("digest", pa.string()),
+    ("metadata", pa.map_(pa.string(), pa.list_(pa.string()))), ("pages", pa.list_(pa.string())), ("no_content_reason", pa.string()), ("error", pa.string()), ("skipped_depth", pa.int32()), ("skipped_size", pa.int32()), ("ocr_confidence", pa.float64()), ("raw", pa.binary()),
+])
+#: A batch of rows ends after so many rows or bytes.
+BATCH_ROWS, BATCH_BYTES = 200, 32 << 20
+
+
+def read_bytes(path: str) -> bytes | None:
+    """Content of a file by path, or by URL from a store that Arrow can read (``file:``, ``hdfs:``, ``s3:``, ``gs:``); None if it can't be read."""
+    try:
+        if "://" in path or path.startswith("file:"):
+            from pyarrow import fs
+
+            store, place = fs.FileSystem.from_uri(path if "://" in path else "file://" + path[5:])
+            with store.open_input_stream(place) as f:
+                return f.read()
+        with open(path, "rb") as f:
+            return f.read()
+    except (OSError, pa.ArrowException):
+        return None
+
+
+def _plain(value):
+    """Without lone surrogates, which no UTF-8 column can hold."""
+    if isinstance(value, str):
+        return value.encode("utf-8", "replace").decode() if not value.isascii() else value
+    if isinstance(value, dict):
+        return [(_plain(k), [_plain(x) for x in v]) for k, v in value.items()]
+    return [_plain(x) for x in value] if isinstance(value, list) else value
 
 
-def _rows(pairs: Iterator[tuple[str, bytes | None]], options: Options, parsers: dict[str, Parser], most: int = 200) -> Iterator[pd.DataFrame]:
+def _batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
     held: list[dict] = []
-    for path, data in pairs:
-        held.extend(unfold(path, data, options, parsers))
-        if len(held) >= most:
-            yield pd.DataFrame(held, columns=_NAMES).astype(object).where(lambda d: d.notna(), None)
-            held = []
+    total = 0
+    for row in rows:
+        held.append({k: _plain(v) for k, v in row.items()})
+        total += sum(len(row.get(k) or b"") for k in ("content", "raw")) + 1000
+        if len(held) >= BATCH_ROWS or total >= BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(held, SCHEMA)
+            held, total = [], 0
     if held:
-        yield pd.DataFrame(held, columns=_NAMES).astype(object).where(lambda d: d.notna(), None)
+        yield pa.RecordBatch.from_pylist(held, SCHEMA)
 
 
 def parse(files: DataFrame, options: Options = Options(), path: str = "path", content: str | None = None) -> DataFrame:
-    """Documents (``COLUMNS``) of files given by path, or by path and content. Content is read where it is parsed, so only paths are moved about."""
+    """Documents (``COLUMNS``) of files given by path or URL, or by path and content. Content is read where it is parsed, so only paths are moved about."""
     parsers = dict(REGISTRY)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def pairs() -> Iterator[tuple[str, bytes | None]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[dict]:
             for batch in batches:
-                if content:
-                    for p, c in zip(batch["path"], batch["content"]):
-                        yield p, None if c is None else c.encode() if isinstance(c, str) else bytes(c)
-                else:
-                    for p in batch["path"]:
-                        try:
-                            with open(p, "rb") as f:
-                                yield p, f.read()
-                        except OSError:
-                            yield p, None
-
-        yield from _rows(pairs(), options, parsers)
+                for i, p in enumerate(batch.column("path").to_pylist()):
+                    if content:
+                        c = batch.column("content")[i].as_py()
+                        data = c.encode() if isinstance(c, str) else c
+                    else:
+                        data = read_bytes(p)
+                    yield from unfold(p, data, options, parsers)
+
+        yield from _batches(rows())
 
     chosen = files.select(F.col(path).alias("path"), *([F.col(content).alias("content")] if content else []))
-    return chosen.mapInPandas(run, COLUMNS)
+    return chosen.mapInArrow(run, COLUMNS)
+
+
+def embedded(files: DataFrame, options: Options = Options(), path: str = "path", ident: str = "id") -> DataFrame:
+    """(path, id, name, raw, error) for pairs of a root's path and an embedded document's id: its bytes, or ``ContentNotFound``."""
+    parsers = dict(REGISTRY)
+    kind = pa.schema([("path", pa.string()), ("id", pa.string()), ("name", pa.string()), ("raw", pa.binary()), ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, want in zip(batch.column("path").to_pylist(), batch.column("id").to_pylist()):
+                data, name, raw, error = read_bytes(p), None, None, None
+                try:
+                    if data is None:
+                        raise FileNotFoundError(p)
+                    row, raw = find_embedded(p, data, want, options, parsers)
+                    name = row["name"]
+                except (ContentNotFound, TimeoutException, OSError) as e:
+                    error = f"{type(e).__name__}: {e}"
+                yield pa.RecordBatch.from_pylist([{"path": p, "id": want, "name": name, "raw": raw, "error": error}], kind)
+
+    return files.select(F.col(path).alias("path"), F.col(ident).alias("id")).mapInArrow(run, "path string, id string, name string, raw binary, error string")
 
 
 def archive_entries(files: DataFrame, path: str = "path", content: str | None = None) -> DataFrame:
     """(path, entries) of files: entries of plain archives, null for anything else."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i, p in enumerate(batch["path"]):
-                try:
-                    data = bytes(batch["content"][i]) if content else open(p, "rb").read()
-                except OSError:
-                    data = b""
-                out.append((p, count_entries(data)))
-            yield pd.DataFrame(out, columns=["path", "entries"]).astype({"entries": "Int64"})
+            paths = batch.column("path").to_pylist()
+            counts = [count_entries((batch.column("content")[i].as_py() if content else read_bytes(p)) or b"") for i, p in enumerate(paths)]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(counts, pa.int64())], names=["path", "entries"])
 
-    return files.select(F.col(path).alias("path"), *([F.col(content).cast("binary").alias("content")] if content else [])).mapInPandas(run, "path string, entries bigint")
+    return files.select(F.col(path).alias("path"), *([F.col(content).cast("binary").alias("content")] if content else [])).mapInArrow(run, "path string, entries bigint")

@@ -1,6 +1,9 @@
 """``walk``: a batch source that lists file trees, with hidden and empty files, which the built-in listing leaves out.
 
-The driver lists only the roots' first levels; every directory found there is a partition, and is walked by a task.
+The driver lists directories level by level until there are enough of them (``SPREAD``), or none is left; these are dealt to partitions, which tasks walk. So a tree with a single
+first-level directory is spread as well as any other.
+
+A link is followed, if links are, unless it leads back to a directory that it lies in; what two links lead to is listed under both.
 """
 
 from __future__ import annotations
@@ -16,12 +19,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.globs import any_glob
 from ..operators.filters import SYSTEM_FILES
 
+#: Directories that the driver looks for before it leaves the rest to tasks, and levels that it lists at most.
+SPREAD, LEVELS = 256, 4
 SCHEMA = "path string, name string, parent_path string, size bigint, modified_ms bigint, depth int, error string"
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, depth: int, recurse: bool) -> None:
-        self.path, self.depth, self.recurse = path, depth, recurse
+    def __init__(self, tops: list[tuple[str, int, tuple[str, ...]]], recurse: bool) -> None:
+        self.tops, self.recurse = tops, recurse  # (path, depth of what lies in it, real paths of the directories above)
 
 
 class WalkReader(DataSourceReader):
@@ -62,33 +67,44 @@ class WalkReader(DataSourceReader):
                 yield "error", e.path, e.name, self._error(e.path, depth, err)
 
     def partitions(self) -> list[InputPartition]:
-        out = []
-        for root in self.roots:
-            out.append(_Part(root, 1, False))
-            if self.most > 1 and os.path.isdir(root):
-                out += [_Part(path, 2, True) for kind, path, _, _ in self._entries(root, 1) if kind == "dir"]
-        return out
+        listed: list[tuple[str, int, tuple[str, ...]]] = []
+        front = [(root, 1, ()) for root in self.roots]
+        for _ in range(LEVELS):
+            if len(front) >= SPREAD or not front:
+                break
+            below = []
+            for path, depth, above in front:
+                listed.append((path, depth, above))
+                if os.path.isdir(path) and depth < self.most:
+                    here = (*above, os.path.realpath(path))
+                    below += [(p, depth + 1, here) for kind, p, _, _ in self._entries(path, depth) if kind == "dir" and os.path.realpath(p) not in here]
+            front = below
+        deal = lambda tops, recurse: [_Part(tops[i::SPREAD], recurse) for i in range(min(SPREAD, len(tops)))]
+        return deal(listed, False) + deal(front, True)
 
     def read(self, part: _Part) -> Iterator[tuple]:
-        if not os.path.isdir(part.path):
+        for path, depth, above in part.tops:
+            if os.path.isdir(path):
+                yield from self._walk(path, depth, above, part.recurse)
+                continue
             try:
-                s = os.stat(part.path)
-                yield (part.path, os.path.basename(part.path), os.path.dirname(part.path), s.st_size, int(s.st_mtime * 1000), 0, None)
+                s = os.stat(path)
+                yield (path, os.path.basename(path), os.path.dirname(path), s.st_size, int(s.st_mtime * 1000), 0, None)
             except OSError as e:
-                yield self._error(part.path, 0, e)
-            return
-        stack, seen = [(part.path, part.depth)], set()
+                yield self._error(path, 0, e)
+
+    def _walk(self, path: str, depth: int, above: tuple[str, ...], recurse: bool) -> Iterator[tuple]:
+        stack = [(path, depth, above)]
         while stack:
-            directory, depth = stack.pop()
+            directory, depth, above = stack.pop()
             real = os.path.realpath(directory)
-            if real in seen:  # links may lead back
+            if real in above:
                 continue
-            seen.add(real)
-            for kind, path, _, row in self._entries(directory, depth):
+            for kind, p, _, row in self._entries(directory, depth):
                 if row is not None:
                     yield row
-                elif kind == "dir" and part.recurse and depth < self.most:
-                    stack.append((path, depth + 1))
+                elif kind == "dir" and recurse and depth < self.most:
+                    stack.append((p, depth + 1, (*above, real)))
 
 
 class WalkSource(DataSource):

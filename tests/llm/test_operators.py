@@ -9,6 +9,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, mixing, near_dedup, neighbours, pii, quality, sharding, substring, toxicity, url_filter
 
@@ -98,15 +99,33 @@ def test_every_long_enough_span_is_found(spark, k, window):
     assert got == brute_spans(docs, items, k + window - 1)
 
 
-def test_a_full_bitmap_changes_nothing(spark):
+def test_a_full_filter_changes_nothing(spark):
     r = random.Random(33)
     items = [(i, prose(r, 40)) for i in range(30)]
     docs = [(d, prose(r, 20) + " " + " ".join(r.choice(items)[1].split()[:20])) for d in range(20)]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    small = decontaminate.find_spans(frame(spark, docs), bench, local_tokens=0, bitmap_bits=64)
+    small = decontaminate.find_spans(frame(spark, docs), bench, local_tokens=0, most_bits=64)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, decontaminate.find_spans(frame(spark, docs), bench).collect())) != []
 
 
+def test_the_filter_lets_next_to_nothing_through_in_vain(spark):
+    """It is sized by the benchmark, so hardly a clean document of 200 words leaves the scan, and all contaminated ones do."""
+    r = random.Random(34)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = lambda n: " ".join("".join(r.choices(letters, k=6)) for _ in range(n))
+    items = [(i, words(2000)) for i in range(60)]
+    bench = decontaminate._prepared(spark.createDataFrame(items, "item_id bigint, text string"), decontaminate.K, decontaminate.WINDOW)
+    bits = decontaminate._filter(bench, decontaminate.FILTER_BITS, decontaminate.MOST_FILTER_BITS)
+    assert 32 <= 64 * len(bits) / bench.selectExpr("sum(size(fp))").first()[0] <= 64
+
+    def passes(text):
+        hashes, owner, _ = decontaminate._tokens(pa.record_batch([pa.array([text])], names=["text"]))
+        return decontaminate.known(bits, decontaminate.winnow(hashes, owner, decontaminate.K, decontaminate.WINDOW)[1]).any()
+
+    assert sum(passes(words(200)) for _ in range(1000)) <= 5
+    assert all(passes(words(50) + " " + " ".join(items[i][1].split()[i : i + 13]) + " " + words(50)) for i in range(60))
+
+
 def test_decontamination_awkward(spark, awkward):
     bench = spark.createDataFrame([(None, None), (1, ""), (2, "short one"), (None, prose(random.Random(5), 40_000)[:400])], "item_id bigint, text string")
     out = decontaminate.drop_contaminated(awkward, bench)
@@ -198,14 +217,20 @@ def test_parts_are_connected_parts():
     assert (got == label).all()
 
 
-def test_shared_buckets_across_batches():
+def test_blocks_across_batches():
     r = random.Random(5)
     for _ in range(200):
-        keys = sorted(r.choices(range(12), k=r.randint(0, 14)))
-        whole = pa.record_batch([pa.array(keys, pa.int64()), pa.array(range(len(keys)))], names=["band", "node"])
+        keys = sorted(zip(r.choices(range(5), k=14), r.choices(range(3), k=14)))[: r.randint(0, 14)]
+        whole = pa.record_batch([pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int32()), pa.array(range(len(keys)))], names=["band", "block", "node"])
         cuts = sorted({0, len(keys), *r.choices(range(len(keys) + 1), k=4)})
-        got = [x for b in near_dedup._shared(whole.slice(a, z - a) for a, z in zip(cuts, cuts[1:])) for x in b.column("node").to_pylist()]
-        assert got == [i for i, k in enumerate(keys) if keys.count(k) > 1]
+        got = []
+
+        def work(t, border):
+            got.extend(t.column("node").to_pylist()[a:b] for a, b in zip(border[:-1], border[1:]) if b - a > 1)
+            return iter(())
+
+        list(near_dedup._blocks(["band", "block"], work)(whole.slice(a, z - a) for a, z in zip(cuts, cuts[1:])))
+        assert got == [x for x in ([i for i, k in enumerate(keys) if k == key] for key in sorted(set(keys))) if len(x) > 1]
 
 
 def test_components_of_a_long_chain(spark):
@@ -215,6 +240,67 @@ def test_components_of_a_long_chain(spark):
     assert got == {bytes([i]): b"\x00" for i in range(n + 1)} | {b"\xff": b"\xfe", b"\xfe": b"\xfe"}
 
 
+@pytest.mark.parametrize("bucket", [4, 16_384])
+def test_large_buckets_lose_no_link(spark, bucket):
+    """Buckets split into blocks of four nodes, with tight groups, a hub of copies and loners, give what whole buckets give."""
+    r = random.Random(44)
+    base, docs = prose(r, 60).split(), []
+    for n in range(120):
+        text = list(base)
+        for _ in range(n % 12):
+            text[r.randrange(60)] = r.choice(VOCAB)
+        docs.append((n, " ".join(text)))
+    half = prose(r, 40)
+    docs += [(200 + n, half + " " + prose(r, 60)) for n in range(60)]  # below the threshold, but with bands in common
+    docs += [(300 + n, docs[3][1]) for n in range(40)]
+    got = set(map(tuple, near_dedup.near_duplicates(frame(spark, docs), bucket=bucket).collect()))
+    assert got == set(map(tuple, near_dedup.near_duplicates(frame(spark, docs), bucket=1000).collect())) and len(got) > 120
+
+
+def test_links_across_blocks_are_found(spark):
+    """One band for all; groups whose members fall into different blocks."""
+    r = np.random.default_rng(6)
+    base = r.integers(0, 256, (9, 96), dtype=np.uint8)
+    sketches = []
+    for n in range(90):
+        x = base[n % 9].copy()
+        x[r.choice(96, 30, False)] = r.integers(0, 256, 30)
+        sketches.append(x)
+    nodes = spark.createDataFrame([(bytes([n]), bytes(x), [7, 1000 + n]) for n, x in enumerate(sketches)], "node binary, sketch binary, bands array<bigint>")
+    near = (np.array(sketches)[:, None] == np.array(sketches)[None]).sum(axis=2) >= 48
+    label = np.arange(90)
+    for _ in range(90):
+        label = np.array([label[near[i]].min() for i in range(90)])
+    for bucket in (5, 17, 1000):
+        got = {x.node[0]: x.root[0] for x in near_dedup.linked(nodes, 0.5, bucket).collect()}
+        assert [got.get(n, n) for n in range(90)] == label.tolist()
+
+
+def test_components_with_a_hub(spark):
+    e = [(bytes([0, 0, 9]), bytes([1, i // 256, i % 256])) for i in range(3000)] + [(bytes([1, 0, 5]), bytes([2, 0, 0])), (bytes([2, 0, 0]), bytes([2, 0, 1]))]
+    got = near_dedup.components(spark.createDataFrame(e, "a binary, b binary")).collect()
+    assert len(got) == 3003 and {bytes(x.root) for x in got} == {bytes([0, 0, 9])}
+
+
+@pytest.mark.parametrize("keys", [0, 1000])
+def test_rows_without_text_and_repeated_rows_stay(spark, keys):
+    words = prose(random.Random(9), 30)
+    rows = [(None, None, None, s) for s in "abc"] + [(7, "", None, s) for s in "ab"] + [(8, " .. ", None, "a")] * 2 + [(1, words, None, s) for s in "ab"] + [(2, words, None, "a")]
+    left = near_dedup.drop_near_duplicates(frame(spark, rows), broadcast_keys=keys)
+    got = collections.Counter((x.doc_id, x.text, x.source) for x in left.collect())
+    assert sum(n for k, n in got.items() if k[:2] == (1, words)) == 1 and (2, words, "a") not in got
+    assert {k: n for k, n in got.items() if k[0] != 1} == collections.Counter((r[0], r[1], r[3]) for r in rows if r[0] not in (1, 2))
+    assert sorted(map(tuple, near_dedup.near_duplicates(frame(spark, rows)).collect())) == [(1, 1), (2, 1)]
+
+
+def test_texts_are_not_shuffled_to_drop_duplicates(spark, tmp_path):
+    words = prose(random.Random(9), 30)
+    frame(spark, [(n, words if n % 3 == 0 else prose(random.Random(n), 30)) for n in range(60)]).write.parquet(str(tmp_path / "d"))
+    left = near_dedup.drop_near_duplicates(spark.read.parquet(str(tmp_path / "d")))
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert left.count() == 41 and "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_near_duplicates_awkward(spark, awkward):
     got = sorted(map(tuple, near_dedup.near_duplicates(awkward).collect()))
     assert got == [(4, 4)]
@@ -291,7 +377,8 @@ def test_automaton_equals_regular_expressions():
 
 
 def test_canonical_urls(spark):
-    cases = {"  HTTP://WWW.Example.COM:80/A?utm_source=x&b=1#top ": "http://www.example.com/A?b=1", "https://h:443": "https://h/", "https://h?utm_a=1": "https://h/", "https://h/p?a=1&utm_x=2&c=3": "https://h/p?a=1&c=3", "": "", "no scheme": "no scheme", None: None}
+    cases = {"  HTTP://WWW.Example.COM:80/A?utm_source=x&b=1#top ": "http://www.example.com/A?b=1", "https://h:443": "https://h/", "https://h?utm_a=1": "https://h/", "https://h/p?a=1&utm_x=2&c=3": "https://h/p?a=1&c=3", "": "", "no scheme": "no scheme", None: None,
+             "http://me:pw@Host.org.:80/a/./b/../c?x=../y": "http://host.org/a/c?x=../y", "https://h./": "https://h/", "https://h.:8443/x": "https://h.:8443/x".replace(".:", ":"), "http://h/../../a/..": "http://h/", "http://h/a/.": "http://h/a/", "http://h/a..b/.c": "http://h/a..b/.c", "ftp://h//a//": "ftp://h//a//"}
     df = spark.createDataFrame([(i, u) for i, u in enumerate(cases)], "page_id bigint, url string")
     got = [x.canonical for x in url_filter.filter_urls(df).orderBy("page_id").collect()]
     assert got == list(cases.values())
@@ -366,51 +453,58 @@ def vectors(spark, x):
 
 
 def test_factor_one_is_exact(spark):
+    """In several cells, of which the one with the repeated vectors is several shards, and several tasks for a shard."""
     r = np.random.default_rng(2)
-    x = np.concatenate((r.normal(size=(250, 6)), np.repeat(r.normal(size=(10, 6)), 5, axis=0))).astype(np.float32)
-    got = collections.defaultdict(list)
-    for row in neighbours.nearest(vectors(spark, x), k=7, factor=1, shard_rows=60, leaf=16, visitors=40).orderBy("vec_id", "rank").collect():
-        got[row.vec_id].append((row.neighbour_id, row.rank, row.distance))
-    want = exact_neighbours(x.astype(np.float64), 7)
-    for n, w in enumerate(want):
-        assert [a[:2] for a in got[n]] == [a[:2] for a in w] and np.allclose([a[2] for a in got[n]], [a[2] for a in w], atol=2e-6)
-
-
-def test_recall_with_production_factor(spark):
-    r = np.random.default_rng(3)
-    x = r.normal(size=(1200, 32)).astype(np.float32)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.concatenate((r.normal(size=(250, 6)), np.repeat(r.normal(size=(10, 6)), 5, axis=0), np.zeros((150, 6)))).astype(np.float32)
+    for every in (1, 7):
+        got = collections.defaultdict(list)
+        for row in neighbours.nearest(vectors(spark, x), k=7, factor=1, every=every, shard_rows=60, leaf=16, visitors=40).orderBy("vec_id", "rank").collect():
+            got[row.vec_id].append((row.neighbour_id, row.rank, row.distance))
+        want = exact_neighbours(x.astype(np.float64), 7)
+        assert sorted(got) == list(range(0, len(x), every))
+        for n in got:
+            assert [a[:2] for a in got[n]] == [a[:2] for a in want[n]] and np.allclose([a[2] for a in got[n]], [a[2] for a in want[n]], atol=2e-6)
+
+
+def recall(spark, x, **options):
+    table = pa.table({"vec_id": pa.array(range(len(x)), pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float32()))})
     got = collections.defaultdict(set)
-    for row in neighbours.nearest(vectors(spark, x), shard_rows=300).collect():
-        got[row.vec_id].add(row.neighbour_id)
-    want = exact_neighbours(x.astype(np.float64), 10)
-    assert np.mean([len(got[n] & {a[0] for a in w}) / 10 for n, w in enumerate(want)]) >= 0.9
+    for row in neighbours.nearest(spark.createDataFrame(table), **options).toArrow().to_pylist():
+        got[row["vec_id"]].add(row["neighbour_id"])
+    asked = np.array(sorted(got))
+    d = np.round(neighbours.distances(x[asked].astype(np.float64), x.astype(np.float64)), 6)
+    d[np.arange(len(asked)), asked] = np.inf
+    want = np.argsort(d, axis=1, kind="stable")[:, :10]
+    return np.mean([len(got[int(n)] & set(w.tolist())) / 10 for n, w in zip(asked, want)])
 
 
-@pytest.mark.parametrize("inner, outer", [(4, 64), (8, 8), (16, 64), (32, 32)])
-def test_recall_at_low_intrinsic_dimension(spark, inner, outer):
+@pytest.mark.parametrize("inner, outer", [(4, 64), (8, 8), (16, 64), (32, 32), (64, 64)])
+def test_recall_with_the_chosen_factor(spark, inner, outer):
     r = np.random.default_rng(4)
     x = r.normal(size=(20_000, inner))
     if outer > inner:
         x = x @ r.normal(size=(inner, outer))
+    if outer == 64:
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-    x = x.astype(np.float32)
-    table = pa.table({"vec_id": pa.array(range(len(x)), pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float32()))})
-    got = collections.defaultdict(set)
-    for row in neighbours.nearest(spark.createDataFrame(table), shard_rows=8192).toArrow().to_pylist():
-        got[row["vec_id"]].add(row["neighbour_id"])
-    asked = r.choice(len(x), 500, replace=False)
-    d = np.round(neighbours.distances(x[asked].astype(np.float64), x.astype(np.float64)), 6)
-    d[np.arange(len(asked)), asked] = np.inf
-    want = np.argsort(d, axis=1, kind="stable")[:, :10]
-    assert np.mean([len(got[int(n)] & set(w.tolist())) / 10 for n, w in zip(asked, want)]) >= 0.9
+    assert recall(spark, x.astype(np.float32), shard_rows=4096, every=40) >= 0.9
+
+
+def test_intervals_leave_out_what_a_median_cannot():
+    """Clustered vectors: a query scans few of them, with nothing lost at factor 1."""
+    r = np.random.default_rng(7)
+    x = np.repeat(r.normal(size=(50, 16)) * 10, 100, axis=0) + r.normal(size=(5000, 16))
+    s = neighbours.Search(neighbours.Tree(x, 32), np.arange(5000), x[::50], np.arange(0, 5000, 50), np.full(100, np.inf), 10, np.ones(100))
+    d = np.round(neighbours.distances(x[::50], x), 6)
+    d[np.arange(100), np.arange(0, 5000, 50)] = np.inf
+    assert (s.at == np.argsort(d, axis=1, kind="stable")[:, :10]).all() and s.scanned < 0.15 * d.size
 
 
 def test_neighbours_awkward(spark):
     rows = [(1, [0.0, 1.0], "a"), (1, [0.0, 1.0], "a"), (2, None, "b"), (None, [1.0, 1.0], "c"), (3, [1.0, None], "d"), (4, [1.0], "e"), (5, [float("nan"), 1.0], "f"), (6, [], "g"), (7, [3.0, 5.0], "h")]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, cell string")
-    got = sorted(map(tuple, neighbours.nearest(df).collect()))
+    got = sorted(map(tuple, neighbours.nearest(df, every=1).collect()))
     assert got == [(1, 1, 1, 0.0), (1, 1, 1, 0.0), (1, 7, 2, 5.0), (1, 7, 2, 5.0), (7, 1, 1, 5.0), (7, 1, 2, 5.0)]
+    assert neighbours.nearest(df).count() == 0 and {x.vec_id for x in neighbours.nearest(df, every=7).collect()} == {7}
     assert neighbours.nearest(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         neighbours.nearest(df, factor=0.5)
@@ -463,6 +557,16 @@ def test_secrets_without_digits_and_long_addresses():
     assert got == [(0, "correcthorse", "secret"), (1, "swordfishes", "secret"), (2, "QwErTyUiOpAsDfGhJkLz", "secret"), (3, mail, "email")]
 
 
+def test_addresses_beyond_the_bound_and_other_numbers():
+    w = pii.fit()
+    mails = ["a.b.c.d.e.f.g.h.i@x.y.example.co.uk", ".".join("abcdefghijklmnopqrstuvwxyz" * 3) + "@mail.example.com", "jan@" + "x." * 50 + "example.org"]
+    texts = [f"write to {m}, or call 555-123-4567." for m in mails] + ["no 123-45-6789 here", "to DE89370400440532013000 or GB82 WEST 1234 5698 7654 32 then", "from 2001:0db8:85a3:0000:0000:8a2e:0370:7334 on", 'password = "correcthorsebatterystaple"', "at 12:30:45 on 20-10-2020 std::vector2 AB12 3456"]
+    got = [(int(r), texts[r][s:e], pii.TYPES[k]) for r, s, e, k in zip(*pii.find(pa.array(texts), w))]
+    want = [x for n, m in enumerate(mails) for x in ((n, m, "email"), (n, "555-123-4567", "phone"))]
+    want += [(3, "123-45-6789", "ssn"), (4, "DE89370400440532013000", "iban"), (4, "GB82 WEST 1234 5698 7654 32", "iban"), (5, "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "ip"), (6, "correcthorsebatterystaple", "secret")]
+    assert got == want
+
+
 def test_groups_of_lines_change_nothing():
     made = pii.examples(120, seed=7)
     column, w = pa.array([t for t, _ in made] + [" ".join(str(n) for n in range(3000)), None, ""]), pii.fit(n=60, rounds=15)
@@ -503,7 +607,7 @@ def brute_repeats(docs, least_chars):
             at = e
         if run:
             out.append(tuple(run))
-    return sorted(x for x in out if x[2] - x[1] >= least_chars)
+    return sorted((x for x in out if x[2] - x[1] >= least_chars), key=repr)
 
 
 def plain_ends(raw):
@@ -539,7 +643,7 @@ def test_repeats_equal_brute_force(spark):
     passages = [prose(r, 70) for _ in range(5)]
     docs = [(d, prose(r, r.randint(0, 60)) + "".join(" ü " + r.choice(passages) + " " + prose(r, r.randint(0, 20)) for _ in range(r.randint(0, 3)))) for d in range(40)]
     got = sorted(map(tuple, substring.repeats(frame(spark, docs)).collect()))
-    assert got == brute_repeats(docs, substring.MIN_CHARS)
+    assert sorted(got, key=repr) == brute_repeats(docs, substring.MIN_CHARS)
     found = collections.defaultdict(int)
     for d, s, e, _ in got:
         found[d] += e - s
@@ -563,6 +667,18 @@ def test_short_words_in_passages_of_just_over_50_words(spark):
     assert not any(d % 2 == 0 for d in found) and len(found) >= 0.97 * 300
 
 
+def test_a_chunk_in_every_text(spark):
+    """A licence line in all texts: the repeats are those of brute force, and only one occurrence a slice meets the others by its digest."""
+    r = random.Random(14)
+    line = prose(r, 40)
+    docs = [(d, prose(r, 20) + "\n" + line + "\n" + prose(r, r.randint(5, 30))) for d in r.sample(range(5000), 400)] + [(None, prose(r, 5) + "\n" + line)]
+    df = frame(spark, docs).repartition(5)
+    want = brute_repeats(sorted(docs, key=lambda x: (x[0] is None, x[0] or 0)), substring.MIN_CHARS)
+    assert sorted(map(tuple, substring.repeats(df).collect()), key=repr) == sorted(want, key=repr) and len(want) == 400
+    chunks = df.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).mapInArrow(substring._chunks(substring.BITS, substring.LEAST, substring.MOST), "doc_id bigint, slice bigint, at bigint, mark bigint, d1 bigint, d2 bigint")
+    assert chunks.where("mark >= 0").groupBy("d1", "d2").count().agg(F.max("count")).first()[0] <= 5 < chunks.where("mark < 0").count() / 100
+
+
 def test_repeats_awkward(spark, awkward):
     got = [x for x in substring.repeats(awkward).collect()]
     assert {x.doc_id for x in got} <= {7, 8}  # these two repeat themselves
@@ -611,6 +727,11 @@ def test_schedule_equals_the_heap_on_runs_of_equal_groups():
                 assert cycles[j][(k - starts[j]) % len(cycles[j])] == i
 
 
+def test_ranks_among_very_many_groups_of_one_size(spark):
+    docs = [(i, f"{i:06d}") for i in range(3000)] + [(5000 + i, f"{i:07d}") for i in range(5)]
+    assert sorted(map(tuple, sharding.shard(frame(spark, docs).repartition(6), 7).collect())) == brute_shards(docs, 7)
+
+
 def test_sharding_awkward(spark, awkward):
     got = sharding.shard(awkward, 4).collect()
     assert len(got) == awkward.count() and all(0 <= x.shard < 4 for x in got)
@@ -655,6 +776,17 @@ def test_counterfactual_term_evens_out_groups():
     assert even[0] < free[0] and even[0] < 0.5
 
 
+def test_counterfactual_term_at_production_strength():
+    made = toxic_set(random.Random(13), 600, "muslims")
+    texts, y = [t for t, _ in made], np.array([v for _, v in made])
+    mention = pa.array(["muslims read books", "christians read books"])
+    free, even = (toxicity.score(mention, toxicity.fit(texts, y, counterfactual=c)) for c in (0.0, toxicity.COUNTERFACTUAL))
+    assert abs(even[0] - even[1]) < 0.25 * abs(free[0] - free[1]) and even[0] < 0.5
+    held = toxic_set(random.Random(77), 300, "muslims")
+    told = toxicity.score(pa.array([t for t, _ in held]), toxicity.fit(texts, y)) >= 0.5
+    assert (told == np.array([v for _, v in held])).mean() > 0.97
+
+
 def test_swaps():
     assert toxicity.swapped("The Men, and boys") and all("Men" not in s for s in toxicity.swapped("The Men, and boys"))
     assert toxicity.swapped("nobody here") == []

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from test_operators import bag, brute_repeats, brute_shards, brute_spans, brute_water, exact_neighbours, prose, similarity
+from test_operators import bag, brute_repeats, brute_shards, brute_spans, brute_water, prose, similarity
 
 import corpus_pipeline
 from quire.llm import mixing, neighbours, pii, quality, substring, toxicity
@@ -42,11 +42,11 @@ def corpus(tmp_path_factory):
         docs.append((d, text, "en", f"s{min(d % 7, 3)}", len(text)))
     docs += [docs[5], (900, None, None, None, None), (901, "", "en", "s1", 0)]
     marked = [(d, int(d % 11 != 5), int(any(x in t for x in ("idiot", "scum", "moron")))) for d, t, *_ in docs[:200]]
-    x = np.random.default_rng(1).normal(size=(150, 8)).astype(np.float32)
+    x = np.random.default_rng(1).normal(size=(40_000, 8)).astype(np.float32)
     pq.write_table(pa.table(dict(zip(("doc_id", "text", "lang", "source", "n_chars"), map(list, zip(*docs))))), folder / "documents.parquet")
     pq.write_table(pa.table(dict(zip(("doc_id", "quality", "toxic"), map(list, zip(*marked))))), folder / "labels.parquet")
     pq.write_table(pa.table(dict(zip(("item_id", "text"), map(list, zip(*items))))), folder / "benchmark.parquet")
-    pq.write_table(pa.table({"vec_id": list(range(150)), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": [0] * 150}), folder / "embeddings.parquet")
+    pq.write_table(pa.table({"vec_id": list(range(len(x))), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": [0] * len(x)}), folder / "embeddings.parquet")
     return str(folder), docs, items, marked, x
 
 
@@ -102,12 +102,19 @@ def test_op5(spark, corpus):
 
 
 def test_op6(spark, corpus):
+    """Three shards: every hundredth vector against all by brute force."""
     folder, *_, x = corpus
-    got = collections.defaultdict(set)
-    for row in QUERIES["op6_neighbours"](spark, folder).collect():
-        got[row.vec_id].add(row.neighbour_id)
-    want = exact_neighbours(x.astype(np.float64), neighbours.K)
-    assert np.mean([len(got[n] & {a[0] for a in w}) / neighbours.K for n, w in enumerate(want)]) >= 0.9
+    got = collections.defaultdict(list)
+    for row in QUERIES["op6_neighbours"](spark, folder).orderBy("vec_id", "rank").collect():
+        got[row.vec_id].append((row.neighbour_id, row.distance))
+    assert len(x) > 2 * neighbours.SHARD_ROWS and sorted(got) == list(range(0, len(x), 100)) and all(len(v) == neighbours.K for v in got.values())
+    shares = []
+    for n, found in got.items():
+        d = np.sqrt(((x.astype(np.float64) - x[n]) ** 2).sum(axis=1))
+        assert all(abs(d[i] - given) < 2e-6 for i, given in found) and [g for _, g in found] == sorted(g for _, g in found)
+        d[n] = np.inf
+        shares.append(len({i for i, _ in found} & set(np.argsort(d, kind="stable")[: neighbours.K].tolist())) / neighbours.K)
+    assert np.mean(shares) >= 0.9
 
 
 def test_op7(spark, corpus):

@@ -51,11 +51,23 @@ def test_booleans_and_statuses(spark):
     (None, None, "parse", 0), ("java.util.concurrent.TimeoutException", None, "parse", 11), ("InterruptedException", None, "parse", 8), ("java.io.IOException", None, "save", 9), ("java.io.IOException", None, "transform", 4),
     ("java.io.FileNotFoundException", None, "parse", 1), ("java.nio.file.NoSuchFileException", None, "parse", 1), ("IllegalStateException", None, "parse", 8), ("EncryptedDocumentException", None, "parse", 3), ("IOException", "EncryptedDocumentException", "parse", 3),
     ("TikaException", None, "parse", 4), ("java.io.IOException", None, "parse", 2), ("java.lang.OutOfMemoryError", None, "parse", 10),
+    ("MemoryError", None, "parse", 10), ("ConnectionRefusedError", None, "save", 9), ("ValueError", None, "save", 9), ("RuntimeError", None, "parse", 8),
 ])
 def test_classification(spark, exception, cause, stage, code):
     assert apply(spark, status.classify, (exception, cause, stage)) == [code]
 
 
+def test_block_list_and_noise(spark):
+    p = text.METADATA_PREFIX
+    fields = ["unknown_tag_0x1", "custom_a", "mboxparser_status", "xmpmm_id", "message_raw_header_a_b", "message_raw_header_7x", "message_raw_header__", "message_raw_header_ab_c", "message_raw_header__x", "chroma_black", "xunknown_tag_1"]
+    assert apply(spark, filters.blocked_field, *[p + f for f in fields]) == [True] * 7 + [False] * 4
+    lines = [("org.apache.pdfbox.x", "WARN", f"a {n} b") for n in filters.NOISE] + [("org.apache.fontbox.y", "INFO", "No Unicode mapping"), ("my.org.apache.pdfbox", "WARN", "No current font"), ("org.apache.pdfbox", "ERROR", "No current font"), ("org.apache.pdfbox", "WARN", "Invalid ToUnicode CMap"), (None, "WARN", "No current font"), ("org.apache.pdfbox", "WARN", None)]
+    assert apply(spark, filters.log_noise, *lines) == [True] * 5 + [False] * 5
+    with pytest.raises(Exception, match="not a boolean"):
+        apply(spark, lambda c: text.parse_boolean(c, True), "perhaps")
+    assert apply(spark, lambda c: text.parse_boolean(c, True), "on", None) == [True, None]
+
+
 def test_ids(spark):
     assert apply(spark, lambda d, p, r, n: ids.embed_id(d, p, r, n), ("d", "p", "0", "n"), ("d", "p", "1", "n"), (None, "p", "0", "n"))[:2] != [None, None]
     a, b, c = apply(spark, lambda d, p, r, n: ids.embed_id(d, p, r, n), ("1", "23", "0", None), ("123", None, "0", None), ("123", None, "1", None))

@@ -115,6 +115,29 @@ def test_trees_of_more_rows_than_a_recursive_query_may_have(spark):
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
 
 
+def test_a_wide_and_deep_tree(spark):
+    """1.2 million nodes below one root, and a chain of 150."""
+    wide = spark.range(1_200_000).select(F.col("id").cast("string").alias("key"), F.when(F.col("id") > 0, F.expr("(id - 1) div 20")).cast("string").alias("parent_key"))
+    chain = spark.range(150).select(F.concat(F.lit("c"), "id").alias("key"), F.when(F.col("id") == 0, "0").otherwise(F.concat(F.lit("c"), F.col("id") - 1)).alias("parent_key"))
+    out = tree.levels(wide.unionAll(chain).repartition(4), "key", "parent_key")
+    assert out.where("id = 'c149'").first().level == 150 and out.count() == 1_200_150
+
+
+def test_orders_of_siblings(spark):
+    rows = table(spark, [("r", None, 0), ("b", "r", 0), ("a", "r", 1), ("z", "b", 0), ("c", "a", 10), ("d", "a", 9)], "id string, parent_id string, n int")
+    placed = tree.levels(rows, ordinal="n")
+    assert [r.id for r in tree.depth_first(placed).collect()] == ["r", "b", "z", "a", "d", "c"]
+    assert [r.id for r in tree.numbered_depth_first(placed.repartition(5)).orderBy("n").collect()] == ["r", "b", "z", "a", "d", "c"]
+    assert found(tree.parents(rows, ["n"]), "id", "parent_n") == [("a", 0), ("b", 0), ("c", 1), ("d", 1), ("z", 0)]
+    tagged = placed.withColumn("path", F.lit("/p"))
+    assert tree.without_embeds(placed).count() == 1 and tree.visit(tagged, "r").count() == 6
+
+
+def test_gate(spark):
+    docs = table(spark, [("r", "r", 0, "/b"), ("k", "r", 1, "/b"), ("r", "r", 0, "/a"), ("k", "r", 1, "/a"), ("q", "q", 0, "/c")], "id string, root_id string, level int, path string")
+    assert found(tree.gate(docs), "id", "path") == [("k", "/a"), ("q", "/c"), ("r", "/a")]
+
+
 def test_depth_is_bounded_by_the_data_alone(spark):
     chain = table(spark, [(i, i - 1 if i else None) for i in range(8)], "id int, parent_id int")
     assert tree.levels(chain, most=3).agg(F.max("level")).first()[0] == 7
@@ -160,13 +183,13 @@ def test_duplicate_roots_and_counts(spark):
 
 
 def test_metadata(spark):
-    m = table(spark, [("d", {"X-Y": ["1"], "X_Y": ["2", ""], "title": ["a", "b"], "Content-Type": ["t", "t"], "empty": ["", None], "Chroma_x": ["1"]})], "id string, metadata map<string,array<string>>")
+    m = table(spark, [("d", {"X-Y": ["1"], "X_Y": ["2", ""], "title": ["a", "b"], "Content-Type": ["t", "t"], "empty": ["", None], "Unknown tag (0x1)": ["1"], "custom:x": ["2"]})], "id string, metadata map<string,array<string>>")
     n = metadata.normalise(metadata.exploded(m))
     assert found(n, "field", "values") == [("tika_metadata_content_type", ["t"]), ("tika_metadata_title", ["a"]), ("tika_metadata_x_y", ["1", "2"])]
-    d = table(spark, [("d", "tika_metadata_date", "date", ["2015-06-03"]), ("d", "tika_metadata_dc_date", "dc:date", ["2015-06-03", "2016-01-01"]), ("e", "tika_metadata_dc_date", "dc:date", ["alpha", "beta"]), ("e", "tika_metadata_date", "date", ["never"])], "id string, field string, name string, values array<string>")
+    d = table(spark, [("d", "tika_metadata_date", "dcterms:created", ["2015-06-03"]), ("d", "tika_metadata_dc_date", "dc:date", ["2015-06-03", "2016-01-01"]), ("e", "tika_metadata_dc_date", "dc:date", ["alpha", "beta"]), ("e", "tika_metadata_date", "dcterms:created", ["never"]), ("f", "tika_metadata_x", "DC:date", ["2015-06-03"])], "id string, field string, name string, values array<string>")
     assert found(metadata.with_dates(d), "id", "field", "value", "values") == [
         ("d", "tika_metadata_date", "2015-06-03", None), ("d", "tika_metadata_date_iso8601", "2015-06-03T12:00:00Z", None), ("d", "tika_metadata_dc_date", None, ["2015-06-03T00:00:00Z", "2016-01-01T00:00:00Z"]),
-        ("e", "tika_metadata_date", "never", None), ("e", "tika_metadata_dc_date", "alpha,beta", None),
+        ("e", "tika_metadata_date", "never", None), ("e", "tika_metadata_dc_date", "alpha,beta", None), ("f", "tika_metadata_x", "2015-06-03", None),
     ]
     assert metadata.as_map(metadata.with_dates(d)).where("id = 'e'").first().metadata == {"tika_metadata_date": ["never"], "tika_metadata_dc_date": ["alpha,beta"]}
     back = m.select(metadata.parse_sidecar(metadata.as_json(F.col("metadata"))).alias("x")).first().x
