@@ -52,6 +52,18 @@ def report_lines(reports: DataFrame, code: int | None = None, path: str = "path"
     return kept.where(F.col(path).isNotNull() & F.col("code").isNotNull()).select(F.col(path).alias("path"), F.concat(_string(F.col(path)), F.lit(": "), F.col("code").cast("string")).alias("json"))
 
 
+def _joined(items: DataFrame, brackets: str) -> DataFrame:
+    """(json): one row with all of (path, json) between brackets, sorted by path, a null path last; null without any row. It is one string, so it is put together in one task and can't pass 2 GB; ``write_json`` has no such bound."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col("path").isNull().alias("last"), "path", "json")))
+    whole = F.concat(F.lit(brackets[0]), F.array_join(F.transform(parts, lambda x: x["json"]), ","), F.lit(brackets[1]))
+    return items.agg(F.when(F.count("*") > 0, whole).alias("json"))
+
+
+def queue_json(queue: DataFrame, path: str = "path") -> DataFrame:
+    """(json): one row with a JSON array of all paths, sorted, repeated ones as often as they are there and null ones as null at the end; null for an empty queue."""
+    return _joined(queue.select(F.col(path).alias("path"), F.when(F.col(path).isNull(), "null").otherwise(_string(F.col(path))).alias("json")), "[]")
+
+
 def write_json(lines: DataFrame, out: TextIO, brackets: str) -> int:
     """Writes a JSON array or object with an element a line, sorted by path, and returns the number of elements. Tasks sort and format; the driver passes partition after partition on and holds none beyond it."""
     n = 0

@@ -10,6 +10,8 @@ import tarfile
 import threading
 import zipfile
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +79,31 @@ def test_dumps_are_written_and_read_line_by_line(spark, tmp_path):
     assert dumps.report_from_json(spark, str(tmp_path / "none")).count() == 0
 
 
+def against_sql(spark, name, folder, table):
+    import duckdb
+
+    from quire.plans.queries import QUERIES, SQL
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    out = QUERIES[name](spark, str(folder))
+    (got,), (expected,) = out.collect(), con.sql(SQL[name]).fetchall()
+    assert out.columns == ["json"] and tuple(got) == expected
+    return expected[0]
+
+
+def test_queue_dump_is_its_sql(spark, tmp_path):
+    odd = ["b", "a", 'q"\\', "\x01\t\x7f\x1f\u2028/", "é", "\U0001f600", "\uffff", "", None, "b", "b", None]
+    rows = [(i if s != "b" else 7, s, None if i == 4 else "en") for i, s in enumerate(odd)]
+    for name, kept in (("odd", rows), ("none", [])):
+        (tmp_path / name).mkdir()
+        t = pa.table(dict(zip(("doc_id", "source", "lang"), map(list, zip(*kept))))) if kept else pa.table({"doc_id": pa.array([], "int64"), "source": pa.array([], "string"), "lang": pa.array([], "string")})
+        pq.write_table(t, tmp_path / name / "documents.parquet")
+    whole = json.loads(against_sql(spark, "queue_dump", tmp_path / "odd", "documents"))
+    assert len(whole) == 12 and whole[-3:] == [None] * 3 and whole.count("/b/en/7.txt") == 3
+    assert against_sql(spark, "queue_dump", tmp_path / "none", "documents") is None
+
+
 def zipped(**items):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
