@@ -64,6 +64,12 @@ def queue_json(queue: DataFrame, path: str = "path") -> DataFrame:
     return _joined(queue.select(F.col(path).alias("path"), F.when(F.col(path).isNull(), "null").otherwise(_string(F.col(path))).alias("json")), "[]")
 
 
+def report_json(reports: DataFrame, path: str = "path") -> DataFrame:
+    """(json): one row with a JSON object of codes by path, sorted by path, then code, as often as they are there; reports without path or code are left out; null where none is left."""
+    kept = reports.where(F.col(path).isNotNull() & F.col("code").isNotNull())
+    return _joined(kept.select(F.col(path).alias("path"), F.concat(_string(F.col(path)), F.lit(":"), F.col("code").cast("string")).alias("json")), "{}")
+
+
 def write_json(lines: DataFrame, out: TextIO, brackets: str) -> int:
     """Writes a JSON array or object with an element a line, sorted by path, and returns the number of elements. Tasks sort and format; the driver passes partition after partition on and holds none beyond it."""
     n = 0

@@ -104,6 +104,15 @@ def test_queue_dump_is_its_sql(spark, tmp_path):
     assert against_sql(spark, "queue_dump", tmp_path / "none", "documents") is None
 
 
+def test_report_dump_is_its_sql(spark, tmp_path):
+    rows = [(10, 1, 0), (2, 0, 0), (1, 1, 1), (None, 1, 0), (3, None, None), (2, 0, 0)]
+    for name, kept in (("odd", rows), ("none", [(None, 1, 1)])):
+        (tmp_path / name).mkdir()
+        pq.write_table(pa.table({k: pa.array(v, "int64") for k, v in zip(("doc_id", "quality", "toxic"), map(list, zip(*kept)))}), tmp_path / name / "labels.parquet")
+    assert against_sql(spark, "report_dump", tmp_path / "odd", "labels") == '{"1":11,"10":0,"2":4,"2":4,"3":4}'
+    assert against_sql(spark, "report_dump", tmp_path / "none", "labels") is None
+
+
 def zipped(**items):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
