@@ -12,7 +12,7 @@ Documents with equal signatures are one node. Nodes that agree in all rows of a
 dropped while rows are 24 bytes long; only to the others the sketches are brought, and there they are compared, at most ``BUCKET`` nodes in one place: larger
 buckets are split, and what isn't linked within the parts is compared across them (``linked``). In a part the connected nodes are found by breadth-first search, each step comparing one node with all nodes
 not yet reached, so no pair is dropped however large the bucket, while tight groups cost little more than their size.
-Connected components over all buckets are the groups.
+Connected components over all buckets are the groups. One task finds them where edges are few, jobs over many tasks where they aren't.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ from .shared import cut, fresh, row_key
 COORDINATES, BAND_ROWS, THRESHOLD, SHINGLE = 96, 4, 0.5, 2
 #: Nodes of a bucket that are compared in one place, and keys to remove that are broadcast (about 100 MB).
 BUCKET, BROADCAST_KEYS = 16_384, 1_000_000
+#: Edges, of 32 bytes, whose components one task finds.
+LOCAL_EDGES = 500_000
 
 
 def elements(hashes: np.ndarray, owner: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,7 +174,7 @@ def _blocks(columns: list[str], work):
     return run
 
 
-_EDGES = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+_EDGES, _ROOTS = pa.schema([("a", pa.binary()), ("b", pa.binary())]), pa.schema([("node", pa.binary()), ("root", pa.binary())])
 
 
 def _sketches(t: pa.Table) -> np.ndarray:
@@ -229,10 +232,33 @@ def _bytes(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]]
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of a partition that holds all edges (u, v): roots are hooked to lesser roots that they have an edge to, until no edge is between two of them."""
+    edges = pa.Table.from_batches(batches, pa.schema([("u", pa.binary()), ("v", pa.binary())]))
+    if not edges.num_rows:
+        return
+    coded = pa.chunked_array([*edges.column("u").chunks, *edges.column("v").chunks]).combine_chunks().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    u, v = rank[coded.indices.to_numpy()].reshape(2, -1)
+    root = np.arange(len(order))
+    while True:
+        u, v = root[u], root[v]
+        apart = u != v
+        u, v = u[apart], v[apart]
+        if not len(u):
+            break
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (root[root] != root).any():
+            root = root[root]
+    yield table(_ROOTS, coded.dictionary.take(pa.array(order)), coded.dictionary.take(pa.array(order[root])))
+
+
+def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the least node of its component.
 
-    Alternates large-star and small-star steps; every step is written to the checkpoint folder, and it ends when a step leaves number and hash sum of the edges as they were.
+    Up to ``local_edges`` different edges (counted) are the work of one task; the result is the same beyond. More take many tasks, which alternate large-star and small-star steps; every step is written to the checkpoint folder, and it ends when a step leaves number and hash sum of the edges as they were.
     A node's least neighbour is joined to its edges, so that a node with very many of them is spread over tasks like any skewed key.
     """
 
@@ -245,6 +271,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = state(now)
+    if before[0] <= local_edges:
+        return now.coalesce(1).mapInArrow(_rooted, "node binary, root binary")
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = star(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()

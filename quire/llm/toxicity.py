@@ -6,7 +6,7 @@ score when the identity terms of a labelled sentence are swapped for those of ot
 a group then moves the score as little as the mention of another one.
 
 The model is fitted on the driver, on at most ``max_labelled`` labelled rows, those with the least digests of their
-ids: a bounded sample that is the same in every run. Scoring reads every document once, whole, in Arrow batches, with no shuffle.
+ids: a bounded sample that is the same in every run. A task turns the sample into features; its texts don't get to the driver. Scoring reads every document once, whole, in Arrow batches, with no shuffle.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import hash_ranges, lowered, slices, table, words
+from .kernel import hash_ranges, list_array, lowered, slices, table, words
 
 MAX_LABELLED, FEATURE_BITS, COUNTERFACTUAL, L1 = 10_000, 18, 1.0, 5e-4
 
@@ -65,45 +65,66 @@ def sentences(text: str, terms=IDENTITY_TERMS) -> list[str]:
     return [s for s in parts if any(w.strip(".,;:!?\"'()").lower() in named for w in s.split())]
 
 
-def fit(texts: pa.Array | list[str], toxic: np.ndarray, bits: int = FEATURE_BITS, counterfactual: float = COUNTERFACTUAL, l1: float = L1, terms=IDENTITY_TERMS, rounds: int = 200) -> np.ndarray:
+_LAID = pa.schema([("toxic", pa.int8()), ("feat", pa.list_(pa.int32())), *((side, pa.list_(pa.list_(pa.int32()))) for side in ("left", "right"))])
+
+
+def laid_out(texts: pa.Array, toxic: np.ndarray, bits: int = FEATURE_BITS, terms=IDENTITY_TERMS) -> pa.RecordBatch:
+    """What the fit needs of each text: label, features, and for each variant of a sentence the features of the sentence and of the variant."""
+    own, feat = features(texts, bits)
+    left, right, pairs = [], [], np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts.to_pylist()):
+        for s in sentences(t or "", terms):
+            for v in swapped(s, terms):
+                left.append(s)
+                right.append(v)
+                pairs[i] += 1
+    offsets = pa.array(np.concatenate(([0], np.cumsum(pairs))), pa.int32())
+    sides = []
+    for side in (left, right):
+        o, f = features(pa.array(side, pa.string()), bits)
+        sides.append(pa.ListArray.from_arrays(offsets, list_array(f, np.bincount(o, minlength=len(side)), pa.int32())))
+    return table(_LAID, toxic, list_array(feat, np.bincount(own, minlength=len(texts)), pa.int32()), *sides)
+
+
+def _owned(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of its list, and value, of each value of a list column."""
+    return np.repeat(np.arange(len(lists), dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def fit(texts: pa.Array | list[str], toxic: np.ndarray, bits: int = FEATURE_BITS, terms=IDENTITY_TERMS, **options) -> np.ndarray:
+    """``fit_laid_out`` of texts and their labels."""
+    column = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.string())
+    rows = pa.Table.from_arrays([column, pa.array(toxic, pa.int8())], names=["text", "toxic"])
+    parts = [laid_out(part.column("text"), part.column("toxic").to_numpy(), bits, terms) for chunk in rows.to_batches() for part in slices(chunk)]
+    return fit_laid_out(pa.Table.from_batches(parts, _LAID), bits, **options)
+
+
+def fit_laid_out(rows: pa.Table, bits: int = FEATURE_BITS, counterfactual: float = COUNTERFACTUAL, l1: float = L1, rounds: int = 200) -> np.ndarray:
     """Weights by accelerated proximal gradient; the last one is the bias.
 
     Without both classes, the bias alone decides: all documents are as the labels say, or clean where there are none.
     """
     size = 1 << bits
     weights = np.zeros(size + 1)
-    n = len(texts)
+    n = rows.num_rows
+    toxic = rows.column("toxic").to_numpy()
     if not n or toxic.min() == toxic.max():
         weights[-1] = 4.0 if n and toxic.max() else -4.0
         return weights
     y = toxic.astype(np.float64)
-    parts, left, right, done = [], [], [], 0
-    counts, bad = np.zeros(size), np.zeros(size)
-    column = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.string())
-    for chunk in pa.Table.from_arrays([column], names=["text"]).to_batches():
-        for part in slices(chunk):
-            own, feat = features(part.column("text"), bits)
-            own += done
-            done += part.num_rows
-            counts += np.bincount(feat, minlength=size)
-            bad += np.bincount(feat, y[own], minlength=size)
-            parts.append((own.astype(np.int32), feat.astype(np.int32)))
-            for t in part.column("text").to_pylist():
-                for s in sentences(t or "", terms):
-                    for v in swapped(s, terms):
-                        left.append(s)
-                        right.append(v)
+    own, feat = _owned(rows.column("feat").combine_chunks())
+    counts, bad = np.bincount(feat, minlength=size).astype(np.float64), np.bincount(feat, y[own], minlength=size)
     odds = np.log((bad + 0.5) / (y.sum() + 1) / ((counts - bad + 0.5) / (n - y.sum() + 1)))
     used = np.flatnonzero((odds > 0) & (bad > 1))  # what two toxic texts share, and more so than clean ones; the others' weights are 0
     m = len(used)
     number = np.full(size, -1, np.int32)
     number[used] = np.arange(m)
-    kept = [(own[number[feat] >= 0], number[feat][number[feat] >= 0]) for own, feat in parts]
-    del parts
-    own, feat = (np.concatenate(x).astype(np.intp) for x in zip(*kept))
+    kept = number[feat] >= 0
+    own, feat = own[kept].astype(np.intp), number[feat[kept]].astype(np.intp)
     pairs = None
-    if left:
-        (ol, fl), (orr, fr) = features(pa.array(left), bits), features(pa.array(right), bits)
+    left, right = (rows.column(side).combine_chunks().flatten() for side in ("left", "right"))
+    if len(left):
+        (ol, fl), (orr, fr) = _owned(left), _owned(right)
         po, pf, sign = np.concatenate((ol, orr)), number[np.concatenate((fl, fr))], np.concatenate((np.ones(len(fl)), -np.ones(len(fr))))
         pairs = po[pf >= 0], pf[pf >= 0], sign[pf >= 0]
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
@@ -153,13 +174,22 @@ def score(column: pa.Array, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
-def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, **options) -> np.ndarray:
-    """Weights from at most ``max_labelled`` labelled rows; the same ones every time. Rows with a null label or text are left out."""
+def _laid(bits: int, terms):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield laid_out(part.column("text"), (part.column("toxic").to_numpy() > 0).astype(np.int8), bits, terms)
+
+    return run
+
+
+def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, bits: int = FEATURE_BITS, terms=IDENTITY_TERMS, **options) -> np.ndarray:
+    """Weights from at most ``max_labelled`` labelled rows; the same ones every time. Rows with a null label or text are left out. The driver gets feature numbers, no text."""
     marked = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).where("_toxic is not null and _id is not null")
     sample = marked.orderBy(F.md5(F.col("_id").cast("string")), "_toxic").limit(max_labelled)
     rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.col("_toxic").cast("int").alias("toxic"))
-    got = rows.orderBy("doc_id", "toxic", "text").limit(max_labelled).toArrow()
-    return fit(got.column("text"), (got.column("toxic").to_numpy() > 0).astype(np.int8), **options)
+    laid = rows.orderBy("doc_id", "toxic", "text").limit(max_labelled).select("text", "toxic").mapInArrow(_laid(bits, terms), "toxic tinyint, feat array<int>, left array<array<int>>, right array<array<int>>")
+    return fit_laid_out(laid.toArrow(), bits, **options)
 
 
 def _score(shared):

@@ -282,6 +282,29 @@ def test_components_with_a_hub(spark):
     assert len(got) == 3003 and {bytes(x.root) for x in got} == {bytes([0, 0, 9])}
 
 
+def test_components_in_one_task_are_those_of_many(spark, monkeypatch):
+    """The same from one task and from the jobs beyond its limit; one task needs the edges written once and no step after."""
+    r = random.Random(12)
+    name = lambda i: r2[i].to_bytes(2, "big")
+    written = []
+    monkeypatch.setattr(near_dedup, "cut", lambda df, cut=near_dedup.cut: written.append(1) or cut(df))
+    for n, m in ((1, 1), (300, 260), (60, 400)):
+        r2 = r.sample(range(65536), n)
+        e = [(name(r.randrange(n)), name(r.randrange(n))) for _ in range(m)]
+        root = {x: x for p in e for x in p}
+        for _ in range(n):
+            for a, b in e:
+                root[a] = root[b] = min(root[a], root[b])
+        edges = spark.createDataFrame(e, "a binary, b binary")
+        written.clear()
+        one = {bytes(x.node): bytes(x.root) for x in near_dedup.components(edges).collect()}
+        assert len(written) == 1
+        many = {bytes(x.node): bytes(x.root) for x in near_dedup.components(edges, local_edges=0).collect()}
+        assert one == many == {x: root[x] for a, b in e if a != b for x in (a, b)}
+    chain = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(60)], "a binary, b binary")
+    assert {bytes(x.root) for x in near_dedup.components(chain, local_edges=59).collect()} == {b"\x00"}
+
+
 @pytest.mark.parametrize("keys", [0, 1000])
 def test_rows_without_text_and_repeated_rows_stay(spark, keys):
     words = prose(random.Random(9), 30)
@@ -800,3 +823,16 @@ def test_toxicity_awkward(spark, awkward):
     out = toxicity.drop_toxic(awkward, labels(spark))
     assert out.columns == awkward.columns and out.count() == awkward.count()
     assert toxicity.classify(empty(spark), marked).count() == 0
+
+
+def test_toxicity_takes_no_text_to_the_driver(spark, monkeypatch):
+    r = random.Random(3)
+    docs = [(n, prose(r, 20) + (" idiot scum" if n % 4 == 0 else "") + (" The women, and old boys" if n % 3 == 0 else ""), "en", "s") for n in range(60)] + [(60, "", "en", "s"), (61, None, "en", "s")]
+    marked = spark.createDataFrame([(n, 1, int(n % 4 == 0)) for n in range(62)], "doc_id bigint, quality int, toxic int")
+    taken = []
+    kind = type(marked)
+    monkeypatch.setattr(kind, "toArrow", lambda df, take=kind.toArrow: taken.append(take(df)) or taken[-1])
+    got = toxicity.train(frame(spark, docs).repartition(5), marked)
+    assert len(taken) == 1 and "string" not in str(taken[0].schema) and taken[0].num_rows == 61
+    texts = [t for _, t, *_ in docs if t is not None]
+    assert (got == toxicity.fit(texts, np.array([int(n % 4 == 0) for n in range(61)]))).all() and (got != 0).sum() > 1
