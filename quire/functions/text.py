@@ -34,20 +34,17 @@ _UNITS = {"d": 86_400_000, "h": 3_600_000, "m": 60_000, "s": 1000, "ms": 1}
 
 def parse_duration(text: Column) -> Column:
     """Milliseconds of ``500ms``, ``60s``, ``5m``, ``1h``, ``1d`` or a plain number of milliseconds; null for anything else."""
-    number = F.regexp_extract(text, r"^(\d+)(d|h|m|s|ms)?$", 1).try_cast("bigint")
-    unit = F.regexp_extract(text, r"^(\d+)(d|h|m|s|ms)?$", 2)
-    factor = F.lit(1)
-    for name, value in _UNITS.items():
-        factor = F.when(unit == name, value).otherwise(factor)
-    return F.when(text.rlike(r"^\d+(d|h|m|s|ms)?$"), number * factor)
+    part = lambda k: F.regexp_extract(text, r"^(\d+)(d|h|m|s|ms)?$", k)
+    factors = F.create_map(*(F.lit(x) for pair in {**_UNITS, "": 1}.items() for x in pair))
+    return part(1).try_cast("bigint") * factors[part(2)]
 
 
 def format_duration(millis: Column) -> Column:
-    """Whole number of the largest unit that fits at least once."""
+    """Whole number of the largest unit that fits at least once. ``millis`` occurs in it nine times: what is costly belongs into a column before."""
     out = F.concat(millis.cast("string"), F.lit("ms"))
     for name, value in sorted(_UNITS.items(), key=lambda x: x[1]):
         if value > 1:
-            out = F.when(millis >= value, F.concat(F.floor(millis / value).cast("string"), F.lit(name))).otherwise(out)
+            out = F.when(millis >= value, F.concat(F.call_function("div", millis.cast("bigint"), F.lit(value)).cast("string"), F.lit(name))).otherwise(out)
     return out
 
 

@@ -410,7 +410,7 @@ _Q = "CAST(l_quantity AS BIGINT)"
 def human_duration(spark, d):
     unit = F.when(F.col("l_returnflag") == "A", "m").when(F.col("l_returnflag") == "N", "h").otherwise("d")
     ms = text.parse_duration(F.concat(long(F.col("l_quantity")).cast("string"), unit))
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", ms.alias("ms"), text.format_duration(ms).alias("back"))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", ms.alias("ms")).withColumn("back", text.format_duration(F.col("ms")))
 
 
 @query("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'true' WHEN 'MACHINERY' THEN 'false' END AS flag FROM customer")

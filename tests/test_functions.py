@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import dates, globs, ids, status, text
 from quire.operators import filters
+from quire.plans.queries import QUERIES
 
 
 def apply(spark, f, *values, kind="string"):
@@ -42,6 +43,24 @@ def test_durations(spark):
     assert apply(spark, text.format_duration, 500, 61_000, 3_600_000, 90_000_000, 0, kind="bigint") == ["500ms", "1m", "1h", "1d", "0ms"]
 
 
+def test_durations_of_odd_texts_and_long_ones(spark):
+    assert apply(spark, text.parse_duration, "", " 5m", "-5m", "5sm", "5d5", "05h", "5m\n", "9223372036854775808") == [None] * 5 + [18_000_000, 300_000, None]
+    assert apply(spark, text.format_duration, 106_751_991_167 * 86_400_000 - 1, None, -5, kind="bigint") == ["106751991166d", None, "-5ms"]
+    assert apply(spark, text.format_duration, 61_000.9, 86_400_000.0, kind="double") == ["1m", "1d"]
+
+
+def test_the_query_of_durations_is_small_enough_to_be_compiled(spark, tmp_path):
+    """HotSpot only interprets methods of more than 8000 bytes; each text is matched once for its number and once for its unit."""
+    rows = [(1, 1, 17.0, "A"), (1, 2, 30.0, "N"), (1, 3, 23.0, "N"), (2, 1, 5.0, "R"), (2, 2, 0.0, "A"), (2, 3, None, "A")]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = QUERIES["human_duration"](spark, str(tmp_path))
+    assert [tuple(r)[2:] for r in df.orderBy("l_orderkey", "l_linenumber").collect()] == [(1_020_000, "17m"), (108_000_000, "1d"), (82_800_000, "23h"), (432_000_000, "5d"), (0, "0ms"), (None, None)]
+    plan = df._jdf.queryExecution().executedPlan()
+    assert plan.toString().lower().count("regexp_extract") + plan.toString().lower().count("rlike") == 2
+    stages = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(plan)
+    assert 0 < max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
+
+
 def test_booleans_and_statuses(spark):
     assert apply(spark, text.parse_boolean, "Yes", "on", "TRUE", "1", "no", "off", "false", "0", "perhaps") == [True] * 4 + [False] * 4 + [None]
     assert apply(spark, status.parse_status, "0", "10", "success", "FAILURE_TIMEOUT", "7", "x") == [0, 10, 0, 11, None, None]
